@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import bpe, langid, packing, tokenfile, toxicity
+from strandmill.llm import bpe, langid, neardup, packing, pii, tokenfile, toxicity, urltree, vectors
 from strandmill.llm.shared import shared_folder, table
 
 
@@ -28,6 +30,42 @@ def op1_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), _pattern()))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.forest_search(_embeddings(spark, sf_dir), F.col("id") % 20 == 0, k=20)
+
+
+def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.threshold_search(_embeddings(spark, sf_dir), F.col("id") % 20 == 0, k=20, transform=_grid)
+
+
+def _grid(x: np.ndarray) -> np.ndarray:
+    return np.floor(64 * x)
+
+
+RULES = [urltree.Rule("block", "com", "/en/"), urltree.Rule("allow", "example.com", "/en/7"), urltree.Rule("allow", "net", "/de/"), urltree.Rule("block", "example.net", "/de/8"), urltree.Rule("block", "org", "/es/")]
+
+
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judged_urls(table(spark, sf_dir, "pages"), RULES).withColumnRenamed("id", "page_id")
+
+
+#: The key of the surrogates in the registered queries; a deployment passes its own.
+KEY = b"surrogates of the registered queries"
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_surrogates(table(spark, sf_dir, "documents"), KEY)
+    return found.select("doc_id", "text", F.size("entities").alias("n_entities"), F.to_json("entities").alias("entities"))
+
+
+def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-file-{uuid.uuid4().hex[:12]}"
     tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), _pattern(), end=2)
@@ -55,7 +93,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_transducer, op3_token_file, op7_toxicity, op9_language, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_bpe_transducer, op2_prefix_forest, op3_token_file, op4_threshold_top_k, op5_url_templates, op6_surrogates, op7_toxicity, op8_circulant_minhash, op9_language, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
