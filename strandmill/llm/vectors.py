@@ -153,11 +153,11 @@ class Forest:
         return out
 
 
-def forest_search(rows: DataFrame, is_query: Column, *, k: int = 20, trees: int = 32, share: float = 0.6, block: int = 8192) -> DataFrame:
+def forest_search(rows: DataFrame, is_query: Column, *, k: int = 20, trees: int = 32, share: float = 0.6, per_neighbour: int = 100, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest found by inner product, among rows with other ids.
 
     ``rows`` is (id, vector). ``share``: how many entries a block's trees must hold together below a query's level,
-    as a multiple of the block's rows. Null, zero and non-finite vectors take no part; only vectors of the query's
+    as a multiple of the block's rows, ``per_neighbour`` * k at least. Null, zero and non-finite vectors take no part; only vectors of the query's
     length are compared; repeated rows are found each.
     """
     blocks = written(packed(rows, block, zero=False), "blocks")
@@ -170,7 +170,7 @@ def forest_search(rows: DataFrame, is_query: Column, *, k: int = 20, trees: int
                 forest = Forest(x, trees)
                 for i in range(0, len(q), TILE):
                     some, names = q[i : i + TILE], q_ids[i : i + TILE]
-                    held = forest.candidates(some, max(4 * k, int(share * len(x))))
+                    held = forest.candidates(some, max(per_neighbour * k, int(share * len(x))))
                     held &= names[:, None] != ids
                     scores = np.where(held, some @ x.T, -np.inf)
                     r, c = top_of(scores, k)
