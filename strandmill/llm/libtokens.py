@@ -1,14 +1,15 @@
 """Whole texts encoded as the tokenizers library encodes them, each different word once.
 
 Both files cut a text into words before the merges, and the merges never cross a word. So a text's ids are its words'
-ids one after another: the words are cut by array operations, and the library encodes, in batches, those that are not
-kept from before.
+ids one after another: the words are cut by array operations, and the library's model encodes those that are not kept
+from before.
 """
 
 from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -21,19 +22,28 @@ from strandmill.llm.shared import WordMemo
 PLAIN = regex.compile(r"[\u0000-ɏ]*")
 
 
+@cache
+def byte_alphabet() -> dict[int, int]:
+    """The character that stands for each byte: printable ones for themselves, the others from U+0100 on in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return dict(zip(shown, shown)) | {b: 0x100 + i for i, b in enumerate(hidden)}
+
+
 class LibraryEncoder:
     """Ids of whole texts by a file of the tokenizers library, without special tokens.
 
     ``end``: an id put after each text. ``width``: bytes of an id in ``packed``, 2 if every id fits, else 4.
     """
 
-    def __init__(self, file: str, pattern: str | None, end: int | None = None, kept_words: int = 500_000):
+    def __init__(self, file: str, pattern: str | None, end: int | None = None, kept_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.split = SpacedSplitter(pattern) if pattern else WordSplitter()
+        self.model = self.tokenizer.model
         self.normal = self.tokenizer.normalizer
         size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), (end or 0) + 1)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -41,7 +51,9 @@ class LibraryEncoder:
         self.end = b"" if end is None else np.array([end], self.kind).tobytes()
 
     def _many(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        """The library's own merges of single words, in the alphabet that stands for bytes in its files."""
+        tokenize, shown, kind = self.model.tokenize, byte_alphabet(), self.kind.char
+        return [array(kind, [t.id for t in tokenize(w.encode().decode("latin-1").translate(shown))]).tobytes() for w in words]
 
     def _words(self, text: str | None) -> list[str]:
         text = text or ""

@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes of text that one NumPy pass takes; longer documents form a pass of their own.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
