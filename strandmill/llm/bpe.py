@@ -11,6 +11,7 @@ which the longest token bounds. States and transitions are made when first neede
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import cache
@@ -32,13 +33,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _State:
-    """token: the last one sent. pending: the bytes since. last: of each prefix of these, its last token. roots: where
-    the first token of that prefix ends. begun: (start, trie node) of each longer token that may have begun."""
+    """pending: the bytes since the last token sent. last: of each prefix of these, its last token. roots: where the
+    first token of that prefix ends. begun: (start, trie node) of each longer token that may have begun. bars, edge:
+    all that matters of the token sent: for each prefix the least rank that would merge it to that token's end, and
+    (trie node, made, used) of the ends that may still merge with more."""
 
-    __slots__ = ("begun", "last", "pending", "roots", "tail", "to", "token")
+    __slots__ = ("bars", "begun", "edge", "last", "pending", "roots", "tail", "to")
 
-    def __init__(self, token: int, pending: bytes, last: tuple[int, ...], roots: tuple[int, ...], begun: list[tuple[int, int]]):
-        self.token, self.pending, self.last, self.roots, self.begun = token, pending, last, roots, begun
+    def __init__(self, pending: bytes, last: tuple[int, ...], roots: tuple[int, ...], begun: list[tuple[int, int]], bars: tuple[int, ...], edge: tuple):
+        self.pending, self.last, self.roots, self.begun, self.bars, self.edge = pending, last, roots, begun, bars, edge
         self.to: dict[int, tuple[_State, tuple[int, ...]]] = {}
         self.tail: tuple[int, ...] | None = None
 
@@ -63,12 +66,13 @@ class BpeTransducer:
             self.ends[node] = rank
         self.parts: dict[int, tuple[int, int] | None | bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
+        self.ends_of: dict[int, tuple] = {}
         self.fitting: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.root = _State(-1, b"", (), (0,), [])
-        self.states: dict[tuple[int, bytes], _State] = {(-1, b""): self.root}
+        self.root = _State(b"", (), (0,), [], (), ())
+        self.states: dict[tuple, _State] = {(b"", (), ()): self.root}
 
     def _split(self, token: int):
         """The two tokens whose merge makes this one; None for one byte; False if the merges never make it."""
@@ -122,9 +126,51 @@ class BpeTransducer:
         self.fitting[key] = ok
         return ok
 
+    def _end(self, token: int) -> tuple:
+        """(trie node, made, used) of each token along the right edge that could merge with more."""
+        if (out := self.ends_of.get(token)) is None:
+            found = []
+            for text, made, used in self._edge(token, 1):
+                node = 0
+                for byte in text:
+                    node = self.child[node << 8 | byte]
+                if self.grows[node]:
+                    found.append((node, made, used))
+            out = self.ends_of[token] = tuple(found)
+        return out
+
+    def _walk(self, edge: tuple, bars: tuple[int, ...], byte: int, made: int) -> tuple[tuple[int, ...], tuple]:
+        """One byte further along the ends; ``made``: the rank of the bytes so far, if they are a token, else NEVER."""
+        least, kept = NEVER, []
+        for node, before, used in edge:
+            node = self.child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if made != NEVER and (r := self.ends[node]) >= 0:
+                at = max(r, before, made)
+                if at < used and at < least:
+                    least = at
+            if self.grows[node]:
+                kept.append((node, before, used))
+        return (*bars, least), tuple(kept)
+
+    def _first_fits(self, token: int, bars: tuple[int, ...]) -> bool:
+        """``fit`` for a first token, from what its left edge meets."""
+        if self._split(token) is False:
+            return False
+        for text, _, used in self._edge(token, 0):
+            if bars[len(text) - 1] <= used and bars[len(text) - 1] != NEVER:
+                return False
+        return True
+
     def _expand(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         child, ends, grows, fitting = self.child, self.ends, self.grows, self.fitting
-        token, last, n = state.token, state.last, len(state.pending) + 1
+        last, n, p = state.last, len(state.pending) + 1, state.pending + bytes((byte,))
+        bars, edge = state.bars, state.edge
+        if edge:
+            bars, edge = self._walk(edge, bars, byte, -1 if n == 1 else self.ranks.get(p, NEVER))
+        else:
+            bars = (*bars, NEVER)
         found, begun = -1, []
         for j, node in (*state.begun, (n - 1, 0)):
             node = child.get(node << 8 | byte)
@@ -133,14 +179,19 @@ class BpeTransducer:
             if grows[node]:
                 begun.append((j, node))
             if found < 0 and (t := ends[node]) >= 0:
-                before = last[j - 1] if j else token
-                fits = fitting.get(before << 32 | t) if before >= 0 else self._split(t) is not False
-                if fits or fits is None and self.fit(before, t):
+                if not j:
+                    fits = self._first_fits(t, bars)
+                else:
+                    fits = fitting.get(last[j - 1] << 32 | t)
+                    if fits is None:
+                        fits = self.fit(last[j - 1], t)
+                if fits:
                     found, start = t, j
         if found < 0:
             raise ValueError("the ranks lack a single byte")
-        p, roots, sent = state.pending + bytes((byte,)), state.roots, ()
+        roots, sent = state.roots, ()
         last, roots = (*last, found), (*roots, roots[start] if start else n)
+        token = -1
         while p:
             # A later token starts at n or where a longer one has begun; nothing is settled while that is 0.
             cut = roots[n]
@@ -161,12 +212,16 @@ class BpeTransducer:
             for i, t in enumerate(last, 1):
                 back = i - self.length[t]
                 roots.append(roots[back] if back > 0 else i)
-        key = (token, p)
+        if token >= 0:
+            bars, edge = (), self._end(token)
+            for i, b in enumerate(p):
+                bars, edge = self._walk(edge, bars, b, -1 if not i else self.ranks.get(p[: i + 1], NEVER)) if edge else ((*bars, NEVER), edge)
+        key = (p, bars, edge)
         to = self.states.get(key)
         if to is None:
             if len(self.states) >= self.max_states:
                 self._reset()
-            to = self.states[key] = _State(token, p, last, tuple(roots), begun)
+            to = self.states[key] = _State(p, last, tuple(roots), begun, bars, edge)
         out = state.to[byte] = (to, sent)
         return out
 
@@ -271,6 +326,7 @@ class TextEncoder:
 @cache
 def text_encoder(rank_file: str, pattern: str) -> TextEncoder:
     """One per process: the tasks that a worker runs share its states and words."""
+    gc.set_threshold(200_000, 50, 100)  # its many small objects live long
     return TextEncoder(rank_file, pattern)
 
 
