@@ -332,7 +332,7 @@ def _sql() -> dict[str, str]:
         "q_report_lines": f"SELECT item_id, doc_id, chr(9) || chr(9) || doc_id || ', Number of kmers found: ' || n_found || ' (' || {LABEL} || '%)' AS line FROM ({search_2})",
         "q_report_stats": f"SELECT count(DISTINCT item_id) AS n_queries, count(*) AS n_hits, count(DISTINCT doc_id) AS n_samples FROM ({search_2})",
         "q_summary": f"SELECT count(*) AS number_of_samples, CAST(sum(octet_length(encode(text))) AS BIGINT) AS sequence_bytes, count(*) * {M // 8} AS raw_bytes FROM documents WHERE octet_length(encode(text)) >= {K}",
-        "q_sizing": "SELECT p_partkey, CAST(ceil(-(p_size * 1000 * ln(0.01::DOUBLE)) / (ln(2.0::DOUBLE) * ln(2.0::DOUBLE))) AS BIGINT) AS m, CAST(greatest(round(ceil(-(p_size * 1000 * ln(0.01::DOUBLE)) / (ln(2.0::DOUBLE) * ln(2.0::DOUBLE))) / (p_size * 1000) * ln(2.0::DOUBLE)), 1) AS BIGINT) AS h, CAST(ceil(-(3.0::DOUBLE * p_size * 1000) / ln(1.0::DOUBLE - exp(ln(0.01::DOUBLE) / 3.0::DOUBLE))) AS BIGINT) AS m_for_3, 0.01::DOUBLE * p_size * 1000 AS expected FROM part",
+        "q_sizing": "SELECT p_partkey, CAST(ceil(-(p_size * 1000 * ln(0.01::DOUBLE)) / (ln(2.0::DOUBLE) * ln(2.0::DOUBLE))) AS BIGINT) AS m, CAST(greatest(round(ceil(-(p_size * 1000 * ln(0.01::DOUBLE)) / (ln(2.0::DOUBLE) * ln(2.0::DOUBLE))) / (p_size * 1000) * ln(2.0::DOUBLE)), 1) AS BIGINT) AS h, CAST(ceil(-(3.0::DOUBLE * p_size * 1000) / ln(1.0::DOUBLE - exp(ln(0.01::DOUBLE) / 3.0::DOUBLE))) AS BIGINT) AS m_for_3, 0.01::DOUBLE * (p_size * 1000) AS expected FROM part",
     }
 
 

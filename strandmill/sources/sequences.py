@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -90,8 +91,8 @@ def parse_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(F.length(F.translate(name, FORBIDDEN, "")) != F.length(name), F.concat(F.lit("characters that are not allowed in a sample identifier: "), F.col("line")))
         .when(F.size(parts) < 2, F.concat(F.lit("a space must follow the colon, and a path that: "), F.col("line")))
     )
-    checked = F.when(wrong.isNull(), name).otherwise(F.raise_error(wrong))
-    return used.select(checked.alias("sample_id"), F.explode(F.slice(parts, 2, F.size(parts))).alias("path")).withColumn("path", F.trim("path"))
+    paths = F.when(wrong.isNull(), F.slice(parts, 2, F.size(parts))).otherwise(F.raise_error(wrong).cast("array<string>"))
+    return used.select(name.alias("sample_id"), F.explode(paths).alias("path")).withColumn("path", F.trim("path"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -116,9 +117,13 @@ def read_samples(spark: SparkSession, manifest_path: str, min_length: int = 0) -
         raise FileNotFoundError("; ".join(gone))
     rows = [(r["sample_id"], r["path"]) for r in manifest.toLocalIterator()]
     kinds = {path: file_kind(spark, path) for _, path in rows}
-    resolve = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    named = spark.createDataFrame([(s, resolve(p).getFileSystem(conf).makeQualified(resolve(p)).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///")) for s, p in rows], "sample_id string, path string")
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+
+    def qualified(path: str) -> str:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        return re.sub("^file:/+", "file:/", target.getFileSystem(conf).makeQualified(target).toString())
+
+    named = spark.createDataFrame([(s, qualified(p)) for s, p in rows], "sample_id string, path string")
     out = None
     for kind, reader in (("fasta", read_fasta), ("fastq", read_fastq)):
         own = sorted(p for p, k in kinds.items() if k == kind)
@@ -127,7 +132,7 @@ def read_samples(spark: SparkSession, manifest_path: str, min_length: int = 0) -
             out = records if out is None else out.unionByName(records)
     if out is None:
         raise ValueError("the manifest names no file")
-    return out.join(named, "path").select("sample_id", "seq")
+    return out.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(named, "path").select("sample_id", "seq")
 
 
 def write_fasta(records: DataFrame, path: str, id_column: str = "seq_id", seq_column: str = "seq") -> None:
