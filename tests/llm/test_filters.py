@@ -1,0 +1,180 @@
+import re
+
+import numpy as np
+import pytest
+
+from strandmill.llm import langid, neardup, pii, toxicity, urltree
+from strandmill.llm.components import connected_components
+
+
+def docs(spark, texts, more=""):
+    return spark.createDataFrame([(i, t, "en", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_chars long")
+
+
+def test_language(spark):
+    en, de = "the cat sat on the mat and then it ran with the dog ", "der hund und die katze sind nicht in dem haus gewesen "
+    model = langid.fit([("en", en * i) for i in range(2, 14)] + [("de", de * i) for i in range(2, 14)])
+    texts = [None, "", "12 !?", "the dog and the cat", "die katze ist in dem haus", "日本語テキストです" * 20, en * 2000]
+    got = {r["doc_id"]: r for r in langid.identify(docs(spark, texts), model).collect()}
+    assert [got[i]["lang_pred"] for i in range(5)] == ["und", "und", "und", "en", "de"] and got[6]["lang_pred"] == "en"
+    assert [got[i]["rejected"] for i in range(7)] == [True, True, True, False, False, True, False]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert [r["doc_id"] for r in langid.keep_identified(docs(spark, texts), model).orderBy("doc_id").collect()] == [3, 4, 6]
+    assert langid.identify(docs(spark, texts[:4]), langid.fit([])).where("lang_pred = 'und'").count() == 4
+
+
+def test_language_probabilities_sum_to_one():
+    model = langid.fit([("x", "abab abba baab " * 5), ("y", "bcbc cbcb bbcc " * 5)], order=3)
+    a, b = model.number[ord("a")], model.number[ord("b")]
+    context = (int(a) << langid.BITS | int(b)) << langid.BITS
+    grams = np.array([context | c for c in range(model.symbols)], np.uint64)
+    assert np.allclose((2.0 ** -model.bits(grams)).sum(0), 1)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_automaton_is_levenshtein():
+    rng = np.random.default_rng(5)
+    terms = [("abcab", False, 1), ("bbcacabca", False, 2), ("cab", False, 0), ("aabbccab", True, 1)]
+    machine = toxicity.automaton(terms)
+    for _ in range(3000):
+        word = "".join(rng.choice(list("abcx"), rng.integers(1, 12)))
+        if rng.random() < 0.5:
+            base = list(terms[rng.integers(4)][0])
+            base[rng.integers(len(base))] = rng.choice(["", "x", "a", "bc"])
+            word = "".join(base) or "a"
+        whole = any(not s and distance(word, t) <= e for t, s, e in terms)
+        stem = any(s and min(distance(word[:i], t) for i in range(len(word) + 1)) <= e for t, s, e in terms)
+        assert bool(machine.hits(word)) == (whole or stem), word
+
+
+def test_toxicity(spark):
+    bad = [f"the {w} went home and you are a {v}" for w in ("grobnik", "smerdule") for v in ("grobnik", "smerdule", "grobniks")] * 3
+    good = [f"a nice text number {i} about the house and the garden" for i in range(40)]
+    model = toxicity.fit([(t + f" {i}", 1) for i, t in enumerate(bad)] + [(t, 0) for t in good])
+    assert model.score("you grobnik smerdule") > 0.5 > model.score("a garden")
+    assert model.score("what an idi0t, a worthles and patetic one") > 0.5
+    assert model.score('He said: "idiot".') < model.score("You idiot.")
+    texts = [None, "", "you grobnik smerdule", "x" * 50_000, "you grobnik smerdule"]
+    got = [r["predicted"] for r in toxicity.score_documents(docs(spark, texts), model).orderBy("doc_id").collect()]
+    assert got == [0, 0, 1, 0, 1] and toxicity.keep_clean(docs(spark, texts), model).count() == 3
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert 0 < toxicity.learn(docs(spark, texts), labels).score("") < 0.5
+
+
+def shingles(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
+
+
+def brute(texts, k):
+    sets, root = [shingles(t, k) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return sets, root
+
+
+def near_texts():
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in rng.integers(0, 500, 120)]
+    texts = [None, "", " \t", "a b", "A  b", "a b c"]
+    for n in (0, 0, 1, 2, 2, 3, 4, 5, 6, 8, 20):
+        for _ in range(4):
+            own = list(base)
+            for i in rng.integers(0, 120, n):
+                own[i] = f"x{rng.integers(0, 1000)}"
+            texts.append(" ".join(own))
+    texts += [" ".join(f"y{i}" for i in rng.integers(0, 900, m)) for m in (5, 5, 400, 400)]
+    return texts
+
+
+@pytest.mark.parametrize(("k", "block"), [(4, 1000), (5, 10)])
+def test_near_duplicates(spark, k, block):
+    texts = near_texts()
+    sets, root = brute(texts, k)
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(docs(spark, texts), words=k, block_docs=block).collect()}
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+    assert [got[i]["component_id"] for i in range(len(texts))] == root
+    assert [got[i]["kept"] for i in range(len(texts))] == [r == i for i, r in enumerate(root)]
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert neardup.near_duplicates(docs(spark, ["x"]).where("false")).count() == 0
+    kept = neardup.keep_first(docs(spark, ["a b c d e f", "a b c d e f", None]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2] and kept.columns == ["doc_id", "text", "lang", "n_chars"]
+
+
+def test_circulant_estimate():
+    a, b = np.arange(3000, dtype=np.uint64), np.arange(600, 3600, dtype=np.uint64)
+    hashes = neardup._stir(np.concatenate((a, b)))
+    grid = neardup.signatures(hashes, np.array([0, 3000]), 512)
+    assert abs((grid[:, 0] == grid[:, 1]).mean() - 2400 / 3600) < 0.1
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200), (7, 3)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+PRIVATE = [
+    "Mail a.Bc_9@mail6.example.com or A.BC_9@Mail6.example.com, call +1 (255) 555-8013 or +12555558013", "10.1.2.3 and 108.51.216.133, card 4111 1111 1111 1111 or 4111111111111111",
+    'token = "9999A9ECF9C9B99FE9999999B9B99BC999E9999B", DE89 3704 0044 0532 0130 00, ssn 123-45-6789', "Dr. Anna Schmidt met John Garvin on 2024-01-02", "nothing here", None, "",
+]
+
+
+def test_surrogates(spark):
+    got = {r["doc_id"]: r for r in pii.with_surrogates(docs(spark, PRIVATE), b"key").collect()}
+    e = {i: [x["surrogate"] for x in r["entities"]] for i, r in got.items()}
+    assert e[0][0] == e[0][1] and e[0][2] == e[0][3] and e[1][2] == e[1][3]
+    for i, own in ((0, "555-8013"), (0, "mail6"), (1, "108.51"), (1, "4111 1111"), (2, "9999A9EC"), (2, "3704"), (2, "123-45"), (3, "Anna"), (3, "Garvin")):
+        assert own not in got[i]["text"]
+    assert got[1]["text"].startswith("10.") and "2024-01-02" in got[3]["text"] and got[4]["text"] == "nothing here" and got[5]["text"] is None and got[6]["text"] == ""
+    given = pii.replaced(PRIVATE[3], pii.Surrogates(b"key"))[1]
+    assert pii.OF_GIVEN[given[0][2]][0] == ("latin", "f") and pii.OF_GIVEN[given[2][2]][0] == ("latin", "m")
+    assert pii.collisions(pii.with_surrogates(docs(spark, PRIVATE), b"key")).count() == 0
+    assert pii.with_surrogates(docs(spark, PRIVATE[:1]), b"other").first()["text"] != got[0]["text"]
+    kept = pii.redacted(docs(spark, PRIVATE), b"key").orderBy("doc_id").collect()
+    assert [r["n_chars"] for r in kept[4:]] == [12, None, 0]
+
+
+def test_surrogates_are_permutations():
+    s = pii.Surrogates(b"k")
+    assert len({s.ipv4(f"1.2.{i}.{j}") for i in range(40) for j in range(40)}) == 1600
+    assert {s.digits("number", f"{i:03d}") for i in range(1000)} == {f"{i:03d}" for i in range(1000)}
+    assert len({s.given(n) for n in pii.OF_GIVEN if pii.OF_GIVEN[n][0] == ("latin", "f")}) == len(pii.GIVEN["latin", "f"])
+    card, iban = s.card("4111111111111111"), s.iban("DE89370400440532013000")
+    assert pii.check_digit(card[:-1]) == int(card[-1]) and pii.iban_check(iban) == int(iban[2:4])
+
+
+def test_urls(spark):
+    rules = [urltree.Rule("block", "com", "/en/"), urltree.Rule("allow", "example.com", "/en/7"), urltree.Rule("allow", "net", "/de/")]
+    cases = {
+        "https://A.Example.com/en/7?x": ("a.example.com", "/en/7", "example.com/en/7", "allow"), "http://x.com/en/1": ("x.com", "/en/1", "com/en/", "block"), "http://com/en/": ("com", "/en/", "com/en/", "block"),
+        "http://xcom/en/1": ("xcom", "/en/1", None, None), "ftp://b.net#f": ("b.net", "", None, None), "nothing": ("", "", None, None), None: ("", "", None, None), "u://h.net/de/": ("h.net", "/de/", "net/de/", "allow"), "://": ("", "", None, None), "a://x/y://z": ("x", "/y://z", None, None),
+    }
+    urls = list(cases) + [f"http://bad.com/en/{i}" for i in range(30)] + [f"http://bad.com/fr/{i}" for i in range(5)] + [f"http://good.net/de/{i}" for i in range(30)] + ["http://good.net/fr/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["id"]: r for r in urltree.judged_urls(pages, rules).collect()}
+    assert len(got) == len(urls)
+    for i, (host, path, rule, verdict) in enumerate(cases.values()):
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule) and got[i]["verdict"] == (verdict or got[i]["verdict"])
+    by_url = {urls[i]: r["verdict"] for i, r in got.items()}
+    assert by_url["http://bad.com/fr/3"] == "block" and by_url["http://good.net/fr/1"] == "allow"
+    assert urltree.judged_urls(pages.where("false"), rules).count() == 0
+
+
+def test_url_wildcards(spark):
+    names = ["".join("abcdefghij"[int(d)] for d in str(i)) for i in range(1000, 1060)]
+    pages = spark.createDataFrame([(i, f"http://h.org/es/{n}/x") for i, n in enumerate(names)], "page_id long, url string")
+    assert {r["template"] for r in urltree.judged_urls(pages, [urltree.Rule("block", "org", "/es/")]).collect()} == {"/es/*/x"}
