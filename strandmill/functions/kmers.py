@@ -25,13 +25,15 @@ def reverse_complement(sequence: bytes) -> bytes:
 def _words(data: np.ndarray, n: int, k: int, big: bool) -> list[np.ndarray]:
     """The windows' bytes as 64-bit words, one array per 8 bytes; a last short word has its bytes at the low end
     (little-endian), or at the high end if ``big``."""
-    out = []
-    for begin in range(0, k, 8):
-        word = np.zeros(n, np.uint64)
-        for i in range(min(8, k - begin)):
-            place = 56 - 8 * i if big else 8 * i
-            word |= data[begin + i : begin + i + n].astype(np.uint64) << np.uint64(place)
-        out.append(word)
+    word = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    for step in (1, 2, 4):  # words of 2, 4, then 8 bytes from every place
+        ahead, width = word[step:], np.uint64(8 * step)
+        here = word[: len(ahead)]
+        word = (here << width) | ahead if big else here | (ahead << width)
+    out = [word[begin : begin + n] for begin in range(0, k, 8)]
+    if rest := k % 8:
+        gone = np.uint64(64 - 8 * rest)
+        out[-1] = out[-1] >> gone << gone if big else out[-1] << gone >> gone
     return out
 
 

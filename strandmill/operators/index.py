@@ -30,16 +30,22 @@ def sample_bits(records: DataFrame, k: int, h: int, m: int, canonical: bool, wan
     ``wanted``: sorted positions; others are left out where they arise. Records shorter than k bytes give nothing.
     """
     shared = None if wanted is None else records.sparkSession.sparkContext.broadcast(wanted)
+    places = np.int64((1 << 22) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if shared is not None:
+            hashed = np.zeros(int(places) + 1, bool)
+            hashed[shared.value & places] = True
         for batch in batches:
             names, found, held = [], [], 0
             for name, seq in zip(batch.column(0), batch.column(1)):
-                bits = np.unique(positions(seq.as_py().encode(), k, h, m, canonical))
+                bits = positions(seq.as_py().encode(), k, h, m, canonical).ravel()
                 if shared is not None:
                     own = shared.value
+                    bits = bits[hashed[bits & places]]  # most go here, before they are sorted or looked up
                     at = np.searchsorted(own, bits)
-                    bits = bits[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] == bits)] if len(own) else bits[:0]
+                    bits = bits[own[np.minimum(at, len(own) - 1)] == bits] if len(own) else bits[:0]
+                bits = np.unique(bits)
                 names.append((name.as_py(), len(bits)))
                 found.append(bits)
                 held += len(bits)
