@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -49,7 +50,7 @@ class _State:
 class BpeTransducer:
     """Encodes words (pre-tokens) by the ranks; ``encode`` gives the ids of one."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.length = {r: len(t) for t, r in ranks.items()}
@@ -152,14 +153,16 @@ class BpeTransducer:
                     least = at
             if self.grows[node]:
                 kept.append((node, before, used))
-        return (*bars, least), tuple(kept)
+        bars = (*bars, least)
+        return (bars if kept or min(bars) != NEVER else ()), tuple(kept)
 
     def _first_fits(self, token: int, bars: tuple[int, ...]) -> bool:
         """``fit`` for a first token, from what its left edge meets."""
         if self._split(token) is False:
             return False
-        for text, _, used in self._edge(token, 0):
-            if bars[len(text) - 1] <= used and bars[len(text) - 1] != NEVER:
+        held = len(bars)  # beyond it, and without any, nothing merges
+        for text, _, used in self._edge(token, 0) if held else ():
+            if len(text) <= held and (bar := bars[len(text) - 1]) <= used and bar != NEVER:
                 return False
         return True
 
@@ -169,8 +172,6 @@ class BpeTransducer:
         bars, edge = state.bars, state.edge
         if edge:
             bars, edge = self._walk(edge, bars, byte, -1 if n == 1 else self.ranks.get(p, NEVER))
-        else:
-            bars = (*bars, NEVER)
         found, begun = -1, []
         for j, node in (*state.begun, (n - 1, 0)):
             node = child.get(node << 8 | byte)
@@ -215,7 +216,9 @@ class BpeTransducer:
         if token >= 0:
             bars, edge = (), self._end(token)
             for i, b in enumerate(p):
-                bars, edge = self._walk(edge, bars, b, -1 if not i else self.ranks.get(p[: i + 1], NEVER)) if edge else ((*bars, NEVER), edge)
+                if not edge:
+                    break
+                bars, edge = self._walk(edge, bars, b, -1 if not i else self.ranks.get(p[: i + 1], NEVER))
         key = (p, bars, edge)
         to = self.states.get(key)
         if to is None:
@@ -314,10 +317,10 @@ class StreamingDecoder:
 class TextEncoder:
     """Whole texts to ids: each match of the pattern by the transducer, each different word once while it is kept."""
 
-    def __init__(self, rank_file: str, pattern: str, kept_words: int = 400_000):
+    def __init__(self, rank_file: str, pattern: str, kept_words: int = 360_000):
         self.transducer = BpeTransducer(read_ranks(rank_file))
         self.split = SpacedSplitter(pattern)
-        self.memo = WordMemo(kept_words, lambda words: [np.array(self.transducer.encode(w.encode()), np.uint32).tobytes() for w in words])
+        self.memo = WordMemo(kept_words, lambda words: [array("I", self.transducer.encode(w.encode())).tobytes() for w in words])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(ids), np.uint32) for ids in self.memo.values([self.split(t or "") for t in texts])]
