@@ -81,6 +81,34 @@ def bit_slices(bits: DataFrame) -> DataFrame:
     return bits.groupBy("bit", part).agg(F.array_sort(F.collect_set("sample_idx")).alias("sample_idxs"))
 
 
+def sorted_slices(bits: DataFrame) -> DataFrame:
+    """As ``bit_slices``, range-partitioned and sorted by bit: one shuffle, then runs of equal bits become arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64) for _ in range(3)]  # the last bit's rows may go on in the next batch
+        for batch in batches:
+            rest = [np.concatenate((old, batch.column(i).to_numpy(zero_copy_only=False))) for i, old in enumerate(rest)]
+            cut = np.flatnonzero((np.diff(rest[0]) != 0) | (np.diff(rest[1]) != 0))
+            if len(cut):
+                end = cut[-1] + 1
+                yield _runs(*(x[:end] for x in rest))
+                rest = [x[end:] for x in rest]
+        if len(rest[0]):
+            yield _runs(*rest)
+
+    rows = bits.select("bit", F.floor(F.col("sample_idx") / PART).cast("int").alias("part"), "sample_idx")
+    ordered = rows.repartitionByRange("bit", "part").sortWithinPartitions("bit", "part", "sample_idx")
+    return ordered.mapInArrow(run, "bit bigint, part int, sample_idxs array<int>")
+
+
+def _runs(bit: np.ndarray, part: np.ndarray, sample: np.ndarray) -> pa.RecordBatch:
+    new = np.append(True, (np.diff(bit) != 0) | (np.diff(part) != 0) | (np.diff(sample) != 0))
+    bit, part, sample = bit[new], part[new], sample[new]
+    begins = np.flatnonzero(np.append(True, (np.diff(bit) != 0) | (np.diff(part) != 0)))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(bit)).astype(np.int32)), pa.array(sample.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(bit[begins].astype(np.int64)), pa.array(part[begins].astype(np.int32)), lists], names=["bit", "part", "sample_idxs"])
+
+
 def _meta(spark: SparkSession, path: str) -> list:
     return sorted(spark.read.parquet(f"{path}/meta").collect(), key=lambda r: r["batch_id"])  # one row per batch
 
@@ -93,8 +121,7 @@ def _write(records: DataFrame, config: Config, batch_id: int, first: int, create
     numbered = spark.read.parquet(samples)
     named = records.join(numbered.select("sample_id", "sample_idx"), "sample_id").select("sample_idx", "seq")
     bits = sample_bits(named, config.k, config.h, config.m, config.canonical)
-    slices = bit_slices(bits).repartitionByRange("bit").sortWithinPartitions("bit")
-    slices.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings/batch={batch_id}")
+    sorted_slices(bits).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings/batch={batch_id}")
     today = datetime.now(UTC).strftime("%d-%m-%Y")
     n = numbered.count()
     meta = [(batch_id, config.k, config.h, config.m, config.sequence_type, n, created or today, today, bucket_width(config.m))]
@@ -137,7 +164,7 @@ def build_from_matrix(spark: SparkSession, config: Config) -> None:
     samples = spark.read.parquet(f"{config.matrix_path}/samples").withColumns({"sample_idx": F.col("sample_idx") + first, "batch_id": F.lit(batch)})
     samples.write.mode("overwrite").parquet(f"{path}/samples/batch={batch}")
     bits = spark.read.parquet(f"{config.matrix_path}/bits").join(samples.select("sample_id", "sample_idx"), "sample_id")
-    bit_slices(bits).repartitionByRange("bit").sortWithinPartitions("bit").withColumn("batch_id", F.lit(batch)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings/batch={batch}")
+    sorted_slices(bits).withColumn("batch_id", F.lit(batch)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings/batch={batch}")
     today = datetime.now(UTC).strftime("%d-%m-%Y")
     meta = [(batch, config.k, config.h, config.m, config.sequence_type, samples.count(), old[0]["created_on"] if old else today, today, bucket_width(config.m))]
     spark.createDataFrame(meta, "batch_id int, k int, h int, m bigint, sequence_type string, n_samples bigint, created_on string, last_updated_on string, bucket_width bigint").coalesce(1).write.mode("append").parquet(f"{path}/meta")
