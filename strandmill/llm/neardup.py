@@ -238,8 +238,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     firsts = classes.select(F.col("first").alias("doc_id"), "n_shingles", "set_a", "set_b")
     held = sketches.join(firsts, ["doc_id", "n_shingles", "set_a", "set_b"], "left_semi").select("doc_id", F.explode("bands").alias("band"))
     heads = held.groupBy("band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("band", "head")
-    stars = held.join(heads, "band").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    groups = connected_components(stars).withColumnRenamed("node", "doc_id")
+    # A document's heads (one per band at most) hang on the least of them, as the document does: the same groups by
+    # about one link per document, for the documents of a group share their heads.
+    near = held.join(heads, "band").groupBy("doc_id").agg(F.collect_set("head").alias("heads")).withColumn("b", F.array_min("heads"))
+    stars = near.select(F.col("doc_id").alias("a"), "b").union(near.select(F.explode("heads").alias("a"), "b")).where("a <> b").distinct()
+    groups = connected_components(written(stars, "stars")).withColumnRenamed("node", "doc_id")
     groups = groups.join(firsts.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
     links = exact_links(docs, groups, words, percent, block_docs, block_shingles)
     # Equal sets link a class's documents to its first; rows that share a doc_id are one node of that graph.
