@@ -50,7 +50,7 @@ class _State:
 class BpeTransducer:
     """Encodes words (pre-tokens) by the ranks; ``encode`` gives the ids of one."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.length = {r: len(t) for t, r in ranks.items()}
@@ -317,7 +317,7 @@ class StreamingDecoder:
 class TextEncoder:
     """Whole texts to ids: each match of the pattern by the transducer, each different word once while it is kept."""
 
-    def __init__(self, rank_file: str, pattern: str, kept_words: int = 360_000):
+    def __init__(self, rank_file: str, pattern: str, kept_words: int = 240_000):
         self.transducer = BpeTransducer(read_ranks(rank_file))
         self.split = SpacedSplitter(pattern)
         self.memo = WordMemo(kept_words, lambda words: [array("I", self.transducer.encode(w.encode())).tobytes() for w in words])
