@@ -58,7 +58,7 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     blocks = text.select(F.explode(F.split("value", QUERY)).alias("block")).where(~F.col("block").startswith(TITLE))
     rows = blocks.select(F.split("block", "\n").alias("rows"))
     lines = rows.select(F.col("rows")[0].alias("query_id"), F.explode("rows").alias("line")).where(F.col("line").startswith("\t\t"))
-    body = F.substring("line", 3, 1 << 30)
+    body = F.regexp_replace("line", "^\t\t", "")
     count = F.regexp_extract(body, rf"^(.*){MANY}(\d+) \((.*)\)$", 2)
     exact = count == ""
     return lines.select("query_id", F.when(exact, body).otherwise(F.regexp_extract(body, rf"^(.*){MANY}(\d+) \((.*)\)$", 1)).alias("sample_id"), F.when(~exact, count.try_cast("long")).alias("n_found"), F.when(~exact, F.regexp_extract(body, r"\(([^()]*)\)$", 1)).alias("pct"))
