@@ -54,7 +54,7 @@ def write_report(hits: DataFrame, path: str, threshold: float, single: bool = Fa
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, sample_id, n_found, pct) of a report with query ids; count and percentage null in an exact one."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     blocks = text.select(F.explode(F.split("value", QUERY)).alias("block")).where(~F.col("block").startswith(TITLE))
     rows = blocks.select(F.split("block", "\n").alias("rows"))
     lines = rows.select(F.col("rows")[0].alias("query_id"), F.explode("rows").alias("line")).where(F.col("line").startswith("\t\t"))
