@@ -32,7 +32,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of every piece."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end=1)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end=1, added_tokens=True)
 
 
 STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("pii", private), ("packing", packed)]

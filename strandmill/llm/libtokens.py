@@ -7,6 +7,7 @@ from before.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from array import array
@@ -31,17 +32,18 @@ def byte_alphabet() -> dict[int, int]:
 
 
 class LibraryEncoder:
-    """Ids of whole texts by a file of the tokenizers library, without special tokens.
+    """Ids of whole texts by a file of the tokenizers library, without special tokens put around them.
 
-    ``end``: an id put after each text. ``width``: bytes of an id in ``packed``, 2 if every id fits, else 4.
+    ``end``: an id put after each text. ``added_tokens``: the file's added tokens in a text give their own ids, as in
+    the library as loaded; otherwise they are text like any other, as with its ``encode_special_tokens``.
+    ``width``: bytes of an id in ``packed``, 2 if every id fits, else 4.
     """
 
-    def __init__(self, file: str, pattern: str | None, end: int | None = None, kept_words: int = 400_000):
+    def __init__(self, file: str, pattern: str | None, end: int | None = None, kept_words: int = 400_000, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         self.split = SpacedSplitter(pattern) if pattern else WordSplitter()
         self.model = self.tokenizer.model
         self.normal = self.tokenizer.normalizer
@@ -49,6 +51,17 @@ class LibraryEncoder:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.memo = WordMemo(kept_words, self._many)
         self.end = b"" if end is None else np.array([end], self.kind).tobytes()
+        self.added = self._added(file) if added_tokens else {}
+        self.cut = regex.compile(f"({'|'.join(map(regex.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
+
+    def _added(self, file: str) -> dict[str, bytes]:
+        """The ids of the file's added tokens, which the library cuts out of the raw text before all else."""
+        with open(file, encoding="utf-8") as f:
+            tokens = json.load(f).get("added_tokens") or []
+        for t in tokens:
+            if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+                raise ValueError(f"added tokens are matched as they stand, not {t}")
+        return {t["content"]: np.array([t["id"]], self.kind).tobytes() for t in tokens}
 
     def _many(self, words: list[str]) -> list[bytes]:
         """The library's own merges of single words, in the alphabet that stands for bytes in its files."""
@@ -63,10 +76,14 @@ class LibraryEncoder:
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian; null is the empty text."""
-        return [b"".join(ids) + self.end for ids in self.memo.values([self._words(t) for t in texts])]
+        if self.cut is None:
+            return [b"".join(ids) + self.end for ids in self.memo.values([self._words(t) for t in texts])]
+        parts = [self.cut.split(t or "") for t in texts]  # every second part is an added token
+        ids = iter(self.memo.values([self._words(p) for ps in parts for p in ps[::2]]))
+        return [b"".join(self.added[p] if i % 2 else b"".join(next(ids)) for i, p in enumerate(ps)) + self.end for ps in parts]
 
 
 @cache
-def library_encoder(file: str, pattern: str | None, end: int | None) -> LibraryEncoder:
+def library_encoder(file: str, pattern: str | None, end: int | None, added_tokens: bool = False) -> LibraryEncoder:
     """One per process: the tasks that a worker runs share its words."""
-    return LibraryEncoder(file, pattern, end)
+    return LibraryEncoder(file, pattern, end, added_tokens=added_tokens)

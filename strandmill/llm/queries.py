@@ -68,7 +68,7 @@ def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-file-{uuid.uuid4().hex[:12]}"
-    tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), _pattern(), end=2)
+    tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), _pattern(), end=2, added_tokens=True)
     return tokenfile.located(spark, path)
 
 
@@ -89,7 +89,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), window=2048, end=1))
+    return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), window=2048, end=1, added_tokens=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -116,14 +116,15 @@ class TokenBlock:
         return self.ids[begin:end]
 
 
-def write_token_file(docs: DataFrame, path: str, file: str, pattern: str | None, *, end: int | None = 2, block_ids: int = 1 << 20) -> None:
+def write_token_file(docs: DataFrame, path: str, file: str, pattern: str | None, *, end: int | None = 2, block_ids: int = 1 << 20, added_tokens: bool = False) -> None:
     """Encodes ``docs`` (doc_id, text) by the tokenizer ``file`` and writes a token file at ``path``.
 
     Documents lie in ascending doc_id order (null first; rows that repeat stay side by side). A null text is empty.
+    With ``added_tokens`` the file's added tokens in a text give their own ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = library_encoder(file, pattern, end), TaskContext.get().partitionId()
+        encoder, part = library_encoder(file, pattern, end, added_tokens), TaskContext.get().partitionId()
         names, held, total, seq = [], [], 0, 0
 
         def block():

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from strandmill.llm import bpe, packing, tokenfile
 from strandmill.llm.libtokens import LibraryEncoder
+from strandmill.llm.queries import queries
 from strandmill.llm.segment import SpacedSplitter
 from strandmill.llm.shared import text_passes
 
@@ -154,3 +155,28 @@ def test_packing(spark):
     assert max(filled.values()) <= 2048
     digests = packing.piece_digests(packing.pack_documents(rows(spark, ["a"]), P.path("word_bpe_49k.json"))).collect()
     assert digests[0]["ids_crc32"] == zlib.crc32(np.array([*library.encode("a", add_special_tokens=False).ids, 1], "<u4").tobytes())
+
+
+ADDED = [*TEXTS, "foo <|endoftext|> bar", "a<|startoftext|><|endoftext|>b  <|endoftext|>", "It's<|endoftext|>'s", "A\u0301<|endoftext|>\u0301", "<|EndOfText|> <|endoftext", "  <|endoftext|>\n\n<|endoftext|> x"]
+
+
+@pytest.mark.parametrize(("file", "pattern"), [("byte_bpe_50k.json", P.PATTERN), ("word_bpe_49k.json", None)])
+def test_added_tokens_as_loaded(file, pattern):
+    library = Tokenizer.from_file(P.path(file))
+    encoder = LibraryEncoder(P.path(file), pattern, 1, kept_words=4, added_tokens=True)
+    got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.packed(ADDED)]
+    assert got == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in ADDED]
+
+
+@pytest.mark.parametrize(("query", "file", "end"), [("op3_token_file", "byte_bpe_50k.json", 2), ("op10_best_fit_packing", "word_bpe_49k.json", 1)])
+def test_queries_take_added_tokens(spark, tmp_path, query, file, end):
+    rows(spark, ADDED).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries()[query](spark, str(tmp_path)).collect()}
+    library = Tokenizer.from_file(P.path(file))
+    start = 0
+    for i, t in enumerate(ADDED):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, end]
+        n, begin = ("n_tokens", "start") if query == "op3_token_file" else ("doc_tokens", None)
+        assert got[i][n] == len(ids) and got[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        assert begin is None or got[i][begin] == start
+        start += len(ids)
