@@ -35,10 +35,28 @@ TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|
 #: Letters that stand for each other: same script, same sound class.
 LETTERS = ("bcdfghjklmnpqrstvwxz", "aeiouy", "бвгджзклмнпрстфхцчшщ", "аеёиоуыэюя", "βγδζθκλμνξπρστφχψ", "αεηιουω", "äöü", "àâèéêëîïôùû", "áíóú", "0123456789")
 CLASS = {c: (k, i) for k, letters in enumerate(LETTERS) for i, c in enumerate(letters)}
-DIGITS = re.compile(r"(?<![\w.])(?:\+|\()?\d(?:[\d .()\-/]{5,28})\d(?![\w])")
-IPV4 = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}")
+DIGITS = re.compile(r"(?<![\w.])[+(]?\d[\d .()\-/]{5,}\d(?!\w)")
+IPV4 = re.compile(r"(?<!\d)(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d)")
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 DATE = re.compile(r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})")
+#: Entities of a form of their own, which stand out of a run of digits, spaces and signs; in the order in which they are taken.
+CLEAR = [(kind, re.compile(pattern)) for kind, pattern in (
+    ("phone", r"(?<![\d.])\d{2}(?:\.\d{2}){4}(?!\.?\d)"),
+    ("ipv4", IPV4.pattern),
+    ("ssn", rf"(?:^|(?<=[ (])){SSN.pattern}(?=[.)\-/]*(?: |$))"),
+    ("card", r"(?:^|(?<=[ (]))\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{6}\1\d{4,5})(?=[.)\-/]*(?: |$))"),
+    ("phone", r"(?:^|(?<= ))(?:\+\d{1,3}[ .\-]?|1[ .\-])?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?=[.)\-/]*(?: |$))"),
+    ("phone", r"(?:^|(?<= ))\d{3}-\d{4}(?= (?:\(?\d{3}[) \-]|$)|$)"),
+)]
+#: Parts of a run that is no entity as a whole: dates, phones in threes and fours, numbers, phones after an exit sign or zero.
+PARTS = [(kind, re.compile(pattern)) for kind, pattern in (
+    ("date", rf"(?:^|(?<=[ /(])){DATE.pattern}(?=[.)\-/]*(?: |$))"),
+    ("card", r"(?:^|(?<=[ /(]))\d{13,19}(?=[.)\-/]*(?: |$)|/)"),
+    ("number", r"(?:^|(?<=[ /(]))\d{9,30}(?=[.)\-/]*(?: |$)|/)"),
+    ("ssn", rf"(?:^|(?<=[ /(])){SSN.pattern}(?=[.)\-/]*(?: |$)|/)"),
+    ("phone", r"(?:^|(?<=[ /]))(?:\+?1[ .\-])?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?=[.)\-/]*(?: |$)|/)"),
+    ("phone", r"(?:^|(?<=[ /]))(?:\+|\(0?|0)(?:\d[.()\-/]*| (?![(0]))*\d"),
+)]
 SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 LOCAL, DOMAIN = re.compile(r"[\w.%+\-]+$"), re.compile(r"[^\W_](?:[^\W_]|-)*(?:\.[^\W_](?:[^\W_]|-)*)+")
@@ -206,19 +224,54 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def _numbers(m: re.Match) -> list[tuple[int, int, str]]:
-    text, begin = m[0], m.start()
-    if found := list(IPV4.finditer(text)):
-        return [(begin + x.start(), begin + x.end(), "ipv4") for x in found if (not x.start() or not text[x.start() - 1].isdigit()) and not text[x.end() : x.end() + 1].isdigit()]
-    if DATE.fullmatch(text):
+    """The entities in a run of digits, spaces and signs: those of a form of their own, then what is left between them."""
+    found, free = _taken(CLEAR, m[0], [(0, len(m[0]))])
+    for a, b in free:
+        if (whole := _whole(m[0], a, b)) is not None:
+            found += whole
+            continue
+        parts, rest = _taken(PARTS, m[0], [(a, b)])
+        found += [x for x in parts if x[2] != "date"]
+        for c, d in rest:
+            found += _whole(m[0], c, d) or []
+    return [(m.start() + a, m.start() + b, kind) for a, b, kind in found]
+
+
+def _taken(patterns: list[tuple[str, re.Pattern]], text: str, free: list[tuple[int, int]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """What the patterns, one after another, find in the free stretches of a run, and the stretches still free."""
+    found = []
+    for kind, pattern in patterns:
+        left = []
+        for a, b in free:
+            at = a
+            for x in pattern.finditer(text[a:b]):
+                if kind != "phone" or 7 <= sum(c.isdigit() for c in x[0]) <= 15:
+                    found.append((a + x.start(), a + x.end(), kind))
+                    left.append((at, a + x.start()))
+                    at = a + x.end()
+            left.append((at, b))
+        free = [(a, b) for a, b in left if b - a >= 7]
+    return found, free
+
+
+def _whole(text: str, a: int, b: int) -> list[tuple[int, int, str]] | None:
+    """The entity that a stretch of a run is, [] if it is a date or short, None if it may hold several."""
+    inner = re.search(r"[+(]?\d(?:.*\d)?", text[a:b])
+    if not inner:
         return []
-    n = sum(c.isdigit() for c in text)
-    if SSN.fullmatch(text):
-        return [(begin, m.end(), "ssn")]
-    if 13 <= n <= 19 and re.fullmatch(r"\d{13,19}|\d{4}(?:[ -]\d{2,6}){2,4}", text):
-        return [(begin, m.end(), "card")]
-    if 7 <= n <= 15 and (text[0] in "+(" or re.search(r"[ .)\-/]", text)):
-        return [(begin, m.end(), "phone")]
-    return [(begin, m.end(), "number")] if n >= 9 and text.isdigit() else []
+    own, a, b = inner[0], a + inner.start(), a + inner.end()
+    n = sum(c.isdigit() for c in own)
+    if n < 7 or DATE.fullmatch(own):
+        return []
+    if SSN.fullmatch(own):
+        return [(a, b, "ssn")]
+    if 13 <= n <= 19 and re.fullmatch(r"\d{13,19}|\d{4}(?:[ -]\d{2,6}){2,4}", own):
+        return [(a, b, "card")]
+    if n <= 15 and (own[0] in "+(" or re.search(r"[ .)\-/]", own)):
+        return [(a, b, "phone")]
+    if own.isdigit():
+        return [(a, b, "number")] if 9 <= n <= 30 else []
+    return None
 
 
 def replaced(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, str, str]]]:

@@ -178,3 +178,18 @@ def test_url_wildcards(spark):
     names = ["".join("abcdefghij"[int(d)] for d in str(i)) for i in range(1000, 1060)]
     pages = spark.createDataFrame([(i, f"http://h.org/es/{n}/x") for i, n in enumerate(names)], "page_id long, url string")
     assert {r["template"] for r in urltree.judged_urls(pages, [urltree.Rule("block", "org", "/es/")]).collect()} == {"/es/*/x"}
+
+
+SIDE_BY_SIDE = {
+    "+1 (826) 555-4081 190.137.223.204": ["+1 (826) 555-4081", "190.137.223.204"], "190.137.223.204 +1 (843) 555-7672": ["190.137.223.204", "+1 (843) 555-7672"], "555-123-4567 555-987-6543": ["555-123-4567", "555-987-6543"],
+    "4111 1111 1111 1111 (255) 555-8013": ["4111 1111 1111 1111", "(255) 555-8013"], "123-45-6789 987-65-4321": ["123-45-6789", "987-65-4321"], "123-45-6789 987 6543210": ["123-45-6789", "987 6543210"], "10.1.2.3 10.4.5.6": ["10.1.2.3", "10.4.5.6"],
+    "030 123456 040 654321": ["030 123456", "040 654321"], "+49 30 1234567 +49 40 7654321": ["+49 30 1234567", "+49 40 7654321"], "555 123 4567 555 987 6543": ["555 123 4567", "555 987 6543"], "123456789 987654321": ["123456789", "987654321"],
+    "2024-01-02 555-123-4567": ["555-123-4567"], "4111 1111 1111 1111 4222 2222 2222 2222": ["4111 1111 1111 1111", "4222 2222 2222 2222"], "01.23.45.67.89": ["01.23.45.67.89"], "2024-01-02": [], "12 34 56 78 90 12 34 56 78 90": [],
+}
+
+
+def test_numbers_side_by_side():
+    s = pii.Surrogates(b"k")
+    for text, own in SIDE_BY_SIDE.items():
+        assert [text[a:b] for a, b, _ in pii.find(text)] == own
+        assert [x[1:] for x in pii.replaced(text, s)[1]] == [pii.replaced(x, s)[1][0][1:] for x in own]  # as each alone
