@@ -30,6 +30,7 @@ GIVEN = {
     ("greek", "m"): "Αλέξανδρος Γιάννης Γιώργος Δημήτρης Κώστας Νίκος".split(),
 }
 OF_GIVEN = {name: (group, i) for group, names in GIVEN.items() for i, name in enumerate(names)}
+NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(OF_GIVEN))})(?=[  ])")
 #: Titles before a family name. Fixed values.
 TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sra?|Don|Doña)\b\.?[  ]+((?:[^\W\d_]\w*[  ])?)([^\W\d_a-zà-ÿ][^\W\d_]+)")
 #: Letters that stand for each other: same script, same sound class.
@@ -204,16 +205,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
             out.append((m.start(), m.end(), "iban"))
     for m in DIGITS.finditer(text):
         out += _numbers(m)
-    if "Mr" in text or "Frau" in text or "Herr" in text or "M" in text or "S" in text or "D" in text:
-        for m in TITLED.finditer(text):
-            first = m[1].strip()
-            if first in OF_GIVEN:
-                out.append((m.start(1), m.start(1) + len(first), "given"))
-            out.append((m.start(2), m.end(2), "family"))
-    if not OF_GIVEN.keys().isdisjoint(text.split()):
-        for m in re.finditer(r"(?<!\w)[^\W\d_]+(?=[  ])", text):
-            if m[0] in OF_GIVEN and (family := FAMILY.match(text, m.end())):
-                out += [(m.start(), m.end(), "given"), (family.start(1), family.end(1), "family")]
+    for m in TITLED.finditer(text):
+        first = m[1].strip()
+        if first in OF_GIVEN:
+            out.append((m.start(1), m.start(1) + len(first), "given"))
+        out.append((m.start(2), m.end(2), "family"))
+    for m in NAMED.finditer(text):
+        if family := FAMILY.match(text, m.end()):
+            out += [(m.start(), m.end(), "given"), (family.start(1), family.end(1), "family")]
     out.sort(key=lambda x: (x[0], -x[1]))
     kept, end = [], 0
     for x in out:

@@ -193,3 +193,8 @@ def test_numbers_side_by_side():
     for text, own in SIDE_BY_SIDE.items():
         assert [text[a:b] for a, b, _ in pii.find(text)] == own
         assert [x[1:] for x in pii.replaced(text, s)[1]] == [pii.replaced(x, s)[1][0][1:] for x in own]  # as each alone
+
+
+def test_names_whatever_stands_around():
+    for text, own in (("then Prof. Weber left", ["Weber"]), ("then (Anna Weber) left", ["Anna", "Weber"]), ('then "John Garvin" left', ["John", "Garvin"]), ("(Αθηνά Νίκου)", ["Αθηνά", "Νίκου"])):
+        assert [text[a:b] for a, b, _ in pii.find(text)] == own
