@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +35,39 @@ NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(OF_GIVEN))})(?=[  ])")
 #: Titles before a family name. Fixed values.
 TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sra?|Don|Doña)\b\.?[  ]+((?:[^\W\d_]\w*[  ])?)([^\W\d_a-zà-ÿ][^\W\d_]+)")
 #: Letters that stand for each other: same script, same sound class.
-LETTERS = ("bcdfghjklmnpqrstvwxz", "aeiouy", "бвгджзклмнпрстфхцчшщ", "аеёиоуыэюя", "βγδζθκλμνξπρστφχψ", "αεηιουω", "äöü", "àâèéêëîïôùû", "áíóú", "0123456789")
+LETTERS = ("bcdfghjklmnpqrstvwxz", "aeiouy", "бвгджзклмнпрстфхцчшщ", "аеёиоуыэюя", "βγδζθκλμνξπρστφχψ", "αεηιουω", "äöü", "àâèéêëîïôùû", "áíóú", "0123456789", "άέήίόύώ", "ñçłśšžčćřňďťńźżşğđ", "ąęěůőűøåæœãõ", "іїєґўј")
 CLASS = {c: (k, i) for k, letters in enumerate(LETTERS) for i, c in enumerate(letters)}
+
+
+@lru_cache(1 << 14)
+def class_of(c: str) -> tuple[str, int] | None:
+    """The letters that a lower-case letter or digit stands among, and its place there; None for other characters."""
+    if c in CLASS:
+        k, at = CLASS[c]
+        return LETTERS[k], at
+    if c == "ς" or not (c.isalpha() or c.isdecimal()):  # a final sigma is a sigma: it stays, so that capitals agree
+        return None
+    letters = page_letters(ord(c) >> 8, *_sort(c))
+    return letters, letters.index(c)
+
+
+def _sort(c: str) -> tuple[str, str, bool]:
+    """Script, category and whether there is one capital that leads back."""
+    upper = c.upper()
+    return unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), upper != c and len(upper) == 1 and upper.lower() == c
+
+
+@lru_cache(256)
+def page_letters(page: int, script: str, category: str, cased: bool) -> str:
+    """The letters of one sort, outside the classes, among 256 code points; lower-case ones."""
+    return "".join(c for c in map(chr, range(page << 8, page + 1 << 8)) if c not in CLASS and (c.isalpha() or c.isdecimal()) and c.lower() == c and _sort(c) == (script, category, cased))
+
+
+def form_of(letters: str) -> str:
+    k = LETTERS.index(letters) if letters in LETTERS else -1
+    return chr(97 + k) if k >= 0 else f"<{letters[0]}>"
+
+
 DIGITS = re.compile(r"(?<![\w.])[+(]?\d[\d .()\-/]{5,}\d(?!\w)")
 IPV4 = re.compile(r"(?<!\d)(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d)")
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
@@ -93,20 +125,23 @@ class Surrogates:
                 return value
 
     def by_class(self, kind: str, text: str) -> str:
-        """Each letter or digit replaced within its class; case and other characters stay."""
+        """Each letter or digit replaced within its class or, outside the classes, its script's page; case and other characters stay."""
         lower = text.lower()
         if len(lower) != len(text):
-            return self.opaque(kind, text)
-        known = [(i, *CLASS[c]) for i, c in enumerate(lower) if c in CLASS]
+            return self.opaque(kind, lower)
+        known = [(i, *found) for i, c in enumerate(lower) if (found := class_of(c))]
         size, value = 1, 0
-        for _, k, at in known:
-            size, value = size * len(LETTERS[k]), value * len(LETTERS[k]) + at
-        form = "".join(chr(97 + CLASS[c][0]) if c in CLASS else c for c in lower)
-        value = self.permuted(f"{kind}|{form}", size, value)
-        out = list(text)
-        for i, k, _ in reversed(known):
-            value, at = divmod(value, len(LETTERS[k]))
-            out[i] = LETTERS[k][at].upper() if text[i] != lower[i] else LETTERS[k][at]
+        for _, letters, at in known:
+            size, value = size * len(letters), value * len(letters) + at
+        form, out = list(lower), list(text)
+        for i, letters, _ in known:
+            form[i] = form_of(letters)
+        new = self.permuted(f"{kind}|{''.join(form)}", size, value)
+        if new == value and any(c.isalpha() and c not in CLASS for c in lower):
+            return self.opaque(kind, lower)
+        for i, letters, _ in reversed(known):
+            new, at = divmod(new, len(letters))
+            out[i] = letters[at].upper() if text[i] != lower[i] and _sort(letters[at])[2] else letters[at]
         return "".join(out)
 
     def opaque(self, kind: str, text: str) -> str:

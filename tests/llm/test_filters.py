@@ -198,3 +198,17 @@ def test_numbers_side_by_side():
 def test_names_whatever_stands_around():
     for text, own in (("then Prof. Weber left", ["Weber"]), ("then (Anna Weber) left", ["Anna", "Weber"]), ('then "John Garvin" left', ["John", "Garvin"]), ("(Αθηνά Νίκου)", ["Αθηνά", "Νίκου"])):
         assert [text[a:b] for a, b, _ in pii.find(text)] == own
+
+
+def test_no_script_stays():
+    s = pii.Surrogates(b"k")
+    for text in ("Dr. 王小明 came", "Dr. محمد x", "Dr. כהן x", "Dr. 김철수 x", "Mr. Çñł x", "Dr. Їїє x", "Dr. Ήίώ x", "王小明@例子.com", "ñç@łś.org", "Dr. ẞß x", "Dr. मरकर x", "Dr. 𠀀𠀁 x", "µ@µ.com"):
+        for _, own, new in pii.replaced(text, s)[1]:
+            assert all(a != b for a, b in zip(own.split("@"), new.split("@"))) and s.of("family", own) == s.of("family", own)
+            assert not any(c in new for c in own if c.isalpha() and ord(c) > 0x4DFF)
+        assert pii.replaced(text, s)[1]
+    assert len({s.by_class("family", "王" + chr(c)) for c in range(0x4E00, 0x5200)}) == 0x400
+    assert len({s.by_class("family", "ñ" + a + b) for a in "אבגדה" for b in "ñçłßæþ"}) == 30
+    for name in ("Ñíçł", "Ήλίας", "Їжак"):
+        assert s.by_class("family", name).lower() == s.by_class("family", name.lower()) and s.by_class("family", name)[0].isupper()
+    assert s.by_class("family", "ΝΙΚΟΣ").lower() == s.by_class("family", "νικος")
