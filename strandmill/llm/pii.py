@@ -3,7 +3,7 @@
 A surrogate comes from a keyed permutation of all strings of the same form: digits stay digits, vowels vowels, letters
 keep their case and script, check digits stay right, networks and country codes stay. The same entity gets the same
 surrogate in every document and in every way of writing it (coreference), and as a permutation never maps two things
-to one, different entities stay different; ``collisions`` checks that over a whole corpus. Given names go round a
+to one, different entities stay different; ``collisions`` can check that over a whole corpus. Given names go round a
 keyed cycle of the names of their script and gender.
 """
 
@@ -183,9 +183,11 @@ class Surrogates:
 
     def iban(self, text: str) -> str:
         own = text.replace(" ", "")
-        off = (int(own[2:4]) - iban_check(own)) % 97
         body = self.by_class(f"iban|{own[:2]}", own[4:])
-        given = iter(f"{own[:2]}{(iban_check(own[:2] + '00' + body) + off) % 97:02d}{body}")
+        check = int(own[2:4])
+        if 2 <= check <= 98:  # right ones are; 00, 01 and 99, never right, stay
+            check = 2 + (check - iban_check(own) + iban_check(own[:2] + "00" + body) - 2) % 97
+        given = iter(f"{own[:2]}{check:02d}{body}")
         return "".join(c if c == " " else next(given) for c in text)
 
     def given(self, name: str) -> str:
@@ -220,6 +222,8 @@ def normal(kind: str, text: str) -> str:
         return text.lower()
     if kind in ("phone", "card", "ssn", "number"):
         return ("+" if text.startswith("+") else "") + re.sub(r"\D", "", text)
+    if kind == "ipv4":
+        return ".".join(str(int(x)) for x in text.split("."))
     return text.replace(" ", "") if kind == "iban" else text
 
 
