@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandmill.llm import bpe, packing, tokenfile
+from strandmill.llm.flat import FlatMap
 from strandmill.llm.libtokens import LibraryEncoder
 from strandmill.llm.queries import queries
 from strandmill.llm.segment import SpacedSplitter
@@ -65,6 +66,32 @@ def test_state_limit(reference):
         assert small.encode(word.encode()) == reference.encode_ordinary(word)
 
 
+@pytest.mark.parametrize(("states", "long", "batch"), [(100_000, 400, 1 << 18), (30, 20, 200), (100_000, 5000, 1 << 18)])
+def test_flat_transducer(reference, states, long, batch):
+    rng, tokens = random.Random(4), list(bpe.read_ranks(RANKS))
+    words = ["thonblereing", "a" * 300, "日本語テキスト" * 9, "ab" * 100, "x" * 3000, "é" * 45]
+    for _ in range(1500):
+        words.append("".join(rng.choice("ab") for _ in range(rng.randrange(1, 40))))
+        words.append("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 16))))
+        words.append(b"".join(rng.choice(tokens) for _ in range(rng.randrange(1, 6))).decode("utf-8", "ignore") or "x")
+        words.append("".join(chr(rng.randrange(0x3040, 0x9000)) for _ in range(rng.randrange(1, 12))))
+    flat = bpe.FlatTransducer(bpe.BpeTransducer(bpe.read_ranks(RANKS)), max_states=states, long=long, batch_bytes=batch)
+    for some in (words[:900], words):
+        for word, ids in zip(some, flat.encode_many([w.encode() for w in some])):
+            assert np.frombuffer(ids, "<u4").tolist() == reference._core_bpe.encode_single_piece(word.encode()), word
+
+
+def test_flat_map():
+    rng, held, expected = np.random.default_rng(3), FlatMap(2), {}
+    for _ in range(60):
+        keys = np.unique(rng.integers(1, 1 << 40, 50).astype(np.uint64))
+        keys = keys[held.get(keys) < 0]
+        held.put(keys, np.arange(len(keys)))
+        expected |= dict(zip(keys.tolist(), range(len(keys))))
+    asked = np.concatenate((np.fromiter(expected, np.uint64), np.array([7, 8], np.uint64)))
+    assert held.get(asked).tolist() == [expected.get(k, -1) for k in asked.tolist()]
+
+
 @pytest.mark.parametrize(("file", "pattern"), [("byte_bpe_50k.json", P.PATTERN), ("word_bpe_49k.json", None)])
 def test_library_encoder(file, pattern):
     library = Tokenizer.from_file(P.path(file))
