@@ -7,6 +7,8 @@ tables, so that their SQL is exact containment.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -33,10 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir), a temporary one where that is unset."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="strandmill-")
+    """A new path in the cluster's shared folder (spark.checkpoint.dir); where that is unset, a temporary one in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="strandmill-")
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

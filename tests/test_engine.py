@@ -133,7 +133,7 @@ def test_reports(spark, toy, tmp_path):
 def test_config():
     config = parse_config("h: 2 # hashes\nk: 11\nm: 600000\nsequence_type: aminoacid\noutput_directory: /out\nindex_store_name: x.y\nmax_memory: 4GiB\n")
     assert (config.h, config.k, config.m, config.index_path) == (2, 11, 600000, "/out/x.index")
-    for bad, error in (("k: 3\nh: 1\nm: 9\n", KeyError), ("k: 0\nh: 1\nm: 9\nsequence_type: aminoacid\n", ValueError), ("k: 3\nh: 1\nm: 9\nsequence_type: rna\n", ValueError)):
+    for bad, error in (("k: 3\nh: 1\nm: 9\n", KeyError), ("k: 0\nh: 1\nm: 9\nsequence_type: aminoacid\n", KeyError), ("k: 3\nh: 1\nm: 9\nsequence_type: rna\n", ValueError)):
         with pytest.raises(error):
             parse_config(bad)
 
