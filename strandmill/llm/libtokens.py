@@ -34,12 +34,11 @@ def byte_alphabet() -> dict[int, int]:
 class LibraryEncoder:
     """Ids of whole texts by a file of the tokenizers library, without special tokens put around them.
 
-    ``end``: an id put after each text. ``added_tokens``: the file's added tokens in a text give their own ids, as in
-    the library as loaded; otherwise they are text like any other, as with its ``encode_special_tokens``.
-    ``width``: bytes of an id in ``packed``, 2 if every id fits, else 4.
+    ``end``: an id put after each text. The file's added tokens in a text give their own ids, as in the library as
+    loaded. ``width``: bytes of an id in ``packed``, 2 if every id fits, else 4.
     """
 
-    def __init__(self, file: str, pattern: str | None, end: int | None = None, kept_words: int = 400_000, added_tokens: bool = False):
+    def __init__(self, file: str, pattern: str | None, end: int | None = None, kept_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +50,7 @@ class LibraryEncoder:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.memo = WordMemo(kept_words, self._many)
         self.end = b"" if end is None else np.array([end], self.kind).tobytes()
-        self.added = self._added(file) if added_tokens else {}
+        self.added = self._added(file)
         self.cut = regex.compile(f"({'|'.join(map(regex.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
 
     def _added(self, file: str) -> dict[str, bytes]:
@@ -84,6 +83,6 @@ class LibraryEncoder:
 
 
 @cache
-def library_encoder(file: str, pattern: str | None, end: int | None, added_tokens: bool = False) -> LibraryEncoder:
+def library_encoder(file: str, pattern: str | None, end: int | None) -> LibraryEncoder:
     """One per process: the tasks that a worker runs share its words."""
-    return LibraryEncoder(file, pattern, end, added_tokens=added_tokens)
+    return LibraryEncoder(file, pattern, end)

@@ -69,17 +69,16 @@ def best_fit_decreasing(lengths: list[int], window: int, first: int = 0) -> tupl
     return windows, offsets, first
 
 
-def pack_documents(docs: DataFrame, file: str, *, window: int = 2048, end: int | None = 1, pattern: str | None = None, round_tokens: int = 8_000_000, added_tokens: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, file: str, *, window: int = 2048, end: int | None = 1, pattern: str | None = None, round_tokens: int = 8_000_000) -> DataFrame:
     """Every piece of every document: (doc_id, start, length, ids binary, doc_tokens, sequence_id, offset).
 
-    A document is its text's ids by the tokenizer ``file``, then ``end``; null text is empty; with
-    ``added_tokens`` the file's added tokens in a text give their own ids. Its full windows come first, the rest is one piece. Ids of a piece are little-endian, 2 bytes each if the vocabulary allows, else 4.
+    A document is its text's ids by the tokenizer ``file``, then ``end``; null text is empty. Its full windows come first, the rest is one piece. Ids of a piece are little-endian, 2 bytes each if the vocabulary allows, else 4.
     Sequences are numbered within each task from task << 40; a sequence's pieces fill it from offset 0 without gaps.
     Repeated rows are packed each; without ``end``, a document without ids has no piece. Null ids of documents stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(file, pattern, end, added_tokens)
+        encoder = library_encoder(file, pattern, end)
         width, base = encoder.kind.itemsize, TaskContext.get().partitionId() << 40
         step, number = window * width, base
         held: list[tuple] = []

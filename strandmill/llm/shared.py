@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,11 +17,13 @@ PASS_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
+    """The folder that the session names in ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandmill-"))
         named = spark.sparkContext.getCheckpointDir()
     return f"{named.rstrip('/')}/strandmill-{spark.sparkContext.applicationId}"
