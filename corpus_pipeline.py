@@ -32,12 +32,12 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of every piece."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end=1, added_tokens=True)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end=1)
 
 
 STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("pii", private), ("packing", packed)]
 
-#: The stages rest on fitted models and a tokenizer, which SQL cannot express; tests hold them against brute force.
+#: The stages rest on fitted models and a tokenizer, which SQL cannot express; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
