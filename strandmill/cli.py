@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import argparse
-import json
+import sys
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.operators import index
-from strandmill.operators.search import search
+from strandmill.operators.search import detected_type, search
 from strandmill.plans.config import Config, read_config
 from strandmill.ship import ship
 from strandmill.sources.reports import write_report
@@ -40,7 +40,27 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _records(spark: SparkSession, path: str, config: Config) -> DataFrame:
-    return read_sequences(spark, path, config.k).select(F.col("seq_id").alias("sample_id"), "seq")
+    """Each record of a file as a sample, those that share an id too."""
+    return index.by_record(read_sequences(spark, path, config.k).select(F.col("seq_id").alias("sample_id"), "seq"))
+
+
+def _search(spark: SparkSession, args: argparse.Namespace, config: Config) -> None:
+    if args.sequence:
+        queries = spark.createDataFrame([("user_input_seq", args.sequence)], "query_id string, seq string")
+    else:
+        queries = read_sequences(spark, args.file, config.k).select(F.col("seq_id").alias("query_id"), "seq")
+    held = index.Index(spark, config.index_path)
+    config.agree(held.settings)
+    kind = detected_type(queries)
+    if kind is None:
+        print("there is no query of k letters at least")
+        return
+    if kind != args.type:
+        print(f"warning: the queries were declared {args.type} and look like {kind}", file=sys.stderr)
+    hits = search(queries, held, args.threshold, args.type)
+    path = f"{config.output_directory.rstrip('/')}/query_results-{datetime.now(UTC):%Y%m%dT%H%M%S%f}_t{args.threshold}.txt"
+    single = bool(args.sequence) and not (args.type == "nucleotide" and not held.canonical)
+    print(path if write_report(hits, path, args.threshold, single) else f"no sample holds enough of a query (threshold {args.threshold})")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -53,25 +73,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("strandmill").getOrCreate()
     ship(spark)
     if args.command in ("build", "update", "build_matrix"):
-        records = read_samples(spark, args.input_file, config.k)
+        records = read_samples(spark, args.input_file, config.k, f"{config.output_directory.rstrip('/')}/nonexistent_file_paths.txt")
         {"build": index.build, "update": index.update, "build_matrix": index.build_matrix}[args.command](records, config)
     elif args.command in ("build-seq", "update-seq"):
         (index.build if args.command == "build-seq" else index.update)(_records(spark, args.input_file, config), config)
     elif args.command in ("build_index", "update_index"):
+        if index.index_exists(spark, config.index_path) == (args.command == "build_index"):
+            raise SystemExit(f"{config.index_path} is {'already' if args.command == 'build_index' else 'not'} there")
         index.build_from_matrix(spark, config)
     elif args.command == "summary":
-        print(json.dumps(index.summary(spark, config.index_path), indent=2))
+        print(index.summary_yaml(index.summary(spark, config.index_path)), end="")
     else:
-        if args.sequence:
-            queries = spark.createDataFrame([("user_input_seq", args.sequence)], "query_id string, seq string")
-        else:
-            queries = read_sequences(spark, args.file, config.k).select(F.col("seq_id").alias("query_id"), "seq")
-        held = index.Index(spark, config.index_path)
-        config.agree(held.settings)
-        hits = search(queries, held, args.threshold, args.type)
-        path = f"{config.output_directory}/query_results-{datetime.now(UTC):%Y%m%dT%H%M%S%f}_t{args.threshold}.txt"
-        single = bool(args.sequence) and not (args.type == "nucleotide" and not held.canonical)
-        print(path if write_report(hits, path, args.threshold, single) else f"no sample holds enough of a query (threshold {args.threshold})")
+        _search(spark, args, config)
     return 0
 
 

@@ -1,7 +1,8 @@
 """k-mers of byte strings and their Bloom-filter positions, by array operations.
 
 A k-mer is any window of k bytes of a sequence's UTF-8 form. Of a nucleotide sequence the smaller of the window and
-its reverse complement counts. Positions are MurmurHash64A with seeds 0 to h - 1, modulo m, unsigned.
+its reverse complement counts. Positions are MurmurHash64A with seeds 0 to h - 1, modulo m, unsigned. Below 8 bytes a
+k-mer is only XORed with the seed, so k-mers that differ in the lowest bits of their first byte share positions.
 """
 
 from __future__ import annotations

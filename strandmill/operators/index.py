@@ -1,10 +1,15 @@
 """Building, appending to, opening and summing up a bit-slice index.
 
-An index is a folder of Parquet tables: ``samples`` (sample_idx, sample_id, n_bytes, batch_id), ``postings`` (bit,
-part, sample_idxs, batch_id) and ``meta``, one row per batch. A bit's samples are one sorted array per 65,536 sample
-numbers, so that no array grows with the collection. Postings are range-partitioned and sorted by bit, so a search
-reads only the row groups whose bits it needs. An update writes a new batch and rewrites nothing; a batch counts once
-its meta row is there, which is written last.
+An index is a folder of Parquet tables: ``samples``, ``postings`` and ``meta``, one row per batch. A batch is built in
+one pass over its records: each task hashes them, drops positions that a sample has already given, and packs what is
+left into arrays, one per slab, an even range of bit positions. Hashes are uniform, so slabs need no sampling to be
+even; they are sized by the bytes to be hashed. The arrays go to the task of their bucket, a run of slabs, and are
+merged there slab by slab. What is stored are rows of a narrow range of positions each (``fine``): the positions that
+any sample has, where each one's samples end, and the samples. Buckets are folders, so a search reads only those
+that its positions lie in, and of these only the row groups with its ranges, if they are few.
+
+An update writes a new batch and rewrites nothing. A batch claims its number first and counts once its meta row is
+there, which is written last.
 """
 
 from __future__ import annotations
@@ -20,12 +25,52 @@ from pyspark.sql import functions as F
 from strandmill.functions.columns import bucket_width
 from strandmill.functions.kmers import positions
 from strandmill.plans.config import Config
+from strandmill.storage import claim, exists, located, shared_path
 
-PART = 1 << 16
+#: Samples of one row, a bound for arrays of positions that every sample has.
+PART_BITS = 22
+SLAB_PAIRS, FINE, MOST_BUCKETS = 1 << 21, 512, 4096
+FLUSH_PAIRS = 1 << 22
+#: Bytes of a record that are hashed at once; pieces overlap by k - 1.
+PIECE = 1 << 20
+
+PACKED = "slab bigint, part int, offsets binary, samples binary"
+STORED = "bucket int, fine bigint, part int, offsets binary, ends binary, samples binary"
+META = "batch_id int, k int, h int, m bigint, sequence_type string, slabs bigint, n_samples bigint, created_on string, last_updated_on string, bucket_width bigint, token string"
+
+
+class Grid:
+    """How m positions are cut: ``slabs`` even ranges of FINE fine ones each, and ``buckets`` runs of slabs."""
+
+    def __init__(self, m: int, slabs: int):
+        self.m, self.slabs, self.buckets = m, slabs, min(slabs, MOST_BUCKETS)
+        self.width = -(-m // slabs)
+        self.fine = -(-self.width // FINE)
+        self.offset = np.dtype("<u4" if self.width < 1 << 32 else "<u8")
+
+    @classmethod
+    def of(cls, m: int, pairs: int) -> Grid:
+        return cls(m, 1 << min(20, (max(pairs // SLAB_PAIRS, 1) - 1).bit_length()))
+
+    def bucket(self, slab):
+        return slab * self.buckets // self.slabs
+
+    def fine_of(self, bits: np.ndarray) -> np.ndarray:
+        slab = bits // self.width
+        return slab * FINE + (bits - slab * self.width) // self.fine
+
+    def begin(self, slab: int) -> int:
+        return slab * self.width
+
+
+def pieces(sequence: bytes, k: int) -> Iterator[bytes]:
+    """The sequence in pieces with the same k-mers."""
+    for i in range(0, max(len(sequence) - k + 1, 0), PIECE):
+        yield sequence[i : i + PIECE + k - 1]
 
 
 def sample_bits(records: DataFrame, k: int, h: int, m: int, canonical: bool, wanted: np.ndarray | None = None, key: str = "sample_idx") -> DataFrame:
-    """(key, bit): the distinct Bloom-filter positions of each record of (key, seq), not yet distinct over records.
+    """(key, bit): the Bloom-filter positions of each record of (key, seq), distinct in each piece of a record.
 
     ``wanted``: sorted positions; others are left out where they arise. Records shorter than k bytes give nothing.
     """
@@ -39,19 +84,20 @@ def sample_bits(records: DataFrame, k: int, h: int, m: int, canonical: bool, wan
         for batch in batches:
             names, found, held = [], [], 0
             for name, seq in zip(batch.column(0), batch.column(1)):
-                bits = positions(seq.as_py().encode(), k, h, m, canonical).ravel()
-                if shared is not None:
-                    own = shared.value
-                    bits = bits[hashed[bits & places]]  # most go here, before they are sorted or looked up
-                    at = np.searchsorted(own, bits)
-                    bits = bits[own[np.minimum(at, len(own) - 1)] == bits] if len(own) else bits[:0]
-                bits = np.unique(bits)
-                names.append((name.as_py(), len(bits)))
-                found.append(bits)
-                held += len(bits)
-                if held > 1 << 20:
-                    yield _rows(names, found, batch.schema.field(0).type)
-                    names, found, held = [], [], 0
+                for piece in pieces(seq.as_py().encode(), k):
+                    bits = positions(piece, k, h, m, canonical).ravel()
+                    if shared is not None:
+                        own = shared.value
+                        bits = bits[hashed[bits & places]]  # most go here, before they are sorted or looked up
+                        at = np.searchsorted(own, bits)
+                        bits = bits[own[np.minimum(at, len(own) - 1)] == bits] if len(own) else bits[:0]
+                    bits = np.unique(bits)
+                    names.append((name.as_py(), len(bits)))
+                    found.append(bits)
+                    held += len(bits)
+                    if held > 1 << 20:
+                        yield _rows(names, found, batch.schema.field(0).type)
+                        names, found, held = [], [], 0
             if names:
                 yield _rows(names, found, batch.schema.field(0).type)
 
@@ -64,122 +110,273 @@ def _rows(names: list[tuple], found: list[np.ndarray], kind: pa.DataType) -> pa.
     return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(found))], names=["key", "bit"])
 
 
-def number_samples(records: DataFrame, k: int, batch_id: int = 0, first: int = 0) -> DataFrame:
-    """(sample_idx, sample_id, n_bytes, batch_id) of the samples with a record of k bytes at least.
+def bit_slices(bits: DataFrame) -> DataFrame:
+    """(bit, part, sample_idxs): the samples of each bit, sorted, 65,536 sample numbers to a part."""
+    part = F.floor(F.col("sample_idx") / 65536).cast("bigint").alias("part")
+    return bits.groupBy("bit", part).agg(F.array_sort(F.collect_set("sample_idx")).alias("sample_idxs"))
+
+
+def _keys(records: DataFrame) -> list[str]:
+    """What makes a sample: its id, or its number and id where records have a ``sample_no``."""
+    return ["sample_id", "sample_no"] if "sample_no" in records.columns else ["sample_id"]
+
+
+def number_samples(records: DataFrame, k: int, path: str | None = None) -> DataFrame:
+    """(sample_idx, sample_id, n_bytes, and sample_no if given) of the samples with a record of k bytes at least.
 
-    Numbers follow the samples' bytes in all, ties the sample_id.
+    Numbers follow the samples' bytes in all, ties the sample_id. The samples are sorted into ranges and written at
+    ``path``; a number is the place in its range and the sizes of the ranges before, so no task sees all samples.
     """
-    sizes = records.groupBy("sample_id").agg(F.coalesce(F.sum(F.octet_length("seq")), F.lit(0)).alias("n_bytes"), F.max(F.octet_length("seq")).alias("longest"))
-    order = Window.orderBy("n_bytes", "sample_id")  # one row per sample, no sequences
-    numbered = sizes.where(F.col("longest") >= k).withColumn("sample_idx", F.row_number().over(order) - 1 + first)
-    return numbered.select(F.col("sample_idx").cast("int"), "sample_id", "n_bytes", F.lit(batch_id).alias("batch_id"))
+    keys = _keys(records)
+    sizes = records.where(F.col("sample_id").isNotNull()).groupBy(*keys).agg(F.coalesce(F.sum(F.octet_length("seq")), F.lit(0)).alias("n_bytes"), F.max(F.octet_length("seq")).alias("longest"))
+    spark, path = records.sparkSession, path or shared_path(records.sparkSession, "samples")
+    sizes.where(F.col("longest") >= k).drop("longest").orderBy("n_bytes", *keys).withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    placed = spark.read.parquet(path).withColumns({"range": F.shiftright("place", 33), "place": F.col("place").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))  # one row per range
+    return placed.join(F.broadcast(ranges), "range").select((F.col("before") + F.col("place")).alias("sample_idx"), *keys, "n_bytes")
 
 
-def bit_slices(bits: DataFrame) -> DataFrame:
-    """(bit, part, sample_idxs): the samples of each bit, sorted, 65,536 sample numbers to a part."""
-    part = F.floor(F.col("sample_idx") / PART).cast("int").alias("part")
-    return bits.groupBy("bit", part).agg(F.array_sort(F.collect_set("sample_idx")).alias("sample_idxs"))
+def packed_bits(records: DataFrame, config: Config, grid: Grid) -> DataFrame:
+    """(slab, part, offsets, samples): the positions of (sample_idx, seq), packed by slab and part.
 
+    Positions that a sample gives again are left out within a flush of FLUSH_PAIRS; the merge drops the others.
+    """
+    k, h, m, canonical = config.k, config.h, config.m, config.canonical
+    shift = 63 - m.bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[int, int] = {}
+        held, total = [], 0
+
+        def flush() -> pa.RecordBatch:
+            pairs = np.concatenate(held)
+            pairs.sort()
+            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+            bits, sample = pairs >> shift, np.fromiter(names, np.int64, len(names))[pairs & ((1 << shift) - 1)]
+            if sample.max() >> 32:
+                raise OverflowError("a batch holds 2 ** 32 samples at most")
+            slab, part = bits // grid.width, sample >> PART_BITS
+            if part.any():
+                sort = np.lexsort((part, slab))
+                bits, sample, slab, part = bits[sort], sample[sort], slab[sort], part[sort]
+            begin = np.flatnonzero(np.append(True, (slab[1:] != slab[:-1]) | (part[1:] != part[:-1])))
+            cuts = np.append(begin, len(bits))
+            columns = [pa.array(slab[begin]), pa.array(part[begin].astype(np.int32)), binaries((bits - slab * grid.width).astype(grid.offset), cuts), binaries(sample.astype("<u4"), cuts)]
+            return pa.RecordBatch.from_arrays(columns, names=["slab", "part", "offsets", "samples"])
 
-def sorted_slices(bits: DataFrame) -> DataFrame:
-    """As ``bit_slices``, range-partitioned and sorted by bit: one shuffle, then runs of equal bits become arrays."""
+        for batch in batches:
+            for sample, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for piece in pieces(seq.as_py().encode(), k):
+                    if total and (total + h * len(piece) > FLUSH_PAIRS or (sample not in names and len(names) >> shift)):
+                        yield flush()
+                        names, held, total = {}, [], 0
+                    bits = positions(piece, k, h, m, canonical).ravel()
+                    held.append(bits << shift | names.setdefault(sample, len(names)))
+                    total += len(bits)
+        if total:
+            yield flush()
+
+    given = records.select("sample_idx", "seq").where(F.octet_length("seq") >= k)
+    return given.mapInArrow(run, PACKED)
+
+
+def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The stretches between the cuts as binary values, without a copy."""
+    places = np.asarray(cuts, np.int64) * values.itemsize
+    if places[-1] >= 1 << 31:
+        return pa.array([values[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def merged(packed: DataFrame, grid: Grid) -> DataFrame:
+    """The rows that are stored, of packed arrays: one shuffle of these, no sampling, each slab merged by itself."""
+
+    def finish(slab: int, part: int, offsets: list[bytes], samples: list[bytes]) -> pa.RecordBatch:
+        bit, sample = np.frombuffer(b"".join(offsets), grid.offset), np.frombuffer(b"".join(samples), "<u4")
+        if grid.offset.itemsize == 4:
+            pairs = bit.astype(np.uint64) << np.uint64(32) | sample
+            pairs.sort()
+            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+            bit, sample = (pairs >> np.uint64(32)).astype(grid.offset), pairs.astype("<u4")
+        else:
+            sort = np.lexsort((sample, bit))
+            bit, sample = bit[sort], sample[sort]
+            new = np.append(True, (bit[1:] != bit[:-1]) | (sample[1:] != sample[:-1]))
+            bit, sample = bit[new], sample[new]
+        begin = np.flatnonzero(np.append(True, bit[1:] != bit[:-1]))  # of each position's samples
+        own = bit[begin]
+        fine = own.astype(np.int64) // grid.fine
+        row = np.flatnonzero(np.append(True, fine[1:] != fine[:-1]))  # of each row's positions
+        cuts, pair_cuts = np.append(row, len(own)), np.append(begin[row], len(bit))
+        ends = np.append(begin[1:], len(bit)) - np.repeat(pair_cuts[:-1], np.diff(cuts))
+        n = len(row)
+        columns = [pa.array(np.full(n, grid.bucket(slab), np.int32)), pa.array(slab * FINE + fine[row]), pa.array(np.full(n, part, np.int32)), binaries(own, cuts), binaries(ends.astype("<u4"), cuts), binaries(sample, pair_cuts)]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "fine", "part", "offsets", "ends", "samples"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64) for _ in range(3)]  # the last bit's rows may go on in the next batch
+        at, offsets, samples = None, [], []
         for batch in batches:
-            rest = [np.concatenate((old, batch.column(i).to_numpy(zero_copy_only=False))) for i, old in enumerate(rest)]
-            cut = np.flatnonzero((np.diff(rest[0]) != 0) | (np.diff(rest[1]) != 0))
-            if len(cut):
-                end = cut[-1] + 1
-                yield _runs(*(x[:end] for x in rest))
-                rest = [x[end:] for x in rest]
-        if len(rest[0]):
-            yield _runs(*rest)
+            for slab, part, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if at != (slab, part) and offsets:
+                    yield finish(*at, offsets, samples)
+                    offsets, samples = [], []
+                at = slab, part
+                offsets.append(a)
+                samples.append(b)
+        if offsets:
+            yield finish(*at, offsets, samples)
 
-    rows = bits.select("bit", F.floor(F.col("sample_idx") / PART).cast("int").alias("part"), "sample_idx")
-    ordered = rows.repartitionByRange("bit", "part").sortWithinPartitions("bit", "part", "sample_idx")
-    return ordered.mapInArrow(run, "bit bigint, part int, sample_idxs array<int>")
+    bucket = F.floor(F.col("slab") * grid.buckets / F.lit(grid.slabs)).cast("int")
+    dealt = packed.repartitionById(grid.buckets, bucket).sortWithinPartitions("slab", "part")
+    return dealt.mapInArrow(run, STORED).sortWithinPartitions("bucket", "fine", "part")
 
 
-def _runs(bit: np.ndarray, part: np.ndarray, sample: np.ndarray) -> pa.RecordBatch:
-    new = np.append(True, (np.diff(bit) != 0) | (np.diff(part) != 0) | (np.diff(sample) != 0))
-    bit, part, sample = bit[new], part[new], sample[new]
-    begins = np.flatnonzero(np.append(True, (np.diff(bit) != 0) | (np.diff(part) != 0)))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(bit)).astype(np.int32)), pa.array(sample.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(bit[begins].astype(np.int64)), pa.array(part[begins].astype(np.int32)), lists], names=["bit", "part", "sample_idxs"])
+def _meta(spark: SparkSession, path: str) -> list:
+    return sorted(spark.read.schema(META).parquet(f"{path}/meta").collect(), key=lambda r: r["batch_id"])  # one row per batch
 
 
-def _meta(spark: SparkSession, path: str) -> list:
-    return sorted(spark.read.parquet(f"{path}/meta").collect(), key=lambda r: r["batch_id"])  # one row per batch
+def _claimed(spark: SparkSession, path: str, first: int) -> int:
+    """A batch number that no other build or update has; a number without a meta row is that of an interrupted one."""
+    while not claim(spark, f"{path}/claims/{first}"):
+        first += 1
+    return first
 
 
-def _write(records: DataFrame, config: Config, batch_id: int, first: int, created: str | None) -> None:
-    spark, path = records.sparkSession, config.index_path
-    # The leading table of an interrupted batch, if any, is overwritten: its meta row was never written.
-    samples = f"{path}/samples/batch={batch_id}"
-    number_samples(records, config.k, batch_id, first).write.mode("overwrite").parquet(samples)
-    numbered = spark.read.parquet(samples)
-    named = records.join(numbered.select("sample_id", "sample_idx"), "sample_id").select("sample_idx", "seq")
-    bits = sample_bits(named, config.k, config.h, config.m, config.canonical)
-    sorted_slices(bits).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings/batch={batch_id}")
+def _pairs(samples: DataFrame, h: int) -> int:
+    return int(samples.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)) * h).first()[0])
+
+
+def _store(spark: SparkSession, config: Config, batch: int, samples: DataFrame, packed: DataFrame, grid: Grid, old: list, token: str | None) -> None:
+    path = config.index_path
+    # Row groups of 8 MB and small pages: a search reads the rows of a few ranges.
+    stored = merged(packed, grid).write.mode("overwrite").partitionBy("bucket").options(**{"compression": "zstd", "parquet.block.size": 1 << 23, "parquet.page.size": 1 << 17})
+    stored.parquet(f"{path}/postings/batch={batch}")
     today = datetime.now(UTC).strftime("%d-%m-%Y")
-    n = numbered.count()
-    meta = [(batch_id, config.k, config.h, config.m, config.sequence_type, n, created or today, today, bucket_width(config.m))]
-    spark.createDataFrame(meta, "batch_id int, k int, h int, m bigint, sequence_type string, n_samples bigint, created_on string, last_updated_on string, bucket_width bigint").coalesce(1).write.mode("append").parquet(f"{path}/meta")
+    meta = [(batch, config.k, config.h, config.m, config.sequence_type, grid.slabs, samples.count(), old[0]["created_on"] if old else today, today, bucket_width(config.m), token)]
+    spark.createDataFrame(meta, META).coalesce(1).write.mode("append").parquet(f"{path}/meta")
+
+
+def _write(records: DataFrame, config: Config, old: list, token: str | None) -> None:
+    spark, path = records.sparkSession, config.index_path
+    batch = _claimed(spark, path, old[-1]["batch_id"] + 1 if old else 0)
+    samples = _samples(records, config, f"{path}/samples/batch={batch}")
+    grid = Grid.of(config.m, _pairs(samples, config.h))
+    _store(spark, config, batch, samples, packed_bits(_numbered(records, samples), config, grid), grid, old, token)
+
+
+def _samples(records: DataFrame, config: Config, path: str) -> DataFrame:
+    number_samples(records, config.k, shared_path(records.sparkSession, "samples")).write.mode("overwrite").parquet(path)
+    return records.sparkSession.read.parquet(path)
+
+
+def _numbered(records: DataFrame, samples: DataFrame) -> DataFrame:
+    keys = _keys(records)
+    return records.join(samples.select("sample_idx", *keys), keys).select("sample_idx", "seq")
+
+
+def by_record(records: DataFrame) -> DataFrame:
+    """``records`` with a ``sample_no`` that makes each record a sample of its own, whatever its id.
+
+    They are written once to the shared folder, parsed, so that all later passes see the same numbers.
+    """
+    path = shared_path(records.sparkSession, "records")
+    records.select("sample_id", "seq").withColumn("sample_no", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    return records.sparkSession.read.parquet(path)
+
 
+def index_exists(spark: SparkSession, path: str) -> bool:
+    return exists(spark, f"{path}/meta")
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
+def build(records: DataFrame, config: Config, token: str | None = None) -> None:
+    """A new index of (sample_id, seq) records; an existing one is never overwritten.
 
-def build(records: DataFrame, config: Config) -> None:
-    """A new index of (sample_id, seq) records; an existing one is never overwritten. Repeated sample ids are one sample."""
-    if exists(records.sparkSession, config.index_path):
+    Records of one sample_id are one sample, unless a column ``sample_no`` tells them apart (``by_record``). Records
+    without a sample_id or shorter than k bytes give nothing. ``token``: kept with the batch, see ``update``.
+    """
+    if index_exists(records.sparkSession, config.index_path):
         raise FileExistsError(config.index_path)
-    _write(records, config, 0, 0, None)
+    _write(records, config, [], token)
 
 
-def update(records: DataFrame, config: Config) -> None:
-    """Appends the records' samples as a new batch; the settings must be those of the index."""
-    meta = _meta(records.sparkSession, config.index_path)
-    config.agree(meta[0].asDict())
-    _write(records, config, meta[-1]["batch_id"] + 1, sum(r["n_samples"] for r in meta), meta[0]["created_on"])
+def update(records: DataFrame, config: Config, token: str | None = None) -> bool:
+    """Appends the records' samples as a new batch; the settings must be those of the index.
+
+    A sample_id that is there already becomes another sample. With a ``token`` that a batch of the index has, nothing
+    is done and False returned, so that an update can be repeated safely.
+    """
+    old = _meta(records.sparkSession, config.index_path)
+    config.agree(old[0].asDict())
+    if token is not None and any(r["token"] == token for r in old):
+        return False
+    _write(records, config, old, token)
+    return True
 
 
 def build_matrix(records: DataFrame, config: Config) -> None:
-    """The Bloom matrix alone, in long form (sample_id, bit), for ``build_from_matrix``."""
-    numbered = number_samples(records, config.k)
-    bits = sample_bits(records.join(numbered.select("sample_id"), "sample_id"), config.k, config.h, config.m, config.canonical, key="sample_id")
-    bits.distinct().write.mode("errorifexists").parquet(f"{config.matrix_path}/bits")
-    numbered.write.mode("errorifexists").parquet(f"{config.matrix_path}/samples")
+    """The Bloom matrix alone, as packed positions, for ``build_from_matrix``."""
+    spark, path = records.sparkSession, config.matrix_path
+    if exists(spark, f"{path}/grid"):
+        raise FileExistsError(path)
+    samples = _samples(records, config, f"{path}/samples")
+    grid = Grid.of(config.m, _pairs(samples, config.h))
+    packed_bits(_numbered(records, samples), config, grid).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/bits")
+    row = [(config.k, config.h, config.m, config.sequence_type, grid.slabs)]
+    spark.createDataFrame(row, "k int, h int, m bigint, sequence_type string, slabs bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/grid")
 
 
 def build_from_matrix(spark: SparkSession, config: Config) -> None:
     """The index of an existing Bloom matrix; a batch of its own if there is an index already."""
-    old = _meta(spark, config.index_path) if exists(spark, config.index_path) else []
-    if old:
+    of = spark.read.parquet(f"{config.matrix_path}/grid").first().asDict()
+    config.agree(of)
+    path, old = config.index_path, []
+    if index_exists(spark, path):
+        old = _meta(spark, path)
         config.agree(old[0].asDict())
-    batch, first, path = len(old), sum(r["n_samples"] for r in old), config.index_path
-    samples = spark.read.parquet(f"{config.matrix_path}/samples").withColumns({"sample_idx": F.col("sample_idx") + first, "batch_id": F.lit(batch)})
-    samples.write.mode("overwrite").parquet(f"{path}/samples/batch={batch}")
-    bits = spark.read.parquet(f"{config.matrix_path}/bits").join(samples.select("sample_id", "sample_idx"), "sample_id")
-    sorted_slices(bits).withColumn("batch_id", F.lit(batch)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings/batch={batch}")
-    today = datetime.now(UTC).strftime("%d-%m-%Y")
-    meta = [(batch, config.k, config.h, config.m, config.sequence_type, samples.count(), old[0]["created_on"] if old else today, today, bucket_width(config.m))]
-    spark.createDataFrame(meta, "batch_id int, k int, h int, m bigint, sequence_type string, n_samples bigint, created_on string, last_updated_on string, bucket_width bigint").coalesce(1).write.mode("append").parquet(f"{path}/meta")
+    batch = _claimed(spark, path, old[-1]["batch_id"] + 1 if old else 0)
+    spark.read.parquet(f"{config.matrix_path}/samples").write.mode("overwrite").parquet(f"{path}/samples/batch={batch}")
+    _store(spark, config, batch, spark.read.parquet(f"{path}/samples/batch={batch}"), spark.read.schema(PACKED).parquet(f"{config.matrix_path}/bits"), Grid(config.m, of["slabs"]), old, None)
 
 
 class Index:
-    """An index that is there: its settings, samples and postings."""
+    """An index that is there: its settings, samples and postings.
+
+    A sample's number in its batch and the samples of the batches before make its ``sample_idx``.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.batches = _meta(spark, path)
         self.settings = self.batches[0].asDict()
-        done = [f"{path}/{{}}/batch={r['batch_id']}" for r in self.batches]
-        self.samples = spark.read.parquet(*(d.format("samples") for d in done))
-        self.postings = spark.read.parquet(*(d.format("postings") for d in done))
+        sizes = np.array([r["n_samples"] for r in self.batches])
+        self.first = dict(zip((r["batch_id"] for r in self.batches), (np.cumsum(sizes) - sizes).tolist()))
+
+    def _of_batch(self, column: str = "batch") -> F.Column:
+        """What is added to a sample's number in its batch."""
+        pairs = [F.lit(x) for pair in self.first.items() for x in pair]
+        return F.create_map(*pairs)[F.col(column)]
+
+    @property
+    def samples(self) -> DataFrame:
+        """(sample_idx, sample_id, n_bytes, batch)."""
+        paths = [f"{self.path}/samples/batch={b}" for b in self.first]
+        rows = self.spark.read.option("basePath", f"{self.path}/samples").parquet(*paths)
+        return rows.select((F.col("sample_idx") + self._of_batch()).alias("sample_idx"), "sample_id", "n_bytes", "batch")
+
+    @property
+    def grids(self) -> dict[int, list[int]]:
+        """The batches by the slabs of their grid, a power of two."""
+        out: dict[int, list[int]] = {}
+        for r in self.batches:
+            out.setdefault(r["slabs"], []).append(r["batch_id"])
+        return out
+
+    def postings(self, slabs: int) -> DataFrame:
+        """The stored rows of the batches with a grid of so many slabs, and ``first``, what their samples begin at."""
+        paths = [f"{self.path}/postings/batch={b}" for b in self.grids[slabs] if exists(self.spark, f"{self.path}/postings/batch={b}/_SUCCESS")]
+        schema = f"batch int, {STORED}"
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/postings").parquet(*paths).withColumn("first", self._of_batch())
 
     @property
     def canonical(self) -> bool:
@@ -187,9 +384,29 @@ class Index:
 
 
 def summary(spark: SparkSession, path: str) -> dict:
-    """The index's settings and sizes."""
+    """The index's settings and sizes, in two groups."""
     index = Index(spark, path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stored = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+    system, target = located(spark, path)
+    stored = system.getContentSummary(target).getLength()
     n, s = sum(r["n_samples"] for r in index.batches), index.settings
-    return {"k": s["k"], "m": s["m"], "h": s["h"], "sequence_type": s["sequence_type"], "created_on": s["created_on"], "last_updated_on": index.batches[-1]["last_updated_on"], "update_count": len(index.batches) - 1, "number_of_samples": n, "raw_bytes": -(-s["m"] // 8) * n, "stored_bytes": stored}
+    return {
+        "filter": {"k": s["k"], "m": s["m"], "h": s["h"], "sequence_type": s["sequence_type"]},
+        "store": {"created_on": s["created_on"], "update_count": len(index.batches) - 1, "last_updated_on": index.batches[-1]["last_updated_on"], "tables": "meta, postings, samples", "number_of_samples": n, "compression": "zstd", "raw_bytes": -(-s["m"] // 8) * n, "stored_bytes": stored},
+    }
+
+
+def summary_yaml(info: dict) -> str:
+    """``summary`` as YAML; sizes in bytes and in the largest unit that fits."""
+    out = []
+    for group, values in info.items():
+        out.append(f"{group}:")
+        for key, value in values.items():
+            out.append(f"  {key}: {f'{value} ({_binary(value)})' if key.endswith('_bytes') else value}")
+    return "\n".join(out) + "\n"
+
+
+def _binary(n: int) -> str:
+    size, unit = float(n), 0
+    while size >= 1024 and unit < 6:
+        size, unit = size / 1024, unit + 1
+    return f"{size:.2f} {('bytes', 'KiB', 'MiB', 'GiB', 'TiB', 'PiB', 'EiB')[unit]}"

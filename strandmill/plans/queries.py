@@ -7,9 +7,6 @@ tables, so that their SQL is exact containment.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -23,27 +20,20 @@ from strandmill.functions.kmers import kmers, positions
 from strandmill.operators import index
 from strandmill.operators.search import search, search_records
 from strandmill.plans.config import Config
-from strandmill.sources.reports import report_lines, report_stats
-from strandmill.sources.sequences import parse_manifest
+
+from strandmill.sources.reports import read_report, report_lines, report_stats, write_report
+from strandmill.sources.sequences import parse_manifest, read_fasta, read_fastq
+from strandmill.storage import shared_path
 
 K, H, M = 11, 2, 1 << 31
 SMALL_K, SMALL_M = 8, 1_000_003
+K_NT, M_NT, K_PROTEIN = 21, 1 << 36, 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir); where that is unset, a temporary one in local mode only."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        named = tempfile.mkdtemp(prefix="strandmill-")
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("seq"))
 
@@ -167,53 +157,132 @@ def index_hits_profile(spark, sf_dir):
     return _small_bits(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("bit").alias("n_bits"), F.countDistinct(edge).alias("n_parts"))
 
 
-def _searched(spark, sf_dir, threshold: float, queries: DataFrame | None = None) -> DataFrame:
-    records, samples = documents(spark, sf_dir)
-    queries = passages(spark, sf_dir) if queries is None else queries
-    return search_records(queries, records, samples, k=K, h=H, m=M, canonical=False, threshold=threshold)
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, kind: str) -> index.Index:
+    """An index over a table, built at its first use and kept in the shared folder for the application's other queries.
+
+    ``documents``: a sample each. ``sources``: the documents of a source are one sample. ``nucleotides``: of derived
+    nucleotides. ``proteins``: of the first frames of these.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _stored:
+        docs = table(spark, sf_dir, "documents")
+        name, text, settings = F.col("doc_id").cast("string"), F.col("text"), (K, H, M, "aminoacid")
+        if kind == "sources":
+            name = F.col("source")
+        elif kind == "nucleotides":
+            text, settings = C.as_nucleotides(text), (K_NT, H, M_NT, "nucleotide")
+        elif kind == "proteins":
+            text, settings = C.translated(C.as_nucleotides(text), F.lit(0)), (K_PROTEIN, H, M, "aminoacid")
+        config = Config(*settings, shared_path(spark, f"stored-{kind}"))
+        index.build(docs.select(name.alias("sample_id"), text.alias("seq")), config)
+        _stored[key] = config.index_path
+    return index.Index(spark, _stored[key])
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select(F.col("query_id").alias("item_id"), F.col("sample_id").cast("long").alias("doc_id"), "n_found", "n_kmers")
 
 
 def search_at(threshold: float, spark, sf_dir):
-    out = _searched(spark, sf_dir, threshold)
-    return out.select(F.col("query_id").alias("item_id"), F.col("sample_idx").alias("doc_id"), "n_found", "n_kmers")
+    return _hits(search(passages(spark, sf_dir), stored(spark, sf_dir, "documents"), threshold, fold=False))
+
+
+def scan_at(threshold: float, spark, sf_dir):
+    """As ``search_at``, without an index: the documents are hashed and compared in one pass."""
+    records, samples = documents(spark, sf_dir)
+    return _hits(search_records(passages(spark, sf_dir), records, samples, k=K, h=H, m=M, canonical=False, threshold=threshold))
+
+
+def search_nt_at(threshold: float, spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), C.as_nucleotides(F.col("text")).alias("seq"))
+    return _hits(search(queries, stored(spark, sf_dir, "nucleotides"), threshold, "nucleotide"))
 
 
 def search_duplicates(spark, sf_dir):
     twice = passages(spark, sf_dir).withColumn("seq", F.concat("seq", "seq"))
-    return _searched(spark, sf_dir, 50, twice).select(F.col("query_id").alias("item_id"), F.col("sample_idx").alias("doc_id"), "n_found", "n_kmers")
+    return _hits(search(twice, stored(spark, sf_dir, "documents"), 50, fold=False))
+
+
+def search_repeated_ids(spark, sf_dir):
+    """Many passages under one query id: each is searched by itself."""
+    queries = passages(spark, sf_dir).withColumn("query_id", F.col("query_id") % 3)
+    return _hits(search(queries, stored(spark, sf_dir, "documents"), 2, fold=False))
 
 
 def search_sources(spark, sf_dir):
     """Samples of many records: the documents of a source."""
-    docs = table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
-    records = docs.select(F.col("source").alias("sample_id"), F.col("text").alias("seq"))
-    samples = index.number_samples(records, K)
-    named = records.join(samples.select("sample_id", "sample_idx"), "sample_id")
-    out = search_records(passages(spark, sf_dir), named, samples, k=K, h=H, m=M, canonical=False, threshold=5)
+    out = search(passages(spark, sf_dir), stored(spark, sf_dir, "sources"), 5, fold=False)
     return out.select(F.col("query_id").alias("item_id"), F.col("sample_id").alias("source"), "n_found", "n_kmers")
 
 
 def search_six_frame(spark, sf_dir):
     """Nucleotide queries against proteins: the documents' first forward frames."""
-    k = 7
-    nt = C.as_nucleotides(F.col("text"))
-    proteins = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_idx"), C.translated(nt, F.lit(0)).alias("seq"))
-    samples = proteins.select("sample_idx", F.col("sample_idx").cast("string").alias("sample_id"))
-    frames = table(spark, sf_dir, "benchmark").select(F.explode(C.six_frames(F.col("item_id").cast("string"), nt, k)).alias("f"))
-    out = search_records(frames.select(F.col("f.id").alias("query_id"), F.col("f.protein").alias("seq")), proteins, samples, k=k, h=H, m=M, canonical=False)
-    return out.select(F.col("query_id").alias("frame_id"), F.col("sample_idx").alias("doc_id"), "n_kmers")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), C.as_nucleotides(F.col("text")).alias("seq"))
+    out = search(queries, stored(spark, sf_dir, "proteins"), 100, "nucleotide")
+    return out.select(F.col("query_id").alias("frame_id"), F.col("sample_id").cast("long").alias("doc_id"), "n_kmers")
+
+
+def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("text").alias("seq"))
+    even = F.crc32("sample_id") % 2 == 0
+    return docs.where(even), docs.where(~even)
 
 
 def update_equals_rebuild(spark, sf_dir):
     """An index of half the documents, updated with the other half, searched: the hits of an index of all."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("text").alias("seq"))
     config = Config(K, H, M, "aminoacid", shared_path(spark, "index"))
-    even = F.crc32("sample_id") % 2 == 0
-    index.build(docs.where(even), config)
-    index.update(docs.where(~even), config)
-    held = index.Index(spark, config.index_path)
-    hits = search(passages(spark, sf_dir), held, 20, fold=False)
-    return hits.select(F.col("query_id").alias("item_id"), F.col("sample_id").cast("long").alias("doc_id"), "n_found", "n_kmers")
+    first, second = _halves(spark, sf_dir)
+    index.build(first, config)
+    index.update(second, config)
+    return _hits(search(passages(spark, sf_dir), index.Index(spark, config.index_path), 20, fold=False))
+
+
+def matrices_equal_rebuild(spark, sf_dir):
+    """An index of the matrix of half the documents, updated with that of the other half, searched."""
+    top = shared_path(spark, "matrices")
+    for name, half in zip(("a", "b"), _halves(spark, sf_dir)):
+        config = Config(K, H, M, "aminoacid", top, matrix_store_name=name)
+        index.build_matrix(half, config)
+        index.build_from_matrix(spark, config)
+    return _hits(search(passages(spark, sf_dir), index.Index(spark, config.index_path), 20, fold=False))
+
+
+def search_sequences(spark, sf_dir):
+    """Samples of one record each that share ids: a document is a sample with its source's name."""
+    docs = table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
+    config = Config(K, H, M, "aminoacid", shared_path(spark, "sequences"))
+    index.build(index.by_record(docs.select(F.col("source").alias("sample_id"), F.col("text").alias("seq"))), config)
+    out = search(passages(spark, sf_dir), index.Index(spark, config.index_path), 2, fold=False)
+    return out.select(F.col("query_id").alias("item_id"), F.col("sample_id").alias("source"), "n_found", "n_kmers")
+
+
+def _proteins(spark, sf_dir) -> DataFrame:
+    """The documents' first frames as records with descriptions, for files."""
+    seq = C.translated(C.as_nucleotides(F.col("text")), F.lit(0))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("id"), seq.alias("seq")).where(F.length("seq") > 0)
+
+
+def _read_back(found: DataFrame) -> DataFrame:
+    return found.select("seq_id", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("digest"))
+
+
+def fasta_read(spark, sf_dir):
+    """Records of several lines, written as FASTA files and read again."""
+    path = shared_path(spark, "fasta")
+    body = F.regexp_replace("seq", "(.{60})", "$1\n")
+    _proteins(spark, sf_dir).select(F.concat(F.lit(">"), "id", F.lit(" of > a document\n"), F.lower(body))).write.text(path)
+    return _read_back(read_fasta(spark, path, K))
+
+
+def fastq_read(spark, sf_dir):
+    """Records of four lines, written as FASTQ files with Windows line ends and read again."""
+    path = shared_path(spark, "fastq")
+    quality = F.regexp_replace("seq", ".", "@")
+    _proteins(spark, sf_dir).select(F.concat(F.lit("@"), "id", F.lit(" x\r\n"), "seq", F.lit("\r\n+\r\n"), quality, F.lit("\r"))).write.text(path)
+    return _read_back(read_fastq(spark, path, K))
 
 
 def sample_order(spark, sf_dir):
@@ -227,24 +296,37 @@ def _manifest_lines(spark, sf_dir):
 
 
 def manifest_parse(spark, sf_dir):
-    return parse_manifest(_manifest_lines(spark, sf_dir))
+    return parse_manifest(_manifest_lines(spark, sf_dir)).select("sample_id", "path")
 
 
 def report_line(spark, sf_dir):
-    out = report_lines(_searched(spark, sf_dir, 2), 2)
-    return out.select(F.col("query_id").alias("item_id"), F.col("sample_idx").alias("doc_id"), "line")
+    found = search(passages(spark, sf_dir), stored(spark, sf_dir, "documents"), 2, fold=False)
+    # The sample_idx of an index is its own; lines are told apart by the sample they name.
+    lines = report_lines(found, 2).join(found.select("query_no", "sample_idx", "sample_id"), ["query_no", "sample_idx"])
+    return lines.select(F.col("query_id").alias("item_id"), F.col("sample_id").cast("long").alias("doc_id"), "line")
+
+
+def report_read(spark, sf_dir):
+    """The report of a search, written and read again."""
+    path = f"{shared_path(spark, 'reports')}/report.txt"
+    write_report(search(passages(spark, sf_dir), stored(spark, sf_dir, "documents"), 2, fold=False), path, 2)
+    return read_report(spark, path)
+
+
+def report_rows(spark, sf_dir):
+    return report_read(spark, sf_dir).select(F.col("query_id").cast("long").alias("item_id"), F.col("sample_id").cast("long").alias("doc_id"), "n_found", "pct")
 
 
 def report_stat(spark, sf_dir):
-    return report_stats(_searched(spark, sf_dir, 2))
+    return report_stats(report_read(spark, sf_dir))
 
 
 def summary(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    n = F.octet_length("text")
-    used = docs.where(n >= K)
-    out = used.agg(F.count("*").alias("number_of_samples"), F.sum(n).alias("sequence_bytes"))
-    return out.select("number_of_samples", "sequence_bytes", (F.col("number_of_samples") * (M // 8)).alias("raw_bytes"))
+    held = stored(spark, sf_dir, "documents")
+    info = index.summary(spark, held.path)
+    of = held.samples.agg(F.sum("n_bytes").alias("sequence_bytes"))
+    info = info["filter"] | info["store"]
+    return of.select(F.lit(info["number_of_samples"]).cast("long").alias("number_of_samples"), "sequence_bytes", F.lit(info["raw_bytes"]).cast("long").alias("raw_bytes"), F.lit(info["k"]).alias("k"), F.lit(info["update_count"]).alias("update_count"))
 
 
 def sizing(spark, sf_dir):
@@ -272,6 +354,22 @@ def _contain(threshold: str, query: str = "text", rows: str = "documents", key:
     SELECT item_id, {key}, n_found, n_kmers FROM hit JOIN n USING (item_id) WHERE {threshold}"""
 
 
+def _contain_nt(threshold: str) -> str:
+    """As ``_contain``, over the derived nucleotides, whose k-mers are the smaller of their two strands."""
+    def grams(table: str, key: str) -> str:
+        both = f"SELECT {key}, encode(nt) AS f, encode(translate(reverse(nt), 'ACGTUN', 'TGCAAN')) AS b FROM (SELECT {key}, {NT} AS nt FROM {table})"
+        return f"SELECT {key}, unnest([least(f[i:i+{K_NT - 1}], b[octet_length(f)-i-{K_NT - 2}:octet_length(f)-i+1]) for i in generate_series(1, octet_length(f)-{K_NT - 1})]) AS g FROM ({both})"
+
+    return f"""WITH q AS ({grams('benchmark', 'item_id')}), qn AS (SELECT item_id, g, count(*) AS times FROM q GROUP BY ALL),
+    n AS (SELECT item_id, CAST(sum(times) AS BIGINT) AS n_kmers FROM qn GROUP BY 1), d AS (SELECT DISTINCT doc_id, g FROM ({grams('documents', 'doc_id')}) WHERE g IN (SELECT g FROM qn)),
+    hit AS (SELECT item_id, doc_id, CAST(sum(times) AS BIGINT) AS n_found FROM qn JOIN d USING (g) GROUP BY ALL)
+    SELECT item_id, doc_id, n_found, n_kmers FROM hit JOIN n USING (item_id) WHERE {threshold}"""
+
+
+def _files() -> str:
+    return f"SELECT 'doc' || doc_id AS seq_id, length(p) AS n, md5(p) AS digest FROM (SELECT doc_id, {_protein('dnt', '0')} AS p FROM (SELECT doc_id, {NT} AS dnt FROM documents)) WHERE length(p) >= {K}"
+
+
 def _least(t: float) -> str:
     return f"n_found >= ceil((n_kmers / 100.0::DOUBLE) * {float(t)}::DOUBLE)"
 
@@ -327,15 +425,26 @@ def _sql() -> dict[str, str]:
         "q_search_approx_t5": _contain(_least(5)),
         "q_search_approx_t50": _contain(_least(50)),
         "q_search_t0": f"WITH hits AS ({_contain('true')}), n AS (SELECT item_id, CAST(octet_length(encode(text)) - {K - 1} AS BIGINT) AS n_kmers FROM benchmark) SELECT n.item_id, d.doc_id, coalesce(n_found, 0) AS n_found, n.n_kmers FROM n CROSS JOIN documents d LEFT JOIN hits h ON h.item_id = n.item_id AND h.doc_id = d.doc_id WHERE n.n_kmers > 0",
+        "q_index_t0": f"WITH hits AS ({_contain('true')}), n AS (SELECT item_id, CAST(octet_length(encode(text)) - {K - 1} AS BIGINT) AS n_kmers FROM benchmark) SELECT n.item_id, d.doc_id, coalesce(n_found, 0) AS n_found, n.n_kmers FROM n CROSS JOIN documents d LEFT JOIN hits h ON h.item_id = n.item_id AND h.doc_id = d.doc_id WHERE n.n_kmers > 0 AND octet_length(encode(d.text)) >= {K}",
         "q_search_duplicates": _contain(_least(50), query="text || text"),
         "q_search_sources": _contain(_least(5), key="source", rows="(SELECT * FROM documents WHERE source IS NOT NULL)"),
         "q_search_six_frame": f"WITH {_frames('benchmark', 7)}, q AS (SELECT frame_id, {_slices('protein', 7)} AS g FROM frames), n AS (SELECT frame_id, count(*) AS n_kmers, count(DISTINCT g) AS kinds FROM q GROUP BY 1), dn AS (SELECT doc_id, {NT} AS dnt FROM documents), dp AS (SELECT doc_id, {_protein('dnt', '0')} AS protein FROM dn), d AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, {_slices('protein', 7)} AS g FROM dp) WHERE g IN (SELECT g FROM q)), h AS (SELECT frame_id, doc_id, count(*) AS held FROM (SELECT DISTINCT frame_id, g FROM q) JOIN d USING (g) GROUP BY ALL) SELECT frame_id, doc_id, n_kmers FROM h JOIN n USING (frame_id) WHERE held = kinds",
         "q_update_equals_rebuild": _contain(_least(20)),
+        "q_matrices_equal_rebuild": _contain(_least(20)),
+        "q_scan_exact": _contain("n_found = n_kmers"),
+        "q_scan_approx_t1": _contain(_least(1)),
+        "q_search_nt_exact": _contain_nt("n_found = n_kmers"),
+        "q_search_nt_t50": _contain_nt(_least(50)),
+        "q_search_repeated_ids": f"SELECT item_id % 3 AS item_id, doc_id, n_found, n_kmers FROM ({search_2})",
+        "q_search_sequences": f"SELECT item_id, source, n_found, n_kmers FROM ({search_2}) JOIN documents USING (doc_id) WHERE source IS NOT NULL",
+        "q_fasta_read": _files(),
+        "q_fastq_read": _files(),
+        "q_report_rows": f"SELECT item_id, doc_id, n_found, {LABEL} || '%' AS pct FROM ({search_2})",
         "q_sample_order": f"WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS sample_id, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM conversations GROUP BY 1 HAVING max(octet_length(encode(text))) >= {K}) SELECT row_number() OVER (ORDER BY n_bytes, sample_id) - 1 AS sample_idx, sample_id, n_bytes FROM s",
         "q_manifest_parse": "SELECT replace(s_name, '#', '-') AS sample_id, unnest(['/in/' || s_suppkey || '.fa', '/in/' || s_nationkey || '.fq.gz']) AS path FROM supplier WHERE s_suppkey % 10 <> 0",
         "q_report_lines": f"SELECT item_id, doc_id, chr(9) || chr(9) || doc_id || ', Number of kmers found: ' || n_found || ' (' || {LABEL} || '%)' AS line FROM ({search_2})",
         "q_report_stats": f"SELECT count(DISTINCT item_id) AS n_queries, count(*) AS n_hits, count(DISTINCT doc_id) AS n_samples FROM ({search_2})",
-        "q_summary": f"SELECT count(*) AS number_of_samples, CAST(sum(octet_length(encode(text))) AS BIGINT) AS sequence_bytes, count(*) * {M // 8} AS raw_bytes FROM documents WHERE octet_length(encode(text)) >= {K}",
+        "q_summary": f"SELECT count(*) AS number_of_samples, CAST(sum(octet_length(encode(text))) AS BIGINT) AS sequence_bytes, count(*) * {M // 8} AS raw_bytes, {K} AS k, 0 AS update_count FROM documents WHERE octet_length(encode(text)) >= {K}",
         "q_sizing": "SELECT p_partkey, CAST(ceil(-(p_size * 1000 * ln(0.01::DOUBLE)) / (ln(2.0::DOUBLE) * ln(2.0::DOUBLE))) AS BIGINT) AS m, CAST(greatest(round(ceil(-(p_size * 1000 * ln(0.01::DOUBLE)) / (ln(2.0::DOUBLE) * ln(2.0::DOUBLE))) / (p_size * 1000) * ln(2.0::DOUBLE)), 1) AS BIGINT) AS h, CAST(ceil(-(3.0::DOUBLE * p_size * 1000) / ln(1.0::DOUBLE - exp(ln(0.01::DOUBLE) / 3.0::DOUBLE))) AS BIGINT) AS m_for_3, 0.01::DOUBLE * (p_size * 1000) AS expected FROM part",
     }
 
@@ -346,10 +455,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_canonical_kmers": canonical_kmers, "q_translate_frames": translate_frames, "q_six_frame": six_frame, "q_kmer_hash_bits": kmer_hash_bits,
         "q_bloom_fill": bloom_fill, "q_bitslice_postings": bitslice_postings, "q_bitslice_and": bitslice_and, "q_binning": binning,
         "q_index_hits_profile": index_hits_profile, "q_search_exact": partial(search_at, 100), "q_search_approx_t1": partial(search_at, 1),
-        "q_search_approx_t5": partial(search_at, 5), "q_search_approx_t50": partial(search_at, 50), "q_search_t0": partial(search_at, 0),
-        "q_search_duplicates": search_duplicates, "q_search_sources": search_sources, "q_search_six_frame": search_six_frame,
-        "q_update_equals_rebuild": update_equals_rebuild, "q_sample_order": sample_order, "q_manifest_parse": manifest_parse,
-        "q_report_lines": report_line, "q_report_stats": report_stat, "q_summary": summary, "q_sizing": sizing,
+        "q_search_approx_t5": partial(search_at, 5), "q_search_approx_t50": partial(search_at, 50), "q_search_t0": partial(scan_at, 0), "q_index_t0": partial(search_at, 0),
+        "q_search_duplicates": search_duplicates, "q_search_repeated_ids": search_repeated_ids, "q_search_sources": search_sources, "q_search_six_frame": search_six_frame,
+        "q_search_nt_exact": partial(search_nt_at, 100), "q_search_nt_t50": partial(search_nt_at, 50), "q_search_sequences": search_sequences,
+        "q_scan_exact": partial(scan_at, 100), "q_scan_approx_t1": partial(scan_at, 1),
+        "q_update_equals_rebuild": update_equals_rebuild, "q_matrices_equal_rebuild": matrices_equal_rebuild, "q_sample_order": sample_order, "q_manifest_parse": manifest_parse,
+        "q_fasta_read": fasta_read, "q_fastq_read": fastq_read, "q_report_lines": report_line, "q_report_rows": report_rows, "q_report_stats": report_stat, "q_summary": summary, "q_sizing": sizing,
     }
 
 

@@ -1,13 +1,16 @@
-"""Search results as text reports, and such reports read again."""
+"""Search results as text reports, and such reports read again, line by line."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.columns import percent_label
+from strandmill.storage import write_text
 
 #: The wording of a report. Fixed values.
 TITLE = "The query sequence(s) were found in the following sample(s):"
@@ -16,54 +19,75 @@ MANY, ONE = ", Number of kmers found: ", ", Number of K-mers found: "
 
 
 def report_lines(hits: DataFrame, threshold: float, single: bool = False) -> DataFrame:
-    """(query_id, sample_idx, line): a line for each hit, without the lines around it."""
+    """(query_no, query_id, sample_idx, line): a line for each hit, without the lines around it."""
     label = percent_label("n_found", "n_kmers")
     if threshold == 100:
         line = F.concat(F.lit("" if single else "\t\t"), "sample_id")
     else:
         line = F.concat(F.lit("\t" if single else "\t\t"), "sample_id", F.lit(ONE if single else MANY), label)
-    return hits.select("query_id", "sample_idx", line.alias("line"))
+    return hits.select("query_no", "query_id", "sample_idx", line.alias("line"))
 
 
 def report(hits: DataFrame, threshold: float, single: bool = False) -> Iterator[str]:
-    """The lines of a report, in the order of queries and samples; none without hits."""
+    """The lines of a report, in the order of queries and samples; none without hits. Queries that share an id stand apart."""
     last = None
-    for row in report_lines(hits, threshold, single).orderBy("query_id", "sample_idx").toLocalIterator():
+    for row in report_lines(hits, threshold, single).orderBy("query_no", "sample_idx").toLocalIterator():
         if last is None:
             yield TITLE
             if single and threshold != 100:
                 yield SAMPLES.strip()
-        if not single and row["query_id"] != last:
+        if not single and row["query_no"] != last:
             yield f"{QUERY}{row['query_id']}"
             yield SAMPLES
-        last = row["query_id"]
+        last = row["query_no"]
         yield row["line"]
 
 
 def write_report(hits: DataFrame, path: str, threshold: float, single: bool = False) -> bool:
-    """Writes a report file on the driver; False, and no file, if there are no hits."""
+    """Writes a report file, on any file system that Spark knows; False, and no file, if there are no hits."""
     lines = report(hits, threshold, single)
     first = next(lines, None)
     if first is None:
         return False
-    with open(path, "w") as out:
-        out.write(first + "\n")
-        out.writelines(x + "\n" for x in lines)
+    write_text(hits.sparkSession, path, chain([first], lines))
     return True
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, sample_id, n_found, pct) of a report with query ids; count and percentage null in an exact one."""
-    text = spark.read.text(path, wholetext=True)
-    blocks = text.select(F.explode(F.split("value", QUERY)).alias("block")).where(~F.col("block").startswith(TITLE))
-    rows = blocks.select(F.split("block", "\n").alias("rows"))
-    lines = rows.select(F.col("rows")[0].alias("query_id"), F.explode("rows").alias("line")).where(F.col("line").startswith("\t\t"))
-    body = F.regexp_replace("line", "^\t\t", "")
-    count = F.regexp_extract(body, rf"^(.*){MANY}(\d+) \((.*)\)$", 2)
-    exact = count == ""
-    return lines.select("query_id", F.when(exact, body).otherwise(F.regexp_extract(body, rf"^(.*){MANY}(\d+) \((.*)\)$", 1)).alias("sample_id"), F.when(~exact, count.try_cast("long")).alias("n_found"), F.when(~exact, F.regexp_extract(body, r"\(([^()]*)\)$", 1)).alias("pct"))
+    """(query_no, query_id, sample_id, n_found, pct) of a report; count and percentage null in an exact one.
+
+    Lines are read in splits. Each task names the query of its lines from the last heading before them; what stands
+    before a task's first heading belongs to the last heading of the splits before. ``query_no`` counts headings in
+    the file's order by their places, not from 0. A report of a single sequence has no heading: its query_id is null.
+    """
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[tuple[str, int], list] = {}
+        for batch in batches:
+            out = []
+            for line, path, begin in zip(*(c.to_pylist() for c in batch.columns)):
+                state = last.setdefault((path, begin), [None, 0])
+                if line.startswith(QUERY):
+                    state[0], state[1] = line[len(QUERY) :], state[1] + 1
+                    out.append((path, begin, state[1], state[0], None))
+                elif line and line != TITLE and line.strip() != SAMPLES.strip():
+                    out.append((path, begin, state[1], state[0], line.lstrip("\t")))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["path", "begin", "head", "query_id", "body"])
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"))
+    rows = lines.mapInArrow(headed, "path string, begin bigint, head bigint, query_id string, body string")
+    # One row per split: its last heading, or if it has none that of the splits before.
+    ends = rows.groupBy("path", "begin").agg(F.max(F.struct("head", "query_id")).alias("end"))
+    before = F.last(F.when(F.col("end.head") > 0, F.struct("begin", "end.head", "end.query_id")), ignorenulls=True).over(Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.where("body IS NOT NULL").join(F.broadcast(ends.select("path", "begin", before.alias("before"))), ["path", "begin"])
+    own = F.col("head") > 0
+    no = F.when(own, F.col("begin") + F.col("head")).otherwise(F.col("before.begin") + F.col("before.head"))
+    found = F.regexp_extract("body", rf"^(.*)(?:{MANY}|{ONE})(\d+) \((.*)\)$", 2)
+    exact = found == ""
+    name = F.when(exact, F.col("body")).otherwise(F.regexp_extract("body", rf"^(.*)(?:{MANY}|{ONE})(\d+) \((.*)\)$", 1))
+    return rows.select(no.alias("query_no"), F.when(own, F.col("query_id")).otherwise(F.col("before.query_id")).alias("query_id"), name.alias("sample_id"), F.when(~exact, found.try_cast("long")).alias("n_found"), F.when(~exact, F.regexp_extract("body", r"\(([^()]*)\)$", 1)).alias("pct"))
 
 
 def report_stats(hits: DataFrame) -> DataFrame:
-    """(n_queries, n_hits, n_samples) of hits or of a report."""
-    return hits.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_hits"), F.countDistinct("sample_id").alias("n_samples"))
+    """(n_queries, n_hits, n_samples) of hits or of a report; queries that share an id count each."""
+    return hits.agg(F.countDistinct(F.coalesce("query_no", F.lit(-1))).alias("n_queries"), F.count("*").alias("n_hits"), F.countDistinct("sample_id").alias("n_samples"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandmill.storage import exists, located, write_text
+
 #: Characters that a sample identifier may not hold. Fixed values.
 FORBIDDEN = "/\\*.?,[]{}!@#$%^&()+=<>"
 
@@ -37,37 +39,73 @@ def read_fasta(spark: SparkSession, paths: str | list[str], min_length: int = 0)
 def read_fastq(spark: SparkSession, paths: str | list[str], min_length: int = 0) -> DataFrame:
     """(seq_id, seq, path) of each record of four lines, upper-cased; qualities are not kept.
 
-    Lines are numbered within each split of a file, and splits by the lines before them, so that records may cross
-    splits.
+    Files are read in splits. A first pass counts the lines of each split, so that in the second each split knows at
+    which line of a record it begins, whatever the lines hold. Records are framed where they are read; only the lines
+    at the edges of splits, seven at most for each, are brought together.
     """
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-        for batch in batches:
-            at = []
-            for key in zip(batch.column("path").to_pylist(), batch.column("begin").to_pylist()):
-                at.append(count[key])
-                count[key] += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "at"])
-
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"))
-    lines = lines.mapInArrow(numbered, "value string, path string, begin bigint, at bigint")
     blocks = lines.groupBy("path", "begin").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.join(blocks.select("path", "begin", before.alias("before")), ["path", "begin"])
-    line = F.col("before") + F.col("at")
-    lines = lines.where(line % 4 < 2).select("path", F.floor(line / 4).alias("record"), (line % 4).alias("kind"), F.regexp_replace("value", r"\r$", "").alias("value"))
-    out = lines.groupBy("path", "record").agg(F.max(F.when(F.col("kind") == 0, F.col("value"))).alias("header"), F.max(F.when(F.col("kind") == 1, F.col("value"))).alias("seq"))
-    out = out.where(F.col("seq").isNotNull()).select(_name(F.regexp_replace("header", "^@", "")).alias("seq_id"), F.upper("seq").alias("seq"), "path")
+    phases = blocks.select("path", "begin", before.alias("before"))  # one row per split, about 100 bytes for 128 MB read
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at, header, seq = None, 0, None, None
+        for batch in batches:
+            out = []
+            for line, path, begin, first in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (path, begin):
+                    if header is not None or seq is not None:
+                        out.append((key[0], (at - 1) // 4, header, seq))
+                    key, at, header, seq = (path, begin), first, None, None
+                kind = at % 4
+                if kind == 0:
+                    header = line
+                elif kind == 1:
+                    seq = line.rstrip("\r")
+                    out.append((path, at // 4, header, seq))
+                    header = seq = None
+                at += 1
+            yield _records(out)
+        if header is not None:
+            yield _records([(key[0], (at - 1) // 4, header, None)])
+
+    rows = lines.join(F.broadcast(phases), ["path", "begin"]).select("value", "path", "begin", "before").mapInArrow(framed, "path string, record bigint, header string, seq string")
+    whole = rows.where("header IS NOT NULL AND seq IS NOT NULL").select("header", "seq", "path")
+    cut = rows.where("header IS NULL OR seq IS NULL").groupBy("path", "record").agg(F.max("header").alias("header"), F.max("seq").alias("seq"))
+    out = whole.unionByName(cut.select("header", "seq", "path")).where(F.col("seq").isNotNull())
+    out = out.select(_name(F.regexp_replace("header", "^@", "")).alias("seq_id"), F.upper("seq").alias("seq"), "path")
     return out.where(F.octet_length("seq") >= min_length)
 
 
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["path", "record", "header", "seq"])
+
+
+def _first_character(spark: SparkSession, path: str) -> str | None:
+    """The first character of a file (of a folder's first file that is not empty) that is no white space; packed ones are unpacked."""
+    jvm = spark.sparkContext._jvm
+    system, target = located(spark, path)
+    if system.getFileStatus(target).isDirectory():
+        inside = sorted(f.getPath().toString() for f in system.listStatus(target) if not f.getPath().getName().startswith(("_", ".")))
+        return next((c for f in inside if (c := _first_character(spark, f))), None)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(target)
+    stream = system.open(target)
+    stream = stream if codec is None else codec.createInputStream(stream)
+    try:
+        while (byte := stream.read()) >= 0:
+            if not chr(byte).isspace():
+                return chr(byte)
+    finally:
+        stream.close()
+    return None
+
+
 def file_kind(spark: SparkSession, path: str) -> str:
-    """``fasta`` or ``fastq``, by the first character of the first line."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    if not first:
+    """``fasta`` or ``fastq``, by the first character of the file, which the driver reads by itself."""
+    begin = _first_character(spark, path)
+    if begin is None:
         raise ValueError(f"{path} is empty")
-    begin = first[0]["value"][:1]
     if begin not in (">", "@"):
         raise ValueError(f"{path} is neither FASTA nor FASTQ")
     return "fasta" if begin == ">" else "fastq"
@@ -78,12 +116,14 @@ def read_sequences(spark: SparkSession, path: str, min_length: int = 0) -> DataF
 
 
 def parse_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(sample_id, path) of ``id: path; path`` lines; blank lines and those that begin with ``#`` are left out.
+    """(line, sample_id, path) of ``id: path; path`` lines; blank lines and those that begin with ``#`` are left out.
 
-    A line without exactly one colon, with a forbidden character in its id, or without a path is an error when read.
+    ``line`` tells apart lines that share an id. A line without exactly one colon, with a forbidden character in its
+    id, or without a path is an error when read.
     """
     line = F.trim(F.regexp_replace(F.col(column), r"\r$", ""))
-    used = lines.where((line != "") & ~F.col(column).startswith("#")).select(line.alias("line"))
+    used = lines.select(F.monotonically_increasing_id().alias("no"), line.alias("line"), F.col(column).startswith("#").alias("comment"))
+    used = used.where((F.col("line") != "") & ~F.col("comment"))
     parts = F.split("line", ": |; ")
     name = parts[0]
     wrong = (
@@ -92,47 +132,40 @@ def parse_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(F.size(parts) < 2, F.concat(F.lit("a space must follow the colon, and a path that: "), F.col("line")))
     )
     paths = F.when(wrong.isNull(), F.slice(parts, 2, F.size(parts))).otherwise(F.raise_error(wrong).cast("array<string>"))
-    return used.select(name.alias("sample_id"), F.explode(paths).alias("path")).withColumn("path", F.trim("path"))
+    return used.select(F.col("no").alias("line"), name.alias("sample_id"), F.explode(paths).alias("path")).withColumn("path", F.trim("path"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return parse_manifest(spark.read.text(path))
 
 
-def missing_paths(spark: SparkSession, manifest: DataFrame) -> list[str]:
-    """The paths of a manifest that are not there; a manifest is a list of files, which the driver reads anyhow."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
-    for row in manifest.select("path").distinct().orderBy("path").toLocalIterator():
-        target = jvm.org.apache.hadoop.fs.Path(row["path"])
-        if not target.getFileSystem(conf).exists(target):
-            out.append(row["path"])
-    return out
+def missing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are not there."""
+    return [p for p in sorted(set(paths)) if not exists(spark, p)]
 
 
-def read_samples(spark: SparkSession, manifest_path: str, min_length: int = 0) -> DataFrame:
-    """(sample_id, seq) of every record of every file of a manifest."""
-    manifest = read_manifest(spark, manifest_path).cache()
-    if gone := missing_paths(spark, manifest):
+def read_samples(spark: SparkSession, manifest_path: str, min_length: int = 0, report: str | None = None) -> DataFrame:
+    """(sample_id, sample_no, seq) of every record of every file of a manifest; each line is a sample, whatever its id.
+
+    Missing files are an error, and are listed in the file ``report``, if that is given. The driver holds the manifest.
+    """
+    rows = [tuple(r) for r in read_manifest(spark, manifest_path).collect()]
+    if gone := missing_paths(spark, [p for _, _, p in rows]):
+        if report:
+            write_text(spark, report, gone)
         raise FileNotFoundError("; ".join(gone))
-    rows = [(r["sample_id"], r["path"]) for r in manifest.toLocalIterator()]
-    kinds = {path: file_kind(spark, path) for _, path in rows}
-    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    if not rows:
+        raise ValueError("the manifest names no file")
+    kinds = {path: file_kind(spark, path) for path in {p for _, _, p in rows}}
 
     def qualified(path: str) -> str:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return re.sub("^file:/+", "file:/", target.getFileSystem(conf).makeQualified(target).toString())
-
-    named = spark.createDataFrame([(s, qualified(p)) for s, p in rows], "sample_id string, path string")
-    out = None
-    for kind, reader in (("fasta", read_fasta), ("fastq", read_fastq)):
-        own = sorted(p for p, k in kinds.items() if k == kind)
-        if own:
-            records = reader(spark, own, min_length)
-            out = records if out is None else out.unionByName(records)
-    if out is None:
-        raise ValueError("the manifest names no file")
-    return out.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(named, "path").select("sample_id", "seq")
+        system, target = located(spark, path)
+        return re.sub("^file:/+", "file:/", system.makeQualified(target).toString())
+
+    named = spark.createDataFrame([(line, s, qualified(p)) for line, s, p in rows], "sample_no bigint, sample_id string, path string")
+    parts = [reader(spark, sorted(p for p, k in kinds.items() if k == kind), min_length) for kind, reader in (("fasta", read_fasta), ("fastq", read_fastq)) if kind in kinds.values()]
+    out = reduce(DataFrame.unionByName, parts).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    return out.join(F.broadcast(named), "path").select("sample_id", "sample_no", "seq")  # the manifest
 
 
 def write_fasta(records: DataFrame, path: str, id_column: str = "seq_id", seq_column: str = "seq") -> None:

@@ -9,15 +9,21 @@ from strandmill.operators import index
 from strandmill.plans.config import Config
 
 
+def append_batch(batch: DataFrame, epoch: int, config: Config, source: str) -> None:
+    """One micro-batch: builds the index or appends to it, once for each (source, epoch) however often it is called."""
+    if batch.isEmpty():
+        return
+    token = f"{source}#{epoch}"
+    if index.index_exists(batch.sparkSession, config.index_path):
+        index.update(batch, config, token)
+    else:
+        index.build(batch, config, token)
+
+
 def append_stream(records: DataFrame, config: Config, checkpoint: str) -> StreamingQuery:
     """Starts a query that builds the index from a stream of (sample_id, seq), or appends to it.
 
-    A sample's records must arrive in one micro-batch, as with files of whole samples.
+    A sample's records must arrive in one micro-batch, as with files of whole samples. A micro-batch that is replayed
+    after a failure is not appended again: its epoch is kept with the index's batch.
     """
-
-    def add(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        (index.update if index.exists(batch.sparkSession, config.index_path) else index.build)(batch, config)
-
-    return records.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return records.writeStream.foreachBatch(lambda batch, epoch: append_batch(batch, epoch, config, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -10,7 +11,7 @@ from strandmill.operators.search import search
 from strandmill.plans.config import Config, parse_config
 from strandmill.sources.reports import read_report, report, report_stats, write_report
 from strandmill.sources.sequences import file_kind, parse_manifest, read_fasta, read_fastq, read_samples, write_fasta
-from strandmill.streaming.append import append_stream
+from strandmill.streaming.append import append_batch, append_stream
 
 TOY = [("S1", "ABCDEF"), ("S2", "ABCXEF"), ("S3", "AB"), ("S4", None)]
 
@@ -61,7 +62,7 @@ def test_update_is_rebuild(spark, tmp_path):
             index.update(frame(spark, more), config)
         for t in (100, 40, 0):
             found.append(sorted((r["query_id"], r["sample_id"], r["n_found"]) for r in search(queries, index.Index(spark, config.index_path), t).collect()))
-        assert index.summary(spark, config.index_path)["update_count"] == len(parts) - 1
+        assert index.summary(spark, config.index_path)["store"]["update_count"] == len(parts) - 1
     assert found[:3] == found[3:]
     with pytest.raises(ValueError):
         index.update(frame(spark, rows), Config(6, 2, 1 << 31, "nucleotide", str(tmp_path / "one")))
@@ -107,7 +108,97 @@ def test_readers(spark, tmp_path):
     assert {r["sample_id"]: r["n"] for r in rows.groupBy("sample_id").agg(F.count("*").alias("n")).collect()} == {"A": 5, "B": 3}
     (tmp_path / "bad.txt").write_text("A: /not/there\n")
     with pytest.raises(FileNotFoundError):
-        read_samples(spark, str(tmp_path / "bad.txt"))
+        read_samples(spark, str(tmp_path / "bad.txt"), report=str(tmp_path / "gone.txt"))
+    assert (tmp_path / "gone.txt").read_text() == "/not/there\n"
+
+
+@pytest.mark.parametrize("size", ["16", "37", "1m"])
+def test_fastq_across_splits(spark, tmp_path, size):
+    (tmp_path / "a.fq").write_text("".join(f"@r{i} @x\n{'ACGT' * (i % 7 + 1)}\n+\n{'@+I>' * (i % 7 + 1)}\n" for i in range(60)))
+    (tmp_path / "b.fq").write_text("@s\nACGTN\n+\n@@@@@\n@cut\nAC")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = read_fastq(spark, [str(tmp_path / "a.fq"), str(tmp_path / "b.fq")])
+        assert got.rdd.getNumPartitions() > (20 if size != "1m" else 0)
+        assert sorted((r["seq_id"], r["seq"]) for r in got.collect()) == sorted([(f"r{i}", "ACGT" * (i % 7 + 1)) for i in range(60)] + [("s", "ACGTN"), ("cut", "AC")])
+        lines = [QUERY_LINES[i % len(QUERY_LINES)] for i in range(40)]
+        (tmp_path / "r.txt").write_text("\n".join(["The query sequence(s) were found in the following sample(s):", *lines]) + "\n")
+        found = read_report(spark, str(tmp_path / "r.txt"))
+        assert sorted((r["query_id"], r["sample_id"]) for r in found.collect()) == sorted([("q:1", "s1"), ("q:1", "s2"), ("q", "s1")] * 5)
+        assert report_stats(found).first().asDict() == {"n_queries": 10, "n_hits": 15, "n_samples": 2}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+QUERY_LINES = ["Query sequence id: q:1", "\tSample identifier(s):", "\t\ts1", "\t\ts2", "Query sequence id: q", "\tSample identifier(s):", "\t\ts1, Number of kmers found: 3 (1.5%)", ""]
+
+
+def test_repeated_ids_and_plan(spark, toy, tmp_path):
+    queries = frame(spark, [("q", "ABCD"), ("q", "ABCD"), ("q", "CXEF"), (None, "ABC")], "query_id string, seq string")
+    held = index.Index(spark, toy.index_path)
+    for t, n in ((100, 5), (50, 7), (0, 8)):
+        found = search(queries, held, t)
+        assert len({(r["query_no"], r["sample_id"]) for r in found.collect()}) == n
+    lines = list(report(search(queries, held, 100), 100))
+    assert lines.count("Query sequence id: q") == 3
+    plan = search(queries, held, 100)._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and "offsets" in x)
+    assert "PartitionFilters: [bucket" in scan or "bucket#" in scan.split("PartitionFilters")[1]
+    assert "EqualTo(fine" in scan
+
+
+def test_samples_that_share_an_id(spark, tmp_path):
+    config = Config(3, 1, 1 << 31, "aminoacid", str(tmp_path))
+    rows = frame(spark, [("s", "ABCDEF"), ("s", "ABCXEF"), ("s", "AB"), (None, "ABCD")])
+    index.build(index.by_record(rows), config)
+    assert index.Index(spark, config.index_path).samples.count() == 2
+    found = search(frame(spark, [("q", "BCXE")], "query_id string, seq string"), index.Index(spark, config.index_path), 0).collect()
+    assert sorted((r["sample_id"], r["n_found"]) for r in found) == [("s", 0), ("s", 2)]
+    (tmp_path / "a.fa").write_text(">x\nABCDEF\n")
+    (tmp_path / "b.fa").write_text(">x\nABCXEF\n")
+    (tmp_path / "m.txt").write_text(f"S: {tmp_path}/a.fa\nS: {tmp_path}/b.fa; {tmp_path}/a.fa\n")
+    index.update(read_samples(spark, str(tmp_path / "m.txt"), 3), config)
+    assert index.Index(spark, config.index_path).samples.count() == 4
+    found = search(frame(spark, [("q", "BCXE"), ("r", "ABCD")], "query_id string, seq string"), index.Index(spark, config.index_path), 100).collect()
+    assert sorted((r["query_id"], r["sample_id"]) for r in found) == [("q", "S"), ("q", "s"), ("r", "S"), ("r", "S"), ("r", "s")]
+
+
+def test_many_parts_and_wide_filters(spark, tmp_path, monkeypatch):
+    """Several slabs, and positions beyond 32 bits: the same hits as by plain search of strings."""
+    rng = random.Random(2)
+    rows = [(f"s{i}", "".join(rng.choice("ACEG") for _ in range(rng.randrange(1, 60)))) for i in range(80)]
+    queries = [(i, s[1][j : j + 9]) for i, s in enumerate(rows[:20]) for j in (0, 3) if len(s[1]) >= j + 9]
+    expected = set()
+    for _, q in queries:
+        grams = [q[i : i + 4] for i in range(len(q) - 3)]
+        for name, text in rows:
+            n = sum(g in text for g in grams)
+            if len(text) >= 4 and n >= 3:
+                expected.add((q, name, n))
+    for m, slabs in ((1 << 31, 4), (1 << 50, 8), ((1 << 61) + 7, 2)):
+        class Small(index.Grid):
+            @classmethod
+            def of(cls, m, pairs, slabs=slabs):
+                return cls(m, slabs)
+
+        monkeypatch.setattr(index, "Grid", Small)
+        config = Config(4, 2, m, "aminoacid", str(tmp_path / str(m)))
+        index.build(frame(spark, rows[:50]), config)
+        index.update(frame(spark, rows[50:]), config)
+        held = index.Index(spark, config.index_path)
+        found = search(frame(spark, queries, "query_id long, seq string"), held, 50).collect()
+        assert {(r["query_id"], r["sample_id"], r["n_found"]) for r in found} == {(i, s, n) for i, q in queries for q2, s, n in expected if q2 == q}
+
+
+def test_stream_batches_are_appended_once(spark, tmp_path):
+    config = Config(3, 2, 1 << 31, "aminoacid", str(tmp_path))
+    for epoch in (0, 0, 1, 1, 0):
+        append_batch(frame(spark, TOY[epoch : epoch + 1]), epoch, config, "source")
+    assert [r["batch_id"] for r in index.Index(spark, config.index_path).batches] == [0, 1]
+    assert len(hits(spark, config, "ABC", 100)) == 2
 
 
 @pytest.mark.parametrize("line", ["A:/x", "A: /x: y", "A*: /x", "A"])
@@ -145,7 +236,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["search_index", str(tmp_path / "c.yml"), "-s", "ABCD", "-i", "aminoacid", "-t", "50"], spark) == 0
     path = capsys.readouterr().out.strip().splitlines()[-1]
     assert "\tx, Number of K-mers found: 2 (100.0%)" in open(path).read()
-    assert cli.main(["summary", str(tmp_path / "c.yml")], spark) == 0 and '"number_of_samples": 2' in capsys.readouterr().out
+    assert cli.main(["summary", str(tmp_path / "c.yml")], spark) == 0 and "  number_of_samples: 2\n" in capsys.readouterr().out
 
 
 def test_stream(spark, tmp_path):
@@ -155,3 +246,10 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.schema("sample_id string, seq string").parquet(str(tmp_path / "in"))
         append_stream(stream, config, str(tmp_path / "ck")).awaitTermination()
         assert len(hits(spark, config, "ABC", 100)) == i + 1
+
+
+def test_pieces_hold_all_kmers(monkeypatch):
+    monkeypatch.setattr(index, "PIECE", 5)
+    data = bytes(range(65, 90))
+    for k in (1, 3, 7, 25, 26):
+        assert [p[i : i + k] for p in index.pieces(data, k) for i in range(len(p) - k + 1)] == [data[i : i + k] for i in range(len(data) - k + 1)]
