@@ -4,9 +4,10 @@ Rows are packed into blocks where they are read, without a shuffle. Query blocks
 so that every query block meets every row block exactly once, and a task holds one of each. What a pair of blocks
 yields is bounded: k rows per query.
 
-Two methods work on a pair of blocks. The forest keeps, per tree, the sorted array of the rows' long hash strings; it
-descends to a query's prefix and ascends in all trees at once until enough candidates lie below. The threshold
-method finds the exact top k of sums over slices of the components, in three phases.
+Two methods work on a pair of blocks. A block's forest is built once and stored with it: per tree, the sorted array
+of the rows' long hash strings. A query descends in each tree to the longest prefix that it shares with any row, and
+ascends in all trees at once, from the longest of these on, until enough rows lie below; only these are scored. The
+threshold method finds the exact top k of sums over slices of the components, in three phases.
 """
 
 from __future__ import annotations
@@ -64,12 +65,16 @@ def packed(rows: DataFrame, block: int, transform: Callable[[np.ndarray], np.nda
     return rows.mapInArrow(run, "dim int, n int, ids binary, vectors binary")
 
 
-def _met(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every query block beside every row block of the same length of vectors."""
+def _met(queries: DataFrame, rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Every query block beside every row block of the same length of vectors; ``more``: further columns of the rows.
+
+    The number of partitions is fixed, as the work of a pair is far more than its bytes suggest.
+    """
     salts = max(1, min(rows.count(), 4096))
+    parts = max(salts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     every = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.select("dim", F.col("ids").alias("row_ids"), F.col("vectors").alias("row_vectors"), F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int").alias("salt"))
-    return every.join(dealt.hint("shuffle_merge"), ["dim", "salt"])
+    dealt = rows.select("dim", F.col("ids").alias("row_ids"), F.col("vectors").alias("row_vectors"), *more, F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int").alias("salt"))
+    return every.repartition(parts, "dim", "salt").join(dealt.repartition(parts, "dim", "salt").hint("merge"), ["dim", "salt"])
 
 
 def _arrays(ids: pa.Scalar, vectors: pa.Scalar, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,26 +82,22 @@ def _arrays(ids: pa.Scalar, vectors: pa.Scalar, dim: int) -> tuple[np.ndarray, n
     return ids, np.frombuffer(vectors.as_py(), np.float64).reshape(len(ids), dim)
 
 
-def top_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k greatest entries above -inf, ties to the first columns."""
-    n = scores.shape[1]
-    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
-    r, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-    sort = np.lexsort((c, -scores[r, c], r))
-    r, c = r[sort], c[sort]
-    rank = np.arange(len(r)) - np.searchsorted(r, r)
-    return r[rank < k], c[rank < k]
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query, numbered; Spark limits each task's rows before they are shuffled."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _kept(queries: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Which of (query, row, score) entries are among their query's k best, ties to the first rows; best first."""
+    sort = np.lexsort((rows, -scores, queries))
+    q = queries[sort]
+    return sort[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
 # The forest.
 
-BITS = 48  # of a hash string
+BITS = 32  # of a hash string
 
 
 @cache
@@ -109,74 +110,121 @@ def _planes(dim: int, trees: int, seed: int) -> np.ndarray:
 
 
 def hash_strings(vectors: np.ndarray, trees: int, seed: int = 11) -> np.ndarray:
-    """(trees, vectors) of uint64: the signs of ``BITS`` projections, the first in the highest place."""
+    """(trees, vectors) of uint32: the signs of ``BITS`` projections, the first in the highest place."""
     signs = vectors @ _planes(vectors.shape[1], trees, seed) > 0
-    places = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
-    return (signs.reshape(len(vectors), trees, BITS) * places).sum(2, dtype=np.uint64).T
+    packed = np.packbits(signs.reshape(len(vectors), trees, BITS), axis=2)
+    return np.ascontiguousarray(packed.view(">u4")[:, :, 0].T).astype(np.uint32)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many first bits two hash strings share."""
+    return BITS - np.frexp((a ^ b).astype(np.float64))[1]
 
 
 class Forest:
-    """Sorted arrays of the hash strings of a block of vectors, one per tree.
+    """Sorted arrays of the hash strings of a block of vectors, one per tree, and the rows in that order.
 
     For the greatest inner product the vectors get one more component, which brings all to the greatest norm; a
     query's is 0. So the nearest by angle have the greatest product.
     """
 
-    def __init__(self, vectors: np.ndarray, trees: int):
-        self.vectors, self.trees = vectors, trees
+    def __init__(self, sorted_codes: np.ndarray, order: np.ndarray):
+        self.sorted, self.order = sorted_codes, order
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, trees: int) -> Forest:
         squares = (vectors * vectors).sum(1)
         tall = np.sqrt(np.maximum(squares.max(initial=0) - squares, 0))
         codes = hash_strings(np.column_stack((vectors, tall)), trees)
-        self.order = np.argsort(codes, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(codes, self.order, axis=1)
-
-    def candidates(self, queries: np.ndarray, enough: int) -> np.ndarray:
-        """(queries, rows) of bool: what lies below the deepest common level with ``enough`` entries over all trees."""
-        codes = hash_strings(np.column_stack((queries, np.zeros(len(queries)))), self.trees)
-        n = len(queries)
-        low, high = np.zeros((self.trees, n), np.int64), np.full((self.trees, n), len(self.vectors), np.int64)
-        live = np.arange(n)
-        for depth in range(1, BITS + 1):  # descend while all trees together still hold enough
-            step = np.uint64(BITS - depth)
-            first = codes[:, live] >> step << step
-            a = np.stack([np.searchsorted(s, f) for s, f in zip(self.sorted, first)])
-            b = np.stack([np.searchsorted(s, f + (np.uint64(1) << step)) for s, f in zip(self.sorted, first)])
-            holds = (b - a).sum(0) >= enough
-            live = live[holds]
-            low[:, live], high[:, live] = a[:, holds], b[:, holds]
+        order = np.argsort(codes, axis=1, kind="stable")
+        return cls(np.take_along_axis(codes, order, axis=1), order.astype(np.uint16 if len(vectors) <= 1 << 16 else np.uint32))
+
+    def to_bytes(self) -> tuple[bytes, bytes]:
+        return self.sorted.tobytes(), self.order.tobytes()
+
+    @classmethod
+    def from_bytes(cls, sorted_codes: bytes, order: bytes, n: int) -> Forest:
+        kind = np.uint16 if n <= 1 << 16 else np.uint32
+        return cls(np.frombuffer(sorted_codes, np.uint32).reshape(-1, n), np.frombuffer(order, kind).reshape(-1, n))
+
+    def levels(self, queries: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
+        """(trees, queries): from where to where, in each tree's order, the candidates of each query lie."""
+        trees, n = self.sorted.shape
+        codes = hash_strings(np.column_stack((queries, np.zeros(len(queries)))), trees)
+        at = np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, codes)])
+        before = np.take_along_axis(self.sorted, np.maximum(at - 1, 0), axis=1)
+        after = np.take_along_axis(self.sorted, np.minimum(at, n - 1), axis=1)
+        longest = np.maximum(_common(codes, before), _common(codes, after))  # the descent in each tree
+        low, high = at.copy(), at.copy()
+        live = np.arange(len(queries))
+        for level in range(int(longest.max(initial=0)), -1, -1):  # the ascent, in step
+            begun = longest[:, live] >= level
+            first = codes[:, live].astype(np.uint64) >> np.uint64(BITS - level) << np.uint64(BITS - level)
+            last = first + np.uint64((1 << BITS - level) - 1)
+            a, b = low[:, live], high[:, live]
+            for t, (s, i, j, there) in enumerate(zip(self.sorted, first.astype(np.uint32), last.astype(np.uint32), begun)):
+                a[t, there], b[t, there] = np.searchsorted(s, i[there]), np.searchsorted(s, j[there], "right")
+            gain = (b - a) - (high[:, live] - low[:, live])
+            held = (high[:, live] - low[:, live]).sum(0) + np.cumsum(gain, axis=0)
+            risen = held - gain < enough  # tree by tree, until there are enough
+            low[:, live], high[:, live] = np.where(risen, a, low[:, live]), np.where(risen, b, high[:, live])
+            live = live[held[-1] < enough]
             if not len(live):
                 break
-        out = np.zeros((n, len(self.vectors)), bool)
-        for order, a, b in zip(self.order, low.tolist(), high.tolist()):
-            for i in range(n):
-                out[i, order[a[i] : b[i]]] = True
-        return out
+        return low, high
+
+    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
+        """The rows below where all trees together have ``enough`` entries, for each query."""
+        low, high = self.levels(queries, enough)
+        for a, b in zip(low.T.tolist(), high.T.tolist()):
+            mark = np.zeros(self.sorted.shape[1], bool)
+            for order, i, j in zip(self.order, a, b):
+                mark[order[i:j]] = True
+            yield np.flatnonzero(mark)
+
+
+def planted(blocks: DataFrame, trees: int) -> DataFrame:
+    """The blocks, each with its forest (codes, ranks)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (dim, n) in enumerate(zip(batch.column("dim").to_pylist(), batch.column("n").to_pylist())):
+                x = np.frombuffer(batch.column("vectors")[i].as_py(), np.float64).reshape(n, dim)
+                codes, ranks = Forest.of(x, trees).to_bytes()
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([codes], pa.binary()), pa.array([ranks], pa.binary())], names=[*batch.schema.names, "codes", "ranks"])
 
+    return blocks.mapInArrow(run, "dim int, n int, ids binary, vectors binary, codes binary, ranks binary")
 
-def forest_search(rows: DataFrame, is_query: Column, *, k: int = 20, trees: int = 32, share: float = 0.6, per_neighbour: int = 100, block: int = 8192) -> DataFrame:
+
+def forest_search(rows: DataFrame, is_query: Column, *, k: int = 20, trees: int = 96, share: float = 0.5, per_neighbour: int = 100, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest found by inner product, among rows with other ids.
 
     ``rows`` is (id, vector). ``share``: how many entries a block's trees must hold together below a query's level,
     as a multiple of the block's rows, ``per_neighbour`` * k at least. Null, zero and non-finite vectors take no part; only vectors of the query's
     length are compared; repeated rows are found each.
     """
-    blocks = written(packed(rows, block, zero=False), "blocks")
+    blocks = written(planted(packed(rows, block, zero=False), trees), "forests")
     queries = written(packed(rows.where(is_query), block, zero=False), "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, *data in zip(*(batch.column(c) for c in ("dim", "ids", "vectors", "row_ids", "row_vectors"))):
+            for dim, codes, ranks, *data in zip(*(batch.column(c) for c in ("dim", "codes", "ranks", "ids", "vectors", "row_ids", "row_vectors"))):
                 (q_ids, q), (ids, x) = _arrays(*data[:2], dim.as_py()), _arrays(*data[2:], dim.as_py())
-                forest = Forest(x, trees)
+                forest = Forest.from_bytes(codes.as_py(), ranks.as_py(), len(x))
+                enough = max(per_neighbour * k, int(share * len(x)))
                 for i in range(0, len(q), TILE):
-                    some, names = q[i : i + TILE], q_ids[i : i + TILE]
-                    held = forest.candidates(some, max(per_neighbour * k, int(share * len(x))))
-                    held &= names[:, None] != ids
-                    scores = np.where(held, some @ x.T, -np.inf)
-                    r, c = top_of(scores, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[c]), pa.array(scores[r, c])], names=["query_id", "vec_id", "score"])
-
-    found = _met(queries, blocks).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+                    found = []
+                    for name, own, some in zip(q_ids[i : i + TILE].tolist(), q[i : i + TILE], forest.candidates(q[i : i + TILE], enough)):
+                        some = some[ids[some] != name]
+                        scores = x[some] @ own
+                        if len(some) > k:  # more than k only where scores are equal
+                            keep = scores >= np.partition(scores, len(some) - k)[len(some) - k]
+                            some, scores = some[keep], scores[keep]
+                        best = _kept(np.zeros(len(some), np.int64), some, scores, k)
+                        found.append((np.full(len(best), name), ids[some[best]], scores[best]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["query_id", "vec_id", "score"])
+
+    found = _met(queries, blocks, ("codes", "ranks")).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     return _best(found, k)
 
 
@@ -188,42 +236,74 @@ def slices(dim: int, count: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
 
 
-def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of integers held as float64: exact, by integers where float64 would round."""
-    bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(a.shape[1], 1)
-    if bound < 2**53:
-        return a @ b.T
-    if bound < 2**63:
-        return a.astype(np.int64) @ b.astype(np.int64).T
-    raise OverflowError("an inner product may not fit 64 bits")
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def exact_form(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays of whole float64 numbers in a form whose inner products, in full and in part, are exact.
+
+    float64 where no sum can pass 2 ** 53, int64 where none can pass 2 ** 63, else Python's integers.
+    """
+    top_a, top_b = (int(np.abs(x).max(initial=0)) for x in (a, b))
+    bound = top_a * top_b * max(a.shape[1], 1)
+    if bound < 1 << 53:
+        return a, b
+    if max(bound, top_a, top_b) < 1 << 63:
+        return a.astype(np.int64), b.astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(a), whole(b)
 
 
-def threshold_search(rows: DataFrame, is_query: Column, *, k: int = 20, parts: int = 4, block: int = 8192, transform: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def as_long(scores: np.ndarray) -> np.ndarray:
+    """Exact scores as int64; those beyond 64 bits become the greatest or least number."""
+    if scores.dtype == object:
+        return np.array([min(max(s, LEAST), MOST) for s in scores.tolist()], np.int64)
+    return scores.astype(np.int64)
+
+
+def bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each query the greatest product with any vector between ``low`` and ``high``, component by component."""
+    return np.maximum(q, 0) @ high + np.minimum(q, 0) @ low
+
+
+def threshold_search(rows: DataFrame, is_query: Column, *, k: int = 20, parts: int = 2, every: int = 8, block: int = 4096, transform: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k greatest integer inner products, exactly.
 
-    ``rows`` is (id, vector); ``transform`` makes the components integers. Phase 1: every block gives its greatest
-    sums per slice, with their full scores, and the k-th best of these over all blocks is a cutoff that the true k-th
-    cannot lie below. Phase 2: the cutoff goes to all blocks; an entry that reaches it has some slice with at least
-    its share of it, and only those are collected. Phase 3: their remaining slices are added, and the best k kept.
-    Null and non-finite vectors take no part; only vectors of the query's length are compared; ties go to smaller ids.
+    ``rows`` is (id, vector); ``transform`` makes the components integers. A score is the sum of ``parts`` slices.
+    Phase 1: each block scores each ``every``-th of its rows and gives its k best; the k-th best of these over all
+    blocks is a cutoff that the true k-th cannot lie below. Phase 2: the cutoff goes to all blocks. A tile of rows
+    whose greatest and least components cannot reach it is passed over; in the others an entry that reaches it has
+    some slice with at least its even share, and only those entries are collected. Phase 3: the slices of these
+    are put together, and the best k kept.
+
+    All sums are exact; a score beyond 64 bits counts, and is given, as the greatest or least 64-bit number. Null and
+    non-finite vectors take no part; only vectors of the query's length are compared; ties go to smaller ids.
     """
     blocks = written(packed(rows, block, transform), "blocks")
     queries = written(packed(rows.where(is_query), block, transform).withColumn("block", F.monotonically_increasing_id()), "queries")
 
+    def result(names: np.ndarray, ids: np.ndarray, scores: np.ndarray, extra: dict[str, np.ndarray]) -> pa.RecordBatch:
+        columns = extra | {"query_id": names, "vec_id": ids, "score": scores}
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
     def phase_1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, number, *data in zip(*(batch.column(c) for c in ("dim", "block", "ids", "vectors", "row_ids", "row_vectors"))):
                 (q_ids, q), (ids, x) = _arrays(*data[:2], dim.as_py()), _arrays(*data[2:], dim.as_py())
+                step = max(1, min(every, len(x) // (4 * k)))  # small blocks give all rows
+                ids, x = ids[::step], x[::step]
+                q, x = exact_form(q, x)
                 for i in range(0, len(q), TILE):
-                    some, names = q[i : i + TILE], q_ids[i : i + TILE]
-                    local = [exact_products(some[:, s], x[:, s]) for s in slices(dim.as_py(), parts)]
-                    seen = np.zeros(local[0].shape, bool)
-                    other = names[:, None] != ids
-                    for p in local:
-                        seen[top_of(np.where(other, p, -np.inf), k)] = True
-                    scores = np.where(seen, sum(local[1:], local[0]), -np.inf)
-                    r, c = top_of(scores, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), number.as_py(), np.int64)), pa.array(names[r]), pa.array(ids[c]), pa.array(scores[r, c].astype(np.int64))], names=["block", "query_id", "vec_id", "score"])
+                    names, scores = q_ids[i : i + TILE], q[i : i + TILE] @ x.T
+                    local = as_long(scores.ravel()).reshape(scores.shape) if scores.dtype == object else scores
+                    n = local.shape[1]
+                    least = np.partition(local, n - k - 1, axis=1)[:, n - k - 1 : n - k] if n > k + 1 else local.min(1, keepdims=True)
+                    r, c = np.nonzero(local >= least)
+                    other = names[r] != ids[c]
+                    r, c = r[other], c[other]
+                    score = as_long(local[r, c])
+                    best = _kept(r, c, score, k)
+                    yield result(names[r[best]], ids[c[best]], score[best], {"block": np.full(len(best), number.as_py(), np.int64)})
 
     met = _met(queries, blocks)
     first = met.mapInArrow(phase_1, "block bigint, query_id bigint, vec_id bigint, score bigint")
@@ -239,16 +319,31 @@ def threshold_search(rows: DataFrame, is_query: Column, *, k: int = 20, parts: i
             for dim, limits, *data in zip(*(batch.column(c) for c in ("dim", "cutoffs", "ids", "vectors", "row_ids", "row_vectors"))):
                 (q_ids, q), (ids, x) = _arrays(*data[:2], dim.as_py()), _arrays(*data[2:], dim.as_py())
                 known = {v["query_id"]: v["cutoff"] for v in limits.as_py() or ()}
-                own = slices(dim.as_py(), parts)
+                cutoff = np.array([known.get(n, LEAST) for n in q_ids.tolist()], np.int64)
+                q, x = exact_form(q, x)
+                if q.dtype == object:
+                    cutoff = cutoff.astype(object)
+                own, tiles = slices(dim.as_py(), parts), [slice(j, j + TILE) for j in range(0, len(x), TILE)]
+                boxes = [(x[t].min(0), x[t].max(0)) if dim.as_py() else (x[0], x[0]) for t in tiles]
                 for i in range(0, len(q), TILE):
-                    some, names = q[i : i + TILE], q_ids[i : i + TILE]
-                    cutoff = np.array([known.get(n, -np.inf) for n in names.tolist()])[:, None]
-                    local = [exact_products(some[:, s], x[:, s]) for s in own]
-                    enough = np.logical_or.reduce([p * len(own) >= cutoff for p in local]) & (names[:, None] != ids)
-                    total = sum(local[1:], local[0])
-                    scores = np.where(enough & (total >= cutoff), total, -np.inf)
-                    r, c = top_of(scores, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[c]), pa.array(scores[r, c].astype(np.int64))], names=["query_id", "vec_id", "score"])
+                    some, names, limit = q[i : i + TILE], q_ids[i : i + TILE], cutoff[i : i + TILE]
+                    share = limit // len(own) + (limit % len(own) > 0)  # the least whole number that is an even share of the cutoff
+                    rows_, columns, scores = [], [], []
+                    for tile, (low, high) in zip(tiles, boxes):
+                        if (bounds(some, low, high) < limit).all():
+                            continue
+                        local = [some[:, s] @ x[tile, s].T for s in own]
+                        enough = np.logical_or.reduce([p >= share[:, None] for p in local])
+                        r, c = np.nonzero(enough)
+                        total = sum((p[r, c] for p in local[1:]), local[0][r, c])
+                        good = (total >= limit[r]) & (names[r] != ids[tile][c])
+                        rows_.append(r[good])
+                        columns.append(c[good] + tile.start)
+                        scores.append(as_long(total[good]))
+                    if rows_:
+                        r, c, score = map(np.concatenate, (rows_, columns, scores))
+                        best = _kept(r, c, score, k)
+                        yield result(names[r[best]], ids[c[best]], score[best], {})
 
     given = _met(queries.join(cutoffs, "block", "left"), blocks)
     return _best(given.mapInArrow(phase_2_and_3, "query_id bigint, vec_id bigint, score bigint"), k)

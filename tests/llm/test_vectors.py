@@ -46,13 +46,27 @@ def test_forest_recall(spark, rows):
     assert hit / all_ >= 0.9
 
 
-def test_forest_descends_to_prefixes():
+def test_forest_is_the_definition():
+    """Longest prefixes per tree, then upwards in step, tree by tree, until there are enough entries."""
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((2000, 16))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)  # of one length, so that a row is its own nearest
-    forest = vectors.Forest(x, 8)
-    held = forest.candidates(x[:50], 60)
-    assert held[np.arange(50), np.arange(50)].mean() > 0.8 and held.sum(1).max() < 2000
+    x = rng.standard_normal((300, 16))
+    x[7] = x[8]
+    forest = vectors.Forest.of(x, 6)
+    forest = vectors.Forest.from_bytes(*forest.to_bytes(), 300)
+    tall = np.sqrt(np.maximum((x * x).sum(1).max() - (x * x).sum(1), 0))
+    own = [[f"{c:032b}" for c in tree] for tree in vectors.hash_strings(np.column_stack((x, tall)), 6)]
+    queries = np.concatenate((x[:20], rng.standard_normal((20, 16))))
+    asked = [[f"{c:032b}" for c in tree] for tree in vectors.hash_strings(np.column_stack((queries, np.zeros(40))), 6)]
+    for enough in (1, 30, 250, 10_000):
+        for i, found in enumerate(forest.candidates(queries, enough)):
+            longest = [max(next((n for n in range(33) if a[: n + 1] != b[: n + 1] or n == 32), 32) for b in tree) for a, tree in ((asked[t][i], own[t]) for t in range(6))]
+            held, level = [set() for _ in range(6)], max(longest)
+            while level >= 0 and sum(map(len, held)) < enough:
+                for t in range(6):
+                    if longest[t] >= level and sum(map(len, held)) < enough:
+                        held[t] = {j for j in range(300) if own[t][j][:level] == asked[t][i][:level]}
+                level -= 1
+            assert set(found.tolist()) == set().union(*held)
 
 
 def test_empty_tables(spark):
@@ -60,8 +74,25 @@ def test_empty_tables(spark):
     assert vectors.threshold_search(none, F.col("id") % 20 == 0).count() == 0 and vectors.forest_search(none, F.col("id") % 20 == 0).count() == 0
 
 
-def test_exact_beyond_float():
-    a = np.full((1, 3), float(2**30))
-    assert vectors.exact_products(a, a + 1)[0, 0] == 3 * 2**30 * (2**30 + 1)
-    with pytest.raises(OverflowError):
-        vectors.exact_products(a * 4096, a * 4096)
+def test_exact_beyond_float(spark):
+    """Components of up to 53 bits in all slices: products beyond 2 ** 53, then beyond 64 bits."""
+    rng = np.random.default_rng(6)
+    for size in (2.0**28, 2.0**30, 2.0**31, 2.0**45, 1e300):
+        x = np.floor(rng.uniform(-size, size, (120, 6)))
+        x[5] = x[6] = x[40]
+        rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, [3.0] * 6)]
+        whole = {i: [int(c) for c in v] for i, v in rows}
+        expected = []
+        for q in range(0, 501, 20):
+            if q in whole:
+                scores = [(min(max(sum(a * b for a, b in zip(whole[q], v)), -(1 << 63)), (1 << 63) - 1), i) for i, v in whole.items() if i != q]
+                expected += [(q, n, i, s) for n, (s, i) in enumerate(sorted(scores, key=lambda t: (-t[0], t[1]))[:7], 1)]
+        frame = spark.createDataFrame(rows, "id long, vector array<double>")
+        got = vectors.threshold_search(frame, F.col("id") % 20 == 0, k=7, block=50).collect()
+        assert sorted(map(tuple, got)) == sorted(expected), size
+
+
+def test_tiles_below_the_cutoff_are_passed_over():
+    rng = np.random.default_rng(7)
+    x, q = rng.standard_normal((50, 9)) + 3, rng.standard_normal((20, 9))
+    assert (vectors.bounds(q, x.min(0), x.max(0))[:, None] >= q @ x.T - 1e-9).all()
