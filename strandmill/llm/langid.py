@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strandmill.llm.segment import LETTER, classes, codes
 from strandmill.llm.shared import text_passes
 
-BITS = 12  # of a character's number within an n-gram
+BITS = 16  # of a character's number within an n-gram, so four fit 64 bits
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so that different n-grams have different hashes
 
 
@@ -110,8 +110,13 @@ class LanguageModel:
         return out
 
 
-def fit(samples: list[tuple[str, str]], order: int = 4, max_letters: int = 4000) -> LanguageModel:
-    """A model of (language, text) samples; every tenth text of a language serves to calibrate the rejection."""
+def fit(samples: list[tuple[str, str]], order: int = 4) -> LanguageModel:
+    """A model of (language, text) samples; every tenth text of a language serves to calibrate the rejection.
+
+    Every letter of the samples has a number of its own, up to 65,533 different ones; ``order`` is 4 at most.
+    """
+    if not 1 <= order <= 64 // BITS:
+        raise ValueError(f"order is 1 to {64 // BITS}")
     samples = sorted(set(samples))
     languages = sorted({lang for lang, _ in samples})
     counts: dict[str, int] = {}
@@ -120,7 +125,7 @@ def fit(samples: list[tuple[str, str]], order: int = 4, max_letters: int = 4000)
         for p, k in zip(points.tolist(), n.tolist()):
             counts[chr(p)] = counts.get(chr(p), 0) + k
     kind = classes()
-    letters = sorted((c for c in counts if kind[ord(c)] == LETTER), key=lambda c: (-counts[c], c))[:max_letters]
+    letters = sorted((c for c in counts if kind[ord(c)] == LETTER), key=lambda c: (-counts[c], c))[: (1 << BITS) - 3]
     number = np.where(kind == LETTER, np.uint16(len(letters) + 1), np.uint16(0)).astype(np.uint16)
     rank = {c: i for i, c in enumerate(letters, 1)}
     for c, i in rank.items():
@@ -184,22 +189,23 @@ def sort_of(keys: np.ndarray) -> np.ndarray:
     return np.argsort(_hashed(keys))
 
 
-def learn(docs: DataFrame, *, max_docs: int = 1000, order: int = 4, only: Column | None = None) -> LanguageModel:
+def learn(docs: DataFrame, *, max_docs: int = 1000, max_languages: int = 500, order: int = 4, only: Column | None = None) -> LanguageModel:
     """A model of (text, lang) of at most ``max_docs`` documents per language, picked by a hash of doc_id.
 
-    ``only``: which rows may be learned from. Rows without language or text teach nothing; without any, no language
-    is known and every text is ``und``.
+    ``only``: which rows may be learned from. The ``max_languages`` most frequent values of lang are learned, so that
+    stray values do not become models. Rows without language or text teach nothing; without any, no language is known
+    and every text is ``und``.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if only is not None:
         rows = rows.where(only)
-    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    held = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages).collect()
+    if not held:
+        return fit([], order)
     # Twice the share that gives max_docs, so that the bound is reached; the window then holds it exactly.
-    chosen = F.lit(False)
     pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30))
-    for lang, n in held.items():
-        chosen |= (F.col("lang") == lang) & (pick < int(min(1.0, 2 * max_docs / n) * (1 << 30)))
-    few = rows.where(chosen).select("lang", "text", pick.alias("pick"))
+    below = F.create_map(*(F.lit(x) for r in held for x in (r["lang"], int(min(1.0, 2 * max_docs / r["n"]) * (1 << 30)))))
+    few = rows.where(pick < below[F.col("lang")]).select("lang", "text", pick.alias("pick"))
     few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))).where(F.col("rank") <= max_docs)
     return fit([(r["lang"], r["text"]) for r in few.select("lang", "text").collect()], order)
 

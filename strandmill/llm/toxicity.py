@@ -3,8 +3,8 @@
 The lexicon is learned from labelled texts. Its trie, intersected with the Levenshtein automata of its terms, becomes
 one deterministic table over character classes. All words of a batch of texts run through that table at once, one
 array step per character, and nearly all of them end in its dead state within a few steps. Each hit is weighed by a
-window around it: less inside quotation marks or after a verb of saying, more beside the second person. A logistic
-model of the weighed hits gives the score.
+window around it: less inside quotation marks or after a verb of saying, more beside the second person; how much,
+the labels tell. A logistic model of the weighed hits gives the score.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +54,9 @@ class Automaton:
     edits: np.ndarray
     stop: np.ndarray
 
-    def hits(self, text: str) -> list[tuple[int, int, int]]:
-        """(position, term, edits) of each word of the text that a term fits."""
-        if not text:
-            return []
-        x = self.number[codes(text)]
-        x = np.append(x, np.uint8(0))
+    def hits(self, points: np.ndarray) -> list[tuple[int, bool, int, int, int]]:
+        """(position, whether a whole word, where it was found, term, edits) of each word that a term fits, from code points."""
+        x = np.append(self.number[points], np.uint8(0))
         inside = x != 0
         starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
         at, state, out = starts, np.ones(len(starts), np.int32), []
@@ -68,24 +66,59 @@ class Automaton:
             ended = c == 0
             if ended.any():
                 found = np.flatnonzero(ended & (self.hit[state] >= 0))
-                out += zip(begun[found].tolist(), self.hit[state[found]].tolist(), self.edits[state[found]].tolist())
+                out += zip(begun[found].tolist(), repeat(True), at[found].tolist(), self.hit[state[found]].tolist(), self.edits[state[found]].tolist())
             state = self.step[state * self.width + c]
             done = self.stop[state]
             if done.any():
                 found = np.flatnonzero(done)
-                out += zip(begun[found].tolist(), self.hit[state[found]].tolist(), self.edits[state[found]].tolist())
+                out += zip(begun[found].tolist(), repeat(False), at[found].tolist(), self.hit[state[found]].tolist(), self.edits[state[found]].tolist())
             live = np.flatnonzero((state != 0) & ~done & ~ended)
             state, begun, at = state[live], begun[live], at[live] + 1
-        return sorted(out)
+        return out
+
+
+@dataclass
+class Lexicon:
+    """Automata for parts of a lexicon; a word is that of the stem that is complete first, else of the closest whole term."""
+
+    machines: list[Automaton]
+
+    def hits(self, text: str) -> list[tuple[int, int, int]]:
+        """(position, term, edits) of each word of the text that a term fits."""
+        if not text:
+            return []
+        points, best = codes(text), {}
+        for machine in self.machines:
+            for at, whole, end, term, edits in machine.hits(points):
+                found = (whole, end, edits, term)
+                if at not in best or found < best[at]:
+                    best[at] = found
+        return sorted((at, term, edits) for at, (_, _, edits, term) in best.items())
 
 
-def automaton(terms: list[tuple[str, bool, int]]) -> Automaton:
-    """For (term, whether a stem, edits allowed): the product of their trie and Levenshtein automata, determinised."""
-    letters = sorted({c for t, _, _ in terms for c in t})
-    if len(letters) > 250:
-        raise ValueError("the lexicon has too many different letters")
+def automaton(terms: list[tuple[str, bool, int]], max_letters: int = 250, max_states: int = 30_000) -> Lexicon:
+    """For (term, whether a stem, edits allowed): the products of their trie and Levenshtein automata, determinised.
+
+    The terms are divided among as many automata as it takes to keep each within the bounds, so that none is left out
+    whatever the lexicon's size and letters.
+    """
+    machines, todo = [], [list(range(len(terms)))]
+    while todo:
+        own = todo.pop()
+        few = len({c for i in own for c in terms[i][0]}) <= max_letters or len(own) == 1
+        machine = _determinised(terms, own, max_states if len(own) > 1 else None) if few else None
+        if machine is None:
+            todo += [own[len(own) // 2 :], own[: len(own) // 2]]
+        else:
+            machines.append(machine)
+    return Lexicon(machines)
+
+
+def _determinised(terms: list[tuple[str, bool, int]], own: list[int], max_states: int | None) -> Automaton | None:
+    """One automaton of some of the terms; None if it has more than ``max_states``."""
+    letters = sorted({c for i in own for c in terms[i][0]})
     kind = classes()
-    number = np.where((kind == LETTER) | (kind == NUMBER), np.uint8(1), np.uint8(0))  # 1: a letter of no term
+    number = np.where((kind == LETTER) | (kind == NUMBER), 1, 0).astype(np.uint8 if len(letters) <= 250 else np.uint16)  # 1: a letter of no term
     for i, c in enumerate(letters, 2):
         for form in {c, c.upper()}:
             if len(form) == 1:
@@ -95,7 +128,8 @@ def automaton(terms: list[tuple[str, bool, int]]) -> Automaton:
     child: list[dict[int, int]] = [{}]
     ends: list[list[int]] = [[]]
     most = [0]
-    for i, (term, _, allowed) in enumerate(terms):
+    for i in own:
+        term, _, allowed = terms[i]
         node = 0
         most[0] = max(most[0], allowed)
         for c in term:
@@ -126,9 +160,9 @@ def automaton(terms: list[tuple[str, bool, int]]) -> Automaton:
         return min(found, default=(-1, -1))
 
     width, start = len(letters) + 2, closed({0: 0})
-    known, rows, order = {frozenset(): 0, start: 1}, [[0] * width], [start]
+    known, rows, order = {frozenset(): 0, start: 1}, [np.zeros(width, np.int32)], [start]
     while len(rows) <= len(order):
-        state, row = order[len(rows) - 1], [0] * width
+        state, row = order[len(rows) - 1], np.zeros(width, np.int32)
         if best(state, True)[1] < 0 or state == start:
             for c in range(1, width):
                 to: dict[int, int] = {}
@@ -143,8 +177,8 @@ def automaton(terms: list[tuple[str, bool, int]]) -> Automaton:
                 if after not in known:
                     known[after] = len(known)
                     order.append(after)
-                    if len(known) > 200_000:
-                        raise ValueError("the lexicon is too large for its edits")
+                    if max_states is not None and len(known) > max_states:
+                        return None
                 row[c] = known[after]
         rows.append(row)
     n = len(rows)
@@ -155,43 +189,74 @@ def automaton(terms: list[tuple[str, bool, int]]) -> Automaton:
             if term >= 0 and (hit[i] < 0 or stems):
                 hit[i], edits[i] = term, e
                 stop[i] = stems
-    return Automaton(number, width, np.array(rows, np.int32).ravel(), hit, edits, stop)
+    return Automaton(number, width, np.concatenate(rows), hit, edits, stop)
+
+
+#: What a hit weighs by where it stands (alone, quoted or reported, beside the second person) and if it is misspelled, before labels are seen.
+ALONE, QUOTED, ADDRESSED, MISSPELLED = 1.0, 0.25, 1.25, 0.6
+#: The weights that the labels may choose instead.
+CHOICES = ((0.0, 0.1, 0.25, 0.5, 1.0), (1.0, 1.25, 1.5, 2.0), (0.3, 0.6, 1.0))
+
+
+def context_weights(quoted: float = QUOTED, addressed: float = ADDRESSED, misspelled: float = MISSPELLED) -> np.ndarray:
+    """By context, then by whether misspelled: six weights."""
+    return np.outer((ALONE, quoted, addressed), (1.0, misspelled)).ravel()
 
 
 @dataclass
 class ToxicityModel:
     terms: list[tuple[str, bool, int]]
-    machine: Automaton
+    machine: Lexicon
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
+    contexts: np.ndarray = field(default_factory=context_weights)
     window: int = 60
 
-    def weighed(self, text: str) -> tuple[float, list[tuple[int, str, int, float]]]:
-        """The sum of the hits' weights, and (position, term, edits, weight) of each."""
+    def found(self, text: str) -> list[tuple[int, str, int, int]]:
+        """(position, term, edits, context) of each hit; contexts: 0 alone, 1 quoted or reported, 2 beside the second person."""
         out = []
         for at, term, edits in self.machine.hits(text):
-            weight = 1.0 if not edits else 0.6
             before, after = text[max(0, at - self.window) : at], text[at : at + self.window]
             opened = max((before.rfind(q) for q in OPENING), default=-1)
             closed = max((before.rfind(q) for q in "”»›"), default=-1)
             quoted = opened > closed and any(q in after for q in CLOSING)
             quoted |= before.count('"') % 2 == 1 and '"' in after
-            if quoted or SAYING.search(before):
-                weight *= 0.25
-            elif SECOND_PERSON.search(before[-25:]) or SECOND_PERSON.search(after[:35]):
-                weight *= 1.25
-            out.append((at, self.terms[term][0], edits, weight))
-        return sum(x[3] for x in out), out
-
-    def features(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        total = self.weighed(text)[0]
-        if not total:
-            return np.array([1.0, 0.0, 0.0])
-        return np.array([1.0, np.log1p(total), np.log1p(100 * total / max(1, text.count(" ") + 1))])
+            addressed = SECOND_PERSON.search(before[-25:]) or SECOND_PERSON.search(after[:35])
+            out.append((at, self.terms[term][0], edits, 1 if quoted or SAYING.search(before) else 2 if addressed else 0))
+        return out
+
+    def counts(self, text: str | None) -> np.ndarray:
+        """How many hits of each of the six sorts, and the words of the text by its spaces."""
+        out = np.zeros(7)
+        for _, _, edits, context in self.found(text or ""):
+            out[2 * context + (edits > 0)] += 1
+        out[6] = max(1, (text or "").count(" ") + 1)
+        return out
 
     def score(self, text: str | None) -> float:
         """0 to 1; an empty text scores as one without hits."""
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
+        return float(_logistic(_features(self.counts(text)[None], self.contexts) @ self.weights)[0])
+
+
+def _features(counts: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    total = counts[:, :6] @ contexts
+    return np.column_stack((np.ones(len(counts)), np.log1p(total), np.log1p(100 * total / counts[:, 6])))
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _weights(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """The most likely weights under the prior, and how unlikely the labels are then."""
+    w, held = PRIOR.copy(), PRIOR_WEIGHT * np.eye(3)
+    for _ in range(30):
+        p = _logistic(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + held, x.T @ (y - p) - held @ (w - PRIOR))
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    p = np.clip(_logistic(x @ w), 1e-12, 1 - 1e-12)
+    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum() + (w - PRIOR) @ held @ (w - PRIOR) / 2)
 
 
 def lexicon(toxic: list[str], clean: list[str], *, seeds: tuple[str, ...] = SEEDS, purity: float = 0.9, cover: int = 4) -> list[tuple[str, bool, int]]:
@@ -260,15 +325,16 @@ def fit(labelled: list[tuple[str, int]]) -> ToxicityModel:
         terms = [(t, s, 0 if i in slack else e) for i, (t, s, e) in enumerate(terms)]
         model = ToxicityModel(terms, automaton(terms))
     if rows:
-        x, y = np.array([model.features(t) for t, _ in rows]), np.array([float(y) for _, y in rows])
-        w, held = PRIOR.copy(), PRIOR_WEIGHT * np.eye(3)
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + held, x.T @ (y - p) - held @ (w - PRIOR))
-            w = w + np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-8:
-                break
-        model.weights = w
+        counts, y = np.array([model.counts(t) for t, _ in rows]), np.array([float(v) for _, v in rows])
+        best = None
+        for choice in product(*CHOICES):
+            contexts = context_weights(*choice)
+            w, loss = _weights(_features(counts, contexts), y)
+            # Another weight than the given must make the labels likelier by more than chance does.
+            loss += 2.0 * sum(a != b for a, b in zip(choice, (QUOTED, ADDRESSED, MISSPELLED)))
+            if best is None or loss < best[0]:
+                best = loss, w, contexts
+        _, model.weights, model.contexts = best
     return model
 
 
