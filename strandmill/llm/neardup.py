@@ -2,14 +2,16 @@
 
 A text's set is that of its shingles of ``words`` words. One permutation of the hash space is applied once; a second,
 shifted by 0, 1, 2, ... places, then gives every coordinate of the signature as the least value over the set. Texts
-that agree in a band of coordinates are candidates. Texts with equal sets form one class beforehand, and only the
-class's first document goes on. Candidates are gathered into groups that share bands, directly or through others;
+that agree in a band of coordinates are candidates. Texts with equal sets, by SHA-256 of all their shingles, form one
+class beforehand, and only the class's first document goes on. Candidates are gathered into groups that share bands, directly or through others;
 each group is compared exactly, in blocks of bounded size, by an inverted index over full sets, and a block gives no
 more links than it has documents. So no pairs are listed, whatever the size of a group of copies.
 """
 
 from __future__ import annotations
 
+
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -98,9 +100,20 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(out), sizes
 
 
-def fingerprints(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums over each set that do not depend on order."""
-    return np.add.reduceat(_stir(hashes, BASE), begins), np.add.reduceat(_stir(hashes ^ STIR2), begins)
+LOWER = bytes(_byte_classes()[0])
+
+
+def shingles(text: str | None, words: int) -> set[bytes]:
+    """The distinct shingles of a text themselves, as words joined by spaces; white space is that of bytes.split()."""
+    own = (text or "").encode().translate(LOWER).split()
+    if len(own) < words:
+        return {b" ".join(own)} if own else set()
+    return set(map(b" ".join, zip(*(own[i:] for i in range(words)))))
+
+
+def set_key(own: set[bytes]) -> bytes:
+    """SHA-256 of a whole set, whatever the order in which it was found."""
+    return hashlib.sha256(b"\n".join(sorted(own))).digest()
 
 
 def signatures(hashes: np.ndarray, begins: np.ndarray, coordinates: int) -> np.ndarray:
@@ -128,31 +141,30 @@ def signatures(hashes: np.ndarray, begins: np.ndarray, coordinates: int) -> np.n
 
 
 def sketched(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands) of each document; ``bands`` is empty for an empty set."""
+    """(doc_id, n_shingles, set_key, bands) of each document; ``bands`` is empty for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_passes(batches, limit=1 << 20):
             hashes, sizes = shingle_sets(texts, words)
             n, full = len(texts), np.flatnonzero(sizes)
-            a, b, bits = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros((0, bands), np.uint64)
+            bits = np.zeros((0, bands), np.uint64)
             if len(full):
-                begins = (np.cumsum(sizes) - sizes)[full]
-                a[full], b[full] = fingerprints(hashes, begins)
-                grid = signatures(hashes, begins, bands * rows).reshape(bands, rows, len(full)).astype(np.uint64)
+                grid = signatures(hashes, (np.cumsum(sizes) - sizes)[full], bands * rows).reshape(bands, rows, len(full)).astype(np.uint64)
                 bits = np.arange(1, bands + 1, dtype=np.uint64)[:, None] * STIR
                 for i in range(rows):
                     bits = _stir(bits ^ grid[:, i], BASE)
                 bits = bits.T
             ends = np.cumsum(np.where(sizes > 0, bands, 0)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), pa.array(np.ascontiguousarray(bits).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            held = [(len(own), set_key(own)) for own in (shingles(t, words) for t in texts)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([k for k, _ in held], pa.int64()), pa.array([key for _, key in held], pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "bands"])
 
     given = docs.select("doc_id", "text")
-    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
 def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join what is linked among the sets: i and j with 100 * |i & j| >= percent * |i | j|.
+    """Links that join what is linked among sets of shingle numbers: i and j with 100 * |i & j| >= percent * |i | j|.
 
     Exact for every pair, by an inverted index; a link that would only close a circle is left out.
     """
@@ -195,7 +207,8 @@ def exact_links(docs: DataFrame, groups: DataFrame, words: int, percent: int, bl
     sizes = sizes.select("component", parts.alias("parts"))
     members = groups.join(sizes, "component")
     members = written(members, "members")
-    bins = max(1, members.where("parts = 1").count() * 2 // block_docs)
+    small = members.where("parts = 1").agg(F.count("*").alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("total")).first()
+    bins = max(1, small["n"] * 2 // block_docs, small["total"] * 2 // block_shingles)
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     # A small group lies whole in one of the bins; a large one is dealt to blocks, each pair of its parts being one.
@@ -211,10 +224,8 @@ def exact_links(docs: DataFrame, groups: DataFrame, words: int, percent: int, bl
             ids.append(doc)
             own.append(text)
         for ids, own in seen.values():
-            sets = []
-            for k in range(0, len(own), 64):
-                hashes, n = shingle_sets(own[k : k + 64], words)
-                sets += np.split(hashes, np.cumsum(n)[:-1])
+            number: dict[bytes, int] = {}
+            sets = [np.array([number.setdefault(x, len(number)) for x in shingles(t, words)]) for t in own]
             for x, y in links_within(sets, percent):
                 found[0].append(ids[x])
                 found[1].append(ids[y])
@@ -233,10 +244,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = written(sketched(docs, words, bands, rows), "sketches")
-    classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("first"))
+    classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"))
     classes = written(classes, "classes")
-    firsts = classes.select(F.col("first").alias("doc_id"), "n_shingles", "set_a", "set_b")
-    held = sketches.join(firsts, ["doc_id", "n_shingles", "set_a", "set_b"], "left_semi").select("doc_id", F.explode("bands").alias("band"))
+    firsts = classes.select(F.col("first").alias("doc_id"), "n_shingles", "set_key")
+    held = sketches.join(firsts, ["doc_id", "set_key"], "left_semi").select("doc_id", F.explode("bands").alias("band"))
     heads = held.groupBy("band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("band", "head")
     # A document's heads (one per band at most) hang on the least of them, as the document does: the same groups by
     # about one link per document, for the documents of a group share their heads.
@@ -247,8 +258,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     links = exact_links(docs, groups, words, percent, block_docs, block_shingles)
     # Equal sets link a class's documents to its first; rows that share a doc_id are one node of that graph.
     reached = connected_components(links)
-    named = classes.join(reached, classes["first"] == reached["node"], "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "first").alias("component_id"))
-    out = sketches.drop("bands").join(named, ["n_shingles", "set_a", "set_b"], "left")
+    named = classes.join(reached, classes["first"] == reached["node"], "left").select("set_key", F.coalesce("component", "first").alias("component_id"))
+    out = sketches.drop("bands").join(named, ["set_key"], "left")
     found = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     found = F.when(F.col("doc_id").isNotNull(), found)
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
