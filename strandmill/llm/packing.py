@@ -3,7 +3,9 @@
 Documents longer than a window are first cut into full windows, each a sequence of its own. What is left of each
 document goes, longest first, into the open window with the least room that holds it: a segment tree over the
 remaining capacities finds it in log2(window) steps. A task packs what it reads in rounds of bounded size, so no row
-is shuffled and memory is bounded; only the windows still open at the end of a task's rows can be far from full.
+is shuffled and memory is bounded. What lies in windows that a round leaves less than nearly full goes into the next
+round; after a task's last one it is cut anew into full windows, and the rest of these into powers of two, which need
+no padding. So the padding does not depend on how many tasks there are.
 """
 
 from __future__ import annotations
@@ -69,35 +71,76 @@ def best_fit_decreasing(lengths: list[int], window: int, first: int = 0) -> tupl
     return windows, offsets, first
 
 
-def pack_documents(docs: DataFrame, file: str, *, window: int = 2048, end: int | None = 1, pattern: str | None = None, round_tokens: int = 8_000_000) -> DataFrame:
+def refilled(lengths: list[int], window: int) -> list[tuple[int, int, int, int]]:
+    """(item, begin, length, sequence) of cuts that put items one after another into full windows and, for what is left
+    of the last, into sequences of falling powers of two."""
+    full, rest = divmod(sum(lengths), window)
+    rooms = [window] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+    out, sequence, left = [], 0, rooms[0] if rooms else 0
+    for i, n in enumerate(lengths):
+        begin = 0
+        while begin < n:
+            take = min(left, n - begin)
+            out.append((i, begin, take, sequence))
+            begin, left = begin + take, left - take
+            if not left:
+                sequence += 1
+                left = rooms[sequence] if sequence < len(rooms) else 0
+    return out
+
+
+def pack_documents(docs: DataFrame, file: str, *, window: int = 2048, end: int | None = 1, pattern: str | None = None, round_tokens: int = 8_000_000, full: float = 31 / 32) -> DataFrame:
     """Every piece of every document: (doc_id, start, length, ids binary, doc_tokens, sequence_id, offset).
 
-    A document is its text's ids by the tokenizer ``file``, then ``end``; null text is empty. Its full windows come first, the rest is one piece. Ids of a piece are little-endian, 2 bytes each if the vocabulary allows, else 4.
-    Sequences are numbered within each task from task << 40; a sequence's pieces fill it from offset 0 without gaps.
-    Repeated rows are packed each; without ``end``, a document without ids has no piece. Null ids of documents stay.
+    A document is its text's ids by the tokenizer ``file``, then ``end``; null text is empty. Its full windows come
+    first, the rest is one piece, which is cut only if its window is less than ``full`` at the end. Ids of a piece are
+    little-endian, 2 bytes each if the vocabulary allows, else 4. Sequences are numbered within each task from
+    task << 40; a sequence's pieces fill it from offset 0 without gaps, and a sequence holds ``full`` of a window at
+    least or a power of two of ids. Repeated rows are packed each; without ``end``, a document without ids has no
+    piece. Null ids of documents stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(file, pattern, end)
-        width, base = encoder.kind.itemsize, TaskContext.get().partitionId() << 40
-        step, number = window * width, base
-        held: list[tuple] = []
+        width, number = encoder.kind.itemsize, TaskContext.get().partitionId() << 40
+        step = window * width
+        held: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
         tokens = 0
 
-        def flush():
+        def batch(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
+            kinds = (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            for i in range(0, len(pieces), 20_000):
+                columns = zip(*((doc, start, len(ids) // width, ids, total, at, offset) for (doc, start, ids, total), at, offset in pieces[i : i + 20_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, tokens, number
-            rest = [i for i, x in enumerate(held) if len(x[2]) < step]
-            at, offset = [0] * len(held), [0] * len(held)
-            for i, x in enumerate(held):
+            out = []
+            for x in held:
                 if len(x[2]) == step:
-                    at[i], number = number, number + 1
-            found, offsets, number = best_fit_decreasing([len(held[i][2]) // width for i in rest], window, number)
-            for i, a, o in zip(rest, found, offsets):
-                at[i], offset[i] = a, o
-            for i in range(0, len(held), 20_000):
-                some = held[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], kind), pa.array([x[1] for x in some], pa.int64()), pa.array([len(x[2]) // width for x in some], pa.int64()), pa.array([x[2] for x in some], pa.binary()), pa.array([x[3] for x in some], pa.int64()), pa.array(at[i : i + 20_000], pa.int64()), pa.array(offset[i : i + 20_000], pa.int64())], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-            held, tokens = [], 0
+                    out.append((x, number, 0))
+                    number += 1
+            rest = [x for x in held if len(x[2]) < step]
+            found, offsets, after = best_fit_decreasing([len(x[2]) // width for x in rest], window, number)
+            filled = [0] * (after - number)
+            for x, a in zip(rest, found):
+                filled[a - number] += len(x[2]) // width
+            loose = []
+            for x, a, offset in zip(rest, found, offsets):
+                if filled[a - number] >= full * window:
+                    out.append((x, a, offset))
+                else:
+                    loose.append(x)
+            number, held = after, [] if last else loose
+            if last:
+                offset, before = 0, -1
+                for i, begin, n, sequence in refilled([len(x[2]) // width for x in loose], window):
+                    doc, start, ids, total = loose[i]
+                    offset = offset if sequence == before else 0
+                    out.append(((doc, start + begin, ids[begin * width : (begin + n) * width], total), number + sequence, offset))
+                    offset, before = offset + n, sequence
+            tokens = sum(len(x[2]) // width for x in held)
+            yield from batch(out)
 
         kind = None
         for part, texts in text_passes(batches):
@@ -107,9 +150,9 @@ def pack_documents(docs: DataFrame, file: str, *, window: int = 2048, end: int |
                 held += [(doc, i // width, ids[i : i + step], total) for i in range(0, len(ids), step)]
                 tokens += total
             if tokens >= round_tokens:
-                yield from flush()
+                yield from flush(False)
         if held:
-            yield from flush()
+            yield from flush(True)
 
     given = docs.select("doc_id", "text")
     return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")

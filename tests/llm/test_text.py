@@ -181,6 +181,28 @@ def test_packing(spark):
     assert digests[0]["ids_crc32"] == zlib.crc32(np.array([*library.encode("a", add_special_tokens=False).ids, 1], "<u4").tobytes())
 
 
+@given(st.lists(st.integers(1, 64), max_size=60))
+@settings(max_examples=80, deadline=None)
+def test_refilled(lengths):
+    cuts = packing.refilled(lengths, 64)
+    assert [i for i, n in enumerate(lengths) for _ in range(n)] == [i for i, _, n, _ in cuts for _ in range(n)]
+    sizes, at = {}, {}
+    for i, begin, n, sequence in cuts:
+        assert begin == at.get(i, 0)
+        at[i], sizes[sequence] = begin + n, sizes.get(sequence, 0) + n
+    small = [sizes[k] for k in sorted(sizes) if sizes[k] != 64]
+    assert list(sizes) == list(range(len(sizes))) and all(n & (n - 1) == 0 for n in small) and small == sorted(set(small), reverse=True)
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_padding_whatever_the_partitions(spark, parts):
+    texts = [f"word{i} " * (1 + i * 37 % 90) for i in range(400)]
+    got = packing.pack_documents(rows(spark, texts).repartition(parts), P.path("word_bpe_49k.json"), window=256, round_tokens=900)
+    sizes = [r["n"] for r in got.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert all(n >= 248 or n & (n - 1) == 0 for n in sizes) and max(sizes) <= 256
+    assert sum(256 if n & (n - 1) else n for n in sizes) < 1.02 * sum(sizes)
+
+
 ADDED = [*TEXTS, "foo <|endoftext|> bar", "a<|startoftext|><|endoftext|>b  <|endoftext|>", "It's<|endoftext|>'s", "A\u0301<|endoftext|>\u0301", "<|EndOfText|> <|endoftext", "  <|endoftext|>\n\n<|endoftext|> x"]
 
 
@@ -195,12 +217,17 @@ def test_added_tokens_as_loaded(file, pattern):
 @pytest.mark.parametrize(("query", "file", "end"), [("op3_token_file", "byte_bpe_50k.json", 2), ("op10_best_fit_packing", "word_bpe_49k.json", 1)])
 def test_queries_take_added_tokens(spark, tmp_path, query, file, end):
     rows(spark, ADDED).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in queries()[query](spark, str(tmp_path)).collect()}
+    got: dict = {}
+    for r in queries()[query](spark, str(tmp_path)).orderBy("doc_id", "start").collect():
+        got.setdefault(r["doc_id"], []).append(r)
     library = Tokenizer.from_file(P.path(file))
-    start = 0
+    before = 0
     for i, t in enumerate(ADDED):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, end]
-        n, begin = ("n_tokens", "start") if query == "op3_token_file" else ("doc_tokens", None)
-        assert got[i][n] == len(ids) and got[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
-        assert begin is None or got[i][begin] == start
-        start += len(ids)
+        at, size, first = (before, "n_tokens", before) if query == "op3_token_file" else (0, "length", 0)
+        for r in got[i]:  # op3 gives whole documents, op10 pieces that cover them
+            own = ids[at - first : at - first + r[size]]
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes()) and len(own) == r[size]
+            at += r[size]
+        assert at - first == len(ids) and (query == "op3_token_file" or got[i][0]["doc_tokens"] == len(ids))
+        before += len(ids)
