@@ -62,3 +62,21 @@ def test_run_is_the_stages_in_order(spark, tmp_path):
     for pieces in filled.values():
         ends = np.cumsum([n for _, n in sorted(pieces)])
         assert [a for a, _ in sorted(pieces)] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
+
+
+def test_run_on_an_empty_table_and_on_repeated_rows(spark, tmp_path):
+    """Nothing gives nothing; rows that repeat under one doc_id are one document to near-dedup, and each is packed."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    for name, own in (("empty", docs.where("false")), ("repeated", docs.where("doc_id < 60").unionByName(docs.where("doc_id IN (0, 1, 2)")))):
+        own.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.where("false" if name == "empty" else "true").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/empty")
+    assert got.count() == 0 and got.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, spark.read.parquet(f"{tmp_path}/empty/documents.parquet"), f"{tmp_path}/empty")
+        assert left.columns == docs.columns and left.count() == 0, name
+    tokens: dict = {}
+    for r in corpus_pipeline.run(spark, f"{tmp_path}/repeated").collect():
+        tokens.setdefault(r["doc_id"], []).append((r["length"], r["doc_tokens"]))
+    times = {d: sum(n for n, _ in v) / v[0][1] for d, v in tokens.items()}
+    assert set(times.values()) <= {1, 2} and all(times[d] == 1 for d in times if d > 2) and 2 in times.values()
