@@ -2,15 +2,21 @@
 
 A file is a table of blocks in the shared folder. Each block holds, in one binary value,
 
-    magic "EFT1" | width u8 | low bits u8 | 2 bytes 0 | documents u32 | ids u64 | selects u32 | upper words u32
+    magic "EFT2" | width u8 | 3 bytes 0 | ids u64 | documents without a doc_id u32 | 4 bytes 0 | least doc_id i64
     ids            ids * width bytes, little-endian
-    low parts      documents * low bits, packed in u64 words
-    upper parts    bit (end >> low bits) + i set for document i, in u64 words
-    selects        u32: the bit position of each 256th set bit of the upper parts
+    ends           Elias-Fano code of the end of each document
+    names          Elias-Fano code of each doc_id less the least one, of those that have one
 
-With n documents of u ids in all, a boundary takes about 2 + log2(u / n) bits, and the position of any boundary is
-found from the nearest select sample by counting set bits in a few words. Blocks lie in ascending document order; a
-manifest gives the ids before each block.
+and an Elias-Fano code of n numbers is
+
+    n u32 | low bits u32 | upper words u32 | 4 bytes 0
+    low parts      n * low bits, packed in u64 words
+    upper parts    bit (number >> low bits) + i set for number i, in u64 words
+    selects        u32: the bit position of each 256th set bit of the upper parts, padded to 8 bytes
+
+With n documents of u ids in all, a boundary takes about 2 + log2(u / n) bits, and a doc_id as few bits as doc_ids lie
+close together. Any boundary or doc_id is found from the nearest select sample by counting set bits in a few words;
+readers select what they read. Blocks lie in ascending document order; a manifest gives the ids before each block.
 """
 
 from __future__ import annotations
@@ -22,14 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm.libtokens import library_encoder
 from strandmill.llm.packing import widened
 from strandmill.llm.shared import text_passes
 
-HEAD = struct.Struct("<4sBBHIQII")
+HEAD, CODE = struct.Struct("<4sB3xQI4xq"), struct.Struct("<III4x")
 SAMPLE = 256
 
 
@@ -54,6 +60,19 @@ class EliasFano:
         plane[at] = 1
         return cls(n, bits, low, np.packbits(plane, bitorder="little").view("<u8"), at[::SAMPLE].astype("<u4"))
 
+    def to_bytes(self) -> bytes:
+        samples = self.samples.tobytes()
+        return b"".join((CODE.pack(self.n, self.bits, len(self.upper)), self.low.tobytes(), self.upper.tobytes(), samples, bytes(-len(samples) % 8)))
+
+    @classmethod
+    def from_bytes(cls, data: bytes, at: int) -> tuple[EliasFano, int]:
+        """The code that begins at a place, and where it ends."""
+        n, bits, words = CODE.unpack_from(data, at)
+        low = np.frombuffer(data, "<u8", (n * bits + 63) // 64, at := at + CODE.size)
+        upper = np.frombuffer(data, "<u8", words, at := at + low.nbytes)
+        samples = np.frombuffer(data, "<u4", -(-n // SAMPLE), at := at + upper.nbytes)
+        return cls(n, bits, low, upper, samples), at + samples.nbytes + samples.nbytes % 8
+
     def all(self) -> np.ndarray:
         at = np.flatnonzero(np.unpackbits(self.upper.view(np.uint8), bitorder="little"))[: self.n]
         high = (at - np.arange(self.n)).astype(np.uint64)
@@ -85,28 +104,33 @@ class EliasFano:
 
 
 class TokenBlock:
-    """One block: ``ids`` of all its documents, ``ends`` as Elias-Fano code."""
+    """One block: ``ids`` of all its documents, ``ends`` and ``names`` as Elias-Fano code; the first documents may have no name."""
 
-    def __init__(self, ids: np.ndarray, ends: EliasFano):
-        self.ids, self.ends = ids, ends
+    def __init__(self, ids: np.ndarray, ends: EliasFano, nameless: int, least: int, names: EliasFano):
+        self.ids, self.ends, self.nameless, self.least, self.names = ids, ends, nameless, least, names
+
+    @classmethod
+    def of(cls, ids: np.ndarray, ends: np.ndarray, names: list[int | None]) -> TokenBlock:
+        """``names``: doc_ids in ascending order, None first."""
+        nameless = names.count(None)
+        least = names[nameless] if nameless < len(names) else 0
+        return cls(ids, EliasFano.of(ends), nameless, least, EliasFano.of(np.array([x - least for x in names[nameless:]], np.uint64)))
 
     def to_bytes(self) -> bytes:
-        e = self.ends
-        head = HEAD.pack(b"EFT1", self.ids.dtype.itemsize, e.bits, 0, e.n, len(self.ids), len(e.samples), len(e.upper))
-        return b"".join((head, self.ids.tobytes(), e.low.tobytes(), e.upper.tobytes(), e.samples.tobytes()))
+        head, ids = HEAD.pack(b"EFT2", self.ids.dtype.itemsize, len(self.ids), self.nameless, self.least), self.ids.tobytes()
+        return b"".join((head, ids, self.ends.to_bytes(), self.names.to_bytes()))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> TokenBlock:
-        magic, width, bits, _, n, total, samples, words = HEAD.unpack_from(data)
-        if magic != b"EFT1":
+        magic, width, total, nameless, least = HEAD.unpack_from(data)
+        if magic != b"EFT2":
             raise ValueError("not a token block")
-        at = HEAD.size
-        ids = np.frombuffer(data, f"<u{width}", total, at)
-        at += total * width
-        low = np.frombuffer(data, "<u8", (n * bits + 63) // 64, at)
-        at += low.nbytes
-        upper = np.frombuffer(data, "<u8", words, at)
-        return cls(ids, EliasFano(n, bits, low, upper, np.frombuffer(data, "<u4", samples, at + upper.nbytes)))
+        ids = np.frombuffer(data, f"<u{width}", total, HEAD.size)
+        ends, at = EliasFano.from_bytes(data, HEAD.size + ids.nbytes)
+        return cls(ids, ends, nameless, least, EliasFano.from_bytes(data, at)[0])
+
+    def name(self, i: int) -> int | None:
+        return None if i < self.nameless else self.least + self.names.select(i - self.nameless)
 
     def bounds(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
@@ -128,8 +152,8 @@ def write_token_file(docs: DataFrame, path: str, file: str, pattern: str | None,
 
         def block():
             ends = np.cumsum([len(x) // encoder.kind.itemsize for x in held], dtype=np.uint64)
-            data = TokenBlock(np.frombuffer(b"".join(held), encoder.kind), EliasFano.of(ends)).to_bytes()
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([int(ends[-1])], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["block", "n_ids", "doc_ids", "data"])
+            data = TokenBlock.of(np.frombuffer(b"".join(held), encoder.kind), ends, names).to_bytes()
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([int(ends[-1])], pa.int64()), pa.array([data], pa.binary())], names=["block", "n_ids", "data"])
 
         for batch, texts in text_passes(batches):
             for name, ids in zip(batch.column("doc_id").to_pylist(), encoder.packed(texts)):
@@ -143,26 +167,36 @@ def write_token_file(docs: DataFrame, path: str, file: str, pattern: str | None,
             yield block()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id")
-    blocks = ordered.mapInArrow(run, "block bigint, n_ids bigint, doc_ids array<bigint>, data binary")
+    blocks = ordered.mapInArrow(run, "block bigint, n_ids bigint, data binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spark = docs.sparkSession
-    spark.read.parquet(f"{path}/blocks").select("block", before.alias("before")).write.parquet(f"{path}/manifest")
+    sizes = spark.read.parquet(f"{path}/blocks").select("block", "n_ids", F.shiftright("block", 32).alias("task"))
+
+    def before(n: str, window) -> Column:
+        return F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    # Blocks are summed up within the task that wrote them, and tasks, a row each, over all.
+    tasks = sizes.groupBy("task").agg(F.sum("n_ids").alias("n")).select("task", before("n", Window.orderBy("task")).alias("first"))
+    sizes = sizes.withColumn("within", before("n_ids", Window.partitionBy("task").orderBy("block"))).join(tasks, "task")
+    sizes.select("block", (F.col("first") + F.col("within")).alias("before")).write.parquet(f"{path}/manifest")
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of a token file, from the file alone: (doc_id, start, n_tokens, ids binary, little-endian uint32)."""
+    """Every document of a token file, from the file alone: (block, doc_id, offset, n_tokens, ids binary, little-endian uint32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            for block, names, data in zip(*(batch.column(c) for c in ("block", "doc_ids", "data"))):
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
                 held = TokenBlock.from_bytes(data.as_py())
-                ends = held.ends.all().astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1]))
-                ids = [widened(held.ids[a:b].tobytes(), b - a) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(ids), pa.int64()), names.values if hasattr(names, "values") else pa.array(names.as_py(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(ids, pa.binary())], names=["block", "doc_id", "offset", "n_tokens", "ids"])
-
-    return spark.read.parquet(f"{path}/blocks").select("block", "doc_ids", "data").mapInArrow(run, "block bigint, doc_id bigint, offset bigint, n_tokens bigint, ids binary")
+                rows, a = [], 0
+                for i in range(held.ends.n):
+                    b = held.ends.select(i)
+                    rows.append((block, held.name(i), a, b - a, widened(held.ids[a:b].tobytes(), b - a)))
+                    a = b
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["block", "doc_id", "offset", "n_tokens", "ids"])
+
+    return spark.read.parquet(f"{path}/blocks").select("block", "data").mapInArrow(run, "block bigint, doc_id bigint, offset bigint, n_tokens bigint, ids binary")
 
 
 def located(spark: SparkSession, path: str) -> DataFrame:

@@ -136,7 +136,28 @@ def test_token_file(spark, tmp_path):
         start += len(ids)
     assert sorted(map(tuple, tokenfile.located(spark, path).collect())) == sorted(expected)
     block = tokenfile.TokenBlock.from_bytes(spark.read.parquet(f"{path}/blocks").orderBy("block").first()["data"])
-    assert len(block.document(0)) == expected[0][2]
+    assert len(block.document(0)) == expected[0][2] and block.name(0) == expected[0][0]
+    assert spark.read.parquet(f"{path}/blocks").columns == ["block", "n_ids", "data"]
+
+
+@given(st.lists(st.one_of(st.none(), st.integers(-(1 << 63), (1 << 63) - 1)), min_size=1, max_size=300))
+@settings(max_examples=60, deadline=None)
+def test_token_block_round_trip(names):
+    names = sorted(names, key=lambda x: (x is not None, x or 0))
+    ends = np.cumsum([i % 5 for i in range(len(names))])
+    block = tokenfile.TokenBlock.from_bytes(tokenfile.TokenBlock.of(np.arange(ends[-1], dtype="<u2"), ends, names).to_bytes())
+    assert [block.name(i) for i in range(len(names))] == names
+    assert [block.document(i).tolist() for i in range(len(names))] == [list(range(e - i % 5, e)) for i, e in enumerate(ends.tolist())]
+
+
+def test_token_file_of_odd_rows(spark, tmp_path):
+    """Null and repeated doc_ids, columns that clash, a long text, and no rows at all."""
+    odd = spark.createDataFrame([(None, "a b"), (None, None), (7, "c"), (7, "c"), (-3, "x" * 200_000)], "doc_id long, text string").withColumns({"block": F.lit(1), "data": F.lit("z")})
+    tokenfile.write_token_file(odd, f"file://{tmp_path}/odd", P.path("byte_bpe_50k.json"), P.PATTERN, block_ids=4)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in tokenfile.located(spark, f"file://{tmp_path}/odd").collect())
+    assert [d for _, d, _ in got] == [None, None, -3, 7, 7] and [s for s, _, _ in got] == np.cumsum([0, *(n for _, _, n in got)])[:-1].tolist()
+    tokenfile.write_token_file(odd.where("false"), f"file://{tmp_path}/none", P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert tokenfile.located(spark, f"file://{tmp_path}/none").count() == 0
 
 
 def best_fit(lengths, window):
