@@ -280,10 +280,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
             out.append((m.start(), m.end(), "secret"))
     for m in TOKEN.finditer(text):
         out.append((m.start(1), m.end(), "token"))
-    for m in ASSIGNED.finditer(text):
+    named = "=" in text or ":" in text  # without either nothing is named, and no IPv6 address stands
+    for m in ASSIGNED.finditer(text) if named else ():
         if not SECRET.fullmatch(m[1]) and not TOKEN.search(m[1]):
             out.append((m.start(1), m.end(), "token"))
-    for m in IPV6.finditer(text):
+    for m in IPV6.finditer(text) if named else ():
         if is_ipv6(m[0]):
             out.append((m.start(), m.end(), "ipv6"))
     for m in MAC.finditer(text):
