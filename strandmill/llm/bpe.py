@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from strandmill.llm.flat import MIX, FlatMap, Rows
 from strandmill.llm.segment import SpacedSplitter
-from strandmill.llm.shared import WordMemo, text_passes
+from strandmill.llm.shared import Then, WordMemo, mapped, text_passes
 
 NEVER = 1 << 60
 
@@ -611,9 +611,11 @@ def text_encoder(rank_file: str, pattern: str) -> TextEncoder:
     return TextEncoder(rank_file, pattern)
 
 
-def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", then: Then | None = None) -> DataFrame:
     """Ids and decoded text of every document: (id, n_tokens, ids binary of little-endian uint32, decoded string).
 
+    ``then``: what is made of each batch of these before it leaves its task, such as ``DIGESTS``.
+
     A null or empty text has no ids and decodes to the empty text. Rows that repeat are encoded each; other columns,
     whatever their names, are not read. ``rank_file`` must lie at the same path on every machine.
     """
@@ -627,21 +629,14 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_column: s
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids", "decoded"])
 
     given = docs.selectExpr(f"`{id_column}` AS id", f"`{text_column}` AS text")
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, n_tokens bigint, ids binary, decoded string")
+    return mapped(given, run, f"id {given.schema['id'].dataType.simpleString()}, n_tokens bigint, ids binary, decoded string", then)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
     """SHA-256 of the decimal ids joined by commas, and of the decoded bytes."""
+    of_ids = [hashlib.sha256(",".join(map(str, np.frombuffer(x.as_buffer(), np.uint32).tolist())).encode()).hexdigest() for x in batch.column("ids")]
+    of_text = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
+    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_tokens"), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [str(i) for i in range(1 << 16)]
-        for batch in batches:
-            of_ids = []
-            for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_py(), np.uint32)
-                names = map(decimal.__getitem__, ids.tolist()) if not len(ids) or ids.max() < 1 << 16 else map(str, ids.tolist())
-                of_ids.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            of_text = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in batch.column("decoded")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_tokens"), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, f"doc_id {encoded.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+DIGESTS = Then(_digests, "doc_id {id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from strandmill.llm.libtokens import library_encoder
-from strandmill.llm.shared import text_passes
+from strandmill.llm.shared import Then, mapped, text_passes
 
 
 class OpenWindows:
@@ -89,7 +89,7 @@ def refilled(lengths: list[int], window: int) -> list[tuple[int, int, int, int]]
     return out
 
 
-def pack_documents(docs: DataFrame, file: str, *, window: int = 2048, end: int | None = 1, pattern: str | None = None, round_tokens: int = 8_000_000, full: float = 31 / 32) -> DataFrame:
+def pack_documents(docs: DataFrame, file: str, *, window: int = 2048, end: int | None = 1, pattern: str | None = None, round_tokens: int = 8_000_000, full: float = 31 / 32, then: Then | None = None) -> DataFrame:
     """Every piece of every document: (doc_id, start, length, ids binary, doc_tokens, sequence_id, offset).
 
     A document is its text's ids by the tokenizer ``file``, then ``end``; null text is empty. Its full windows come
@@ -97,7 +97,8 @@ def pack_documents(docs: DataFrame, file: str, *, window: int = 2048, end: int |
     little-endian, 2 bytes each if the vocabulary allows, else 4. Sequences are numbered within each task from
     task << 40; a sequence's pieces fill it from offset 0 without gaps, and a sequence holds ``full`` of a window at
     least or a power of two of ids. Repeated rows are packed each; without ``end``, a document without ids has no
-    piece. Null ids of documents stay.
+    piece. Null ids of documents stay. ``then``: what is made of each batch of these before it leaves its task, such
+    as ``DIGESTS``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,18 +156,16 @@ def pack_documents(docs: DataFrame, file: str, *, window: int = 2048, end: int |
             yield from flush(True)
 
     given = docs.select("doc_id", "text")
-    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return mapped(given, run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint", then)
 
 
-def piece_digests(pieces: DataFrame) -> DataFrame:
+def _digests(b: pa.RecordBatch) -> pa.RecordBatch:
     """The pieces with the CRC-32 of their ids as little-endian uint32 in place of the ids."""
+    crcs = [zlib.crc32(widened(x.as_py(), n.as_py())) for x, n in zip(b.column("ids"), b.column("length"))]
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length")), pa.array(crcs, pa.int64()), *(b.column(c) for c in ("doc_tokens", "sequence_id", "offset"))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crcs = [zlib.crc32(widened(x.as_py(), n.as_py())) for x, n in zip(b.column("ids"), b.column("length"))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length")), pa.array(crcs, pa.int64()), *(b.column(c) for c in ("doc_tokens", "sequence_id", "offset"))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return pieces.mapInArrow(run, f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+DIGESTS = Then(_digests, "doc_id {doc_id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def widened(ids: bytes, n: int) -> bytes:

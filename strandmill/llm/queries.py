@@ -27,7 +27,7 @@ def _pattern() -> str:
 
 
 def op1_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), _pattern()))
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), _pattern(), then=bpe.DIGESTS)
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), window=2048, end=1))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), window=2048, end=1, then=packing.DIGESTS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

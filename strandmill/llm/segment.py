@@ -17,17 +17,45 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+EVERY = (range(0xD800), range(0xE000, 0x110000))  # the code points that text can hold
+
+
 @cache
 def classes() -> np.ndarray:
-    """The class of every code point."""
-    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    """The class of every code point by the tables of the tokenizers' own library, whose Unicode may be older than others'."""
+    import tiktoken
+
+    every = "".join(map(chr, (c for r in EVERY for c in r)))
     out = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        only = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        out[codes(bytes(only.encode_ordinary(every)).decode())] = kind  # what the pattern does not match is left out
     return out
 
 
+@cache
+def unlike() -> np.ndarray:
+    """Whether a code point has another class in the regular expressions used here."""
+    every, own = "".join(map(chr, (c for r in EVERY for c in r))), np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+        own[codes("".join(regex.findall(pattern, every)))] = kind
+    return own != classes()
+
+
+#: What stands for a code point of each class where the classes differ: no letter of a contraction. Fixed values.
+STAND_IN = np.array([0xA7, 0xAA, 0x30, 0x2003], np.uint32)
+
+
+def _matches(pattern: regex.Pattern, text: str) -> list[str]:
+    """The matches of a pattern by ``classes``."""
+    points = codes(text)
+    if points.itemsize == 1 or not (odd := unlike()[points]).any():
+        return pattern.findall(text)
+    like = points.copy()
+    like[odd] = STAND_IN[classes()[points[odd]]]
+    return [text[m.start() : m.end()] for m in pattern.finditer(like.tobytes().decode("utf-32-le"))]
+
+
 def codes(text: str) -> np.ndarray:
     """The text's code points, in the narrowest form that holds them."""
     try:
@@ -56,7 +84,7 @@ class SpacedSplitter:
         if not text:
             return []
         if "'" in text or "\0" in text:
-            return self.pattern.findall(text)
+            return _matches(self.pattern, text)
         points = codes(text)
         kind = classes()[points]
         begins = kind[1:] != kind[:-1]
@@ -77,7 +105,7 @@ class WordSplitter:
         if not text:
             return []
         if "'" in text:
-            return self.pattern.findall(text)
+            return _matches(self.pattern, text)
         points = codes(text)
         kind = classes()[points]
         gap = kind == SPACE

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -55,6 +56,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@dataclass(frozen=True)
+class Then:
+    """What a task makes of each batch that an operator gives, so that the batch itself need not leave the task.
+
+    ``schema`` may name the type of the operator's first column by that column's name in braces.
+    """
+
+    of: Callable[[pa.RecordBatch], pa.RecordBatch]
+    schema: str
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, then: Then | None) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, or what ``then`` makes of it in the same worker."""
+    if then is None:
+        return df.mapInArrow(run, schema)
+    name, kind = schema.split(",")[0].split()
+    return df.mapInArrow(lambda batches: map(then.of, run(batches)), then.schema.format(**{name: kind}))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.libtokens import library_encoder
 from strandmill.llm.packing import widened
-from strandmill.llm.shared import text_passes
+from strandmill.llm.shared import Then, mapped, text_passes
 
 HEAD, CODE = struct.Struct("<4sB3xQI4xq"), struct.Struct("<III4x")
 SAMPLE = 256
@@ -181,8 +181,11 @@ def write_token_file(docs: DataFrame, path: str, file: str, pattern: str | None,
     sizes.select("block", (F.col("first") + F.col("within")).alias("before")).write.parquet(f"{path}/manifest")
 
 
-def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of a token file, from the file alone: (block, doc_id, offset, n_tokens, ids binary, little-endian uint32)."""
+def read_token_file(spark: SparkSession, path: str, then: Then | None = None) -> DataFrame:
+    """Every document of a token file, from the file alone: (block, doc_id, offset, n_tokens, ids binary, little-endian uint32).
+
+    ``then``: what is made of each batch of these before it leaves its task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -196,15 +199,15 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                     a = b
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["block", "doc_id", "offset", "n_tokens", "ids"])
 
-    return spark.read.parquet(f"{path}/blocks").select("block", "data").mapInArrow(run, "block bigint, doc_id bigint, offset bigint, n_tokens bigint, ids binary")
+    return mapped(spark.read.parquet(f"{path}/blocks").select("block", "data"), run, "block bigint, doc_id bigint, offset bigint, n_tokens bigint, ids binary", then)
 
 
-def located(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (the ids of all documents before it), n_tokens and the CRC-32 of the ids, from a token file."""
+def _crcs(b: pa.RecordBatch) -> pa.RecordBatch:
+    crcs = pa.array([zlib.crc32(x.as_buffer()) for x in b.column("ids")], pa.int64())
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("block", "doc_id", "offset", "n_tokens")), crcs], names=["block", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("block", "doc_id", "offset", "n_tokens")), pa.array([zlib.crc32(x.as_py()) for x in b.column("ids")], pa.int64())], names=["block", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
-    found = read_token_file(spark, path).mapInArrow(run, "block bigint, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint")
+def located(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (the ids of all documents before it), n_tokens and the CRC-32 of the ids, from a token file."""
+    found = read_token_file(spark, path, Then(_crcs, "block bigint, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint"))
     return found.join(spark.read.parquet(f"{path}/manifest"), "block").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
