@@ -38,7 +38,7 @@ class LibraryEncoder:
     loaded. ``width``: bytes of an id in ``packed``, 2 if every id fits, else 4.
     """
 
-    def __init__(self, file: str, pattern: str | None, end: int | None = None, kept_words: int = 240_000):
+    def __init__(self, file: str, pattern: str | None, end: int | None = None, kept_words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

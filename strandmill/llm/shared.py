@@ -107,23 +107,14 @@ class WordMemo:
         """For the words of each text what they give; ``many`` is asked once for all that is not kept."""
         if len(self.young) > self.half:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        found = [list(map(young.get, words)) for words in texts]
-        gaps = [[i for i, v in enumerate(vs) if v is None] if None in vs else () for vs in found]
-        lacking = set()
-        for words, at in zip(texts, gaps):
-            for i in at:
-                w = words[i]
-                if w not in young:
-                    v = old.get(w)
-                    if v is None:
-                        lacking.add(w)
-                    else:
-                        young[w] = v
+        young, old, every, lacking = self.young, self.old, set(), []
+        every.update(*texts)
+        for w in every:
+            if w not in young:
+                if (v := old.get(w)) is None:
+                    lacking.append(w)
+                else:
+                    young[w] = v
         if lacking:
-            asked = list(lacking)
-            young.update(zip(asked, self.many(asked)))
-        for words, vs, at in zip(texts, found, gaps):
-            for i in at:
-                vs[i] = young[words[i]]
-        return found
+            young.update(zip(lacking, self.many(lacking)))
+        return [list(map(young.__getitem__, words)) for words in texts]
