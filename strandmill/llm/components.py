@@ -14,8 +14,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round takes the least label around a node and then that label's own label, so labels travel over twice the
     distance in each round. Every round is a written table: lost executors cost at most one round.
     """
-    both = edges.select("a", "b").where("a <> b").union(edges.selectExpr("b AS a", "a AS b").where("a <> b")).distinct()
-    both = written(both, "edges")
+    # Written before it is used twice: edges that are worked out anew may be others that join the same nodes, and then
+    # the two directions would not match.
+    edges = written(edges.select("a", "b").where("a <> b"), "pairs")
+    both = written(edges.union(edges.selectExpr("b AS a", "a AS b")).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("node"), F.least("a", "l").alias("component")), "labels")
     for _ in range(max_rounds):
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("least"))

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,20 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_edges_that_change(spark):
+    """Edges that come out otherwise each time they are worked out, as spanning links in the order of a shuffle do."""
+
+    def some(batches):
+        rng = np.random.default_rng()
+        for b in batches:
+            at = rng.permutation(40)
+            yield pa.RecordBatch.from_arrays([pa.array(at[:-1]), pa.array(at[1:])], names=["a", "b"])
+
+    for _ in range(3):
+        edges = spark.range(0, 1, 1, 1).mapInArrow(some, "a long, b long")
+        assert {r["component"] for r in connected_components(edges).collect()} == {0} and connected_components(edges).count() == 40
+
+
 PRIVATE = [
     "Mail a.Bc_9@mail6.example.com or A.BC_9@Mail6.example.com, call +1 (255) 555-8013 or +12555558013", "10.1.2.3 and 108.51.216.133, card 4111 1111 1111 1111 or 4111111111111111",
     'token = "9999A9ECF9C9B99FE9999999B9B99BC999E9999B", DE89 3704 0044 0532 0130 00, ssn 123-45-6789', "Dr. Anna Schmidt met John Garvin on 2024-01-02", "nothing here", None, "",
