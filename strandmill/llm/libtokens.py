@@ -18,6 +18,7 @@ import regex
 
 from strandmill.llm.segment import SpacedSplitter, WordSplitter
 from strandmill.llm.shared import WordMemo
+from strandmill.llm.wordids import WordIds
 
 #: Beyond these letters the library's own normaliser is asked.
 PLAIN = regex.compile(r"[\u0000-ɏ]*")
@@ -49,6 +50,8 @@ class LibraryEncoder:
         size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), (end or 0) + 1)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.memo = WordMemo(kept_words, self._many)
+        self.shown = np.array([byte_alphabet()[b] for b in range(256)], "<u4")
+        self.flat = WordIds(self.split, self._lists, self.kind, kept_words) if pattern and self.normal is None else None
         self.end = b"" if end is None else np.array([end], self.kind).tobytes()
         self.added = self._added(file)
         self.cut = regex.compile(f"({'|'.join(map(regex.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
@@ -67,6 +70,11 @@ class LibraryEncoder:
         tokenize, shown, kind = self.model.tokenize, byte_alphabet(), self.kind.char
         return [array(kind, [t.id for t in tokenize(w.encode().decode("latin-1").translate(shown))]).tobytes() for w in words]
 
+    def _lists(self, data: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+        """The same of words given by their bytes, one after another, and their ends."""
+        tokenize, shown, ends = self.model.tokenize, self.shown[data].tobytes().decode("utf-32-le"), ends.tolist()
+        return [[t.id for t in tokenize(shown[a:b])] for a, b in zip([0, *ends], ends)]
+
     def _words(self, text: str | None) -> list[str]:
         text = text or ""
         if self.normal is not None:
@@ -75,9 +83,10 @@ class LibraryEncoder:
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian; null is the empty text."""
-        if self.cut is None:
-            return [b"".join(ids) + self.end for ids in self.memo.values([self._words(t) for t in texts])]
-        parts = [self.cut.split(t or "") for t in texts]  # every second part is an added token
+        parts = [self.cut.split(t or "") if self.cut else [t or ""] for t in texts]  # every second part is an added token
+        if self.flat:
+            found = iter(self.flat([p for ps in parts for p in ps[::2]]))
+            return [b"".join(self.added[p] if i % 2 else next(found) for i, p in enumerate(ps)) + self.end for ps in parts]
         ids = iter(self.memo.values([self._words(p) for ps in parts for p in ps[::2]]))
         return [b"".join(self.added[p] if i % 2 else b"".join(next(ids)) for i, p in enumerate(ps)) + self.end for ps in parts]
 

@@ -94,6 +94,26 @@ class SpacedSplitter:
         begins[after[after > 0] - 1] = True
         return _parted(points, np.flatnonzero(begins) + 1, "\0")
 
+    def begins(self, texts: list[str], points: np.ndarray) -> np.ndarray:
+        """Whether a match begins at each of ``points``, the code points of the texts one after another."""
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        first = np.zeros(len(points) + 1, bool)
+        first[0] = True
+        first[ends] = True
+        kind, first = classes()[points], first[:-1]
+        begins = first.copy()
+        begins[1:] |= kind[1:] != kind[:-1]
+        gap = kind == SPACE
+        after = np.flatnonzero(gap[:-1] & ~gap[1:] & ~first[1:])  # the last white space before a word of the same text
+        begins[after[points[after] == 32] + 1] = False
+        begins[after] = True
+        for text, end in zip(texts, ends.tolist()):
+            if "'" in text:
+                lengths = [len(m) for m in _matches(self.pattern, text)]
+                begins[end - len(text) : end] = False
+                begins[end - len(text) + np.cumsum([0, *lengths[:-1]])] = True
+        return begins
+
 
 class WordSplitter:
     """The words of the lower-casing pattern: letters, single digits, runs of signs; white space gives empty words."""

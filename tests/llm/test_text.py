@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,12 +13,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandmill.llm import bpe, packing, tokenfile
+from strandmill.llm import bpe, packing, tokenfile, wordids
 from strandmill.llm.flat import FlatMap
 from strandmill.llm.libtokens import LibraryEncoder
 from strandmill.llm.queries import queries
 from strandmill.llm.segment import SpacedSplitter, unlike
-from strandmill.llm.shared import text_passes
+from strandmill.llm.shared import WordMemo, text_passes
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 TEXTS = ["", None, " ", "it's 'the  \n\n x's", "日本語 🙂    a\t\tb  ", "aaaaaaaaaaaa", "x" * 3000, "<|endoftext|> 12345 \x1c \x00 é", "Thonble reing ofthe. " * 50, "Ελλάς ΑΣ"]
@@ -261,6 +262,54 @@ def test_latin_words(file, pattern):
     assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.packed(texts)] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
+@pytest.fixture(scope="module")
+def both_encoders():
+    """The library's, and the one here with few words kept."""
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json")), LibraryEncoder(P.path("byte_bpe_50k.json"), P.PATTERN, kept_words=12)
+
+
+@given(st.lists(st.text(st.sampled_from("a b's\0\n\u2003é日🙂1!\u0301R"), max_size=40), min_size=1, max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_words_of_many_texts_at_once(both_encoders, texts):
+    """Texts side by side do not touch each other, with words of 15 and 16 bytes, NULs at their ends, and few words kept."""
+    library, encoder = both_encoders
+    texts = [*texts, "", "a" * 15, "a" * 16, "\0", "\0\0", "'", "s", " ", " x", "日本語日本", "日本語日本a", *reversed(texts)]
+    for _ in range(2):
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.packed(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_kept_words_under_one_slot():
+    """Words that all want the same slot, and a table that grows with them."""
+    low, high = np.arange(3000, dtype=np.uint64), np.full(3000, 8 << 56, np.uint64)
+    kept = wordids.KeptWords(np.dtype("<u2"))
+    kept._home = lambda low, high: np.full(len(low), len(kept.low) - 2)
+    for i in range(0, 3000, 1000):
+        kept.put(low[i : i + 1000], high[i : i + 1000], np.full(1000, 2), np.repeat(np.arange(i, i + 1000), 2))
+    assert kept.get(low, high).tolist() == list(range(3000)) and kept.get(low, high + np.uint64(1)).tolist() == [-1] * 3000
+    counts, ids = kept.spelled(kept.get(low[::-1], high))
+    assert counts.tolist() == [2] * 3000 and ids.tolist() == np.repeat(np.arange(3000)[::-1], 2).tolist()
+
+
+def test_kept_words_cost_no_objects():
+    """Words that are kept are looked up in less than half the time that it takes to make strings of them and look these up in a dictionary."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abdeiklmnorstué") for _ in range(rng.randrange(2, 12))) for _ in range(60_000)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(300)]
+    encoder = LibraryEncoder(P.path("byte_bpe_50k.json"), P.PATTERN, 2)
+    memo = WordMemo(400_000, lambda words: [w.encode() for w in words])
+
+    def seconds(run):
+        begin = time.process_time()
+        run()
+        return time.process_time() - begin
+
+    ways = [lambda: encoder.packed(texts), lambda: memo.values([encoder.split(t) for t in texts])]
+    for way in ways:
+        way()  # now all words are kept
+    flat, plain = (min(seconds(way) for _ in range(5)) for way in ways)
+    assert flat < 0.5 * plain, (flat, plain)
+
+
 @pytest.mark.parametrize(("query", "file", "end"), [("op3_token_file", "byte_bpe_50k.json", 2), ("op10_best_fit_packing", "word_bpe_49k.json", 1)])
 def test_queries_take_added_tokens(spark, tmp_path, query, file, end):
     rows(spark, ADDED).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
