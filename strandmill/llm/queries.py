@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import bpe, langid, neardup, packing, pii, tokenfile, toxicity, urltree, vectors
+from strandmill.llm import bpe, langid, neardup, packing, pii, repair, tokenfile, toxicity, triejoin, urltree, vectors, whitening
 from strandmill.llm.shared import shared_folder, table
 
 
@@ -92,8 +92,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), window=2048, end=1, then=packing.DIGESTS)
 
 
+def op11_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null vectors, empty ones and those with null or non-finite entries give no row; a deviation beyond 64 bits is the greatest 64-bit number."""
+    found = whitening.whitened(_embeddings(spark, sf_dir), scale=256, components=4)
+    return found.select(F.col("id").alias("vec_id"), "component", "n", F.least("deviation", F.lit(whitening.MOST)).cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no shingles and stay alone; rows that share a doc_id are rows of their own."""
+    return triejoin.jaccard_join(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null conv_id is a conversation of its own; rows of the same turn go by role and text."""
+    return repair.repair(repair.tampered(table(spark, sf_dir, "conversations")), gone=F.col("gone"), digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_transducer, op2_prefix_forest, op3_token_file, op4_threshold_top_k, op5_url_templates, op6_surrogates, op7_toxicity, op8_circulant_minhash, op9_language, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_bpe_transducer, op2_prefix_forest, op3_token_file, op4_threshold_top_k, op5_url_templates, op6_surrogates, op7_toxicity, op8_circulant_minhash, op9_language, op10_best_fit_packing, op11_residue_whitening, op12_prefix_tree_join, op13_conversation_repair)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
