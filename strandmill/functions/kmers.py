@@ -7,7 +7,10 @@ k-mer is only XORed with the seed, so k-mers that differ in the lowest bits of t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 MULTIPLY = np.uint64(0xC6A4A7935BD1E995)  # MurmurHash64A's constants are fixed values
 SHIFT = np.uint64(47)
@@ -38,9 +41,9 @@ def _words(data: np.ndarray, n: int, k: int, big: bool) -> list[np.ndarray]:
     return out
 
 
-def windows(sequence: bytes, k: int, canonical: bool) -> list[np.ndarray]:
+def windows(sequence: bytes | np.ndarray, k: int, canonical: bool) -> list[np.ndarray]:
     """The k-mers in order as little-endian words; ``canonical``: each the smaller of itself and its complement."""
-    data = np.frombuffer(sequence, np.uint8)
+    data = sequence if isinstance(sequence, np.ndarray) else np.frombuffer(sequence, np.uint8)
     n = len(data) - k + 1
     if n <= 0:
         return [np.zeros(0, np.uint64)] * -(-k // 8)
@@ -75,9 +78,45 @@ def murmur64a(words: list[np.ndarray], length: int, seeds: int) -> np.ndarray:
     return out
 
 
+def _below(hashes: np.ndarray, m: int) -> np.ndarray:
+    return (hashes & np.uint64(m - 1) if m & (m - 1) == 0 else hashes % np.uint64(m)).astype(np.int64)
+
+
 def positions(sequence: bytes, k: int, h: int, m: int, canonical: bool) -> np.ndarray:
     """(h, k-mers) of Bloom-filter positions below m, as int64, in the order of the k-mers."""
-    return (murmur64a(windows(sequence, k, canonical), k, h) % np.uint64(m)).astype(np.int64)
+    return _below(murmur64a(windows(sequence, k, canonical), k, h), m)
+
+
+def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings, one after another as Arrow holds them, and where each begins (and the last ends)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    begins = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[begins[0] : begins[-1]], begins - begins[0]
+
+
+def batch_positions(data: np.ndarray, begins: np.ndarray, k: int, h: int, m: int, canonical: bool, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, record) of the k-mers of many records that stand one after another, ``piece`` bytes at a time.
+
+    All windows of a piece are hashed at once, whatever records they lie in; those across two records are left out.
+    ``positions`` is (h, k-mers) as of ``positions``, ``record`` the number of each k-mer's record.
+    """
+    lengths = np.diff(begins)
+    for at in range(0, max(len(data) - k + 1, 0), piece):
+        stop = min(at + piece, len(data) - k + 1)
+        first, last = int(np.searchsorted(begins, at, "right")) - 1, int(np.searchsorted(begins, stop, "left"))
+        low, high = np.maximum(begins[first:last], at), np.minimum(begins[first:last] + lengths[first:last] - k + 1, stop)
+        n = np.maximum(high - low, 0)
+        if not n.any():
+            continue
+        hashes = murmur64a(windows(data[at : stop + k - 1], k, canonical), k, h)
+        record = np.repeat(np.arange(first, last), n)
+        if len(record) < hashes.shape[1]:
+            inside = np.repeat(low - at - (np.cumsum(n) - n), n) + np.arange(len(record))
+            hashes = hashes[:, inside]
+        yield _below(hashes, m), record
 
 
 def canonical_kmer(kmer: bytes) -> bytes:

@@ -1,47 +1,51 @@
-"""Building, appending to, opening and summing up a bit-slice index.
+"""Building, appending to, merging, opening and summing up a bit-slice index.
 
 An index is a folder of Parquet tables: ``samples``, ``postings`` and ``meta``, one row per batch. A batch is built in
-one pass over its records: each task hashes them, drops positions that a sample has already given, and packs what is
-left into arrays, one per slab, an even range of bit positions. Hashes are uniform, so slabs need no sampling to be
-even; they are sized by the bytes to be hashed. The arrays go to the task of their bucket, a run of slabs, and are
-merged there slab by slab. What is stored are rows of a narrow range of positions each (``fine``): the positions that
-any sample has, where each one's samples end, and the samples. Buckets are folders, so a search reads only those
-that its positions lie in, and of these only the row groups with its ranges, if they are few.
+one pass over its records: each task hashes whole Arrow batches of them, drops positions that a sample has already
+given, and packs what is left into arrays, one per slab, an even range of bit positions. Hashes are uniform, so slabs
+need no sampling to be even; they are sized by the bytes to be hashed. The arrays go to the task of their bucket, a
+run of slabs, and are merged there slab by slab. What is stored are rows of a narrow range of positions each
+(``fine``): the positions that any sample has, how many samples each has, and their slices in a compressed form.
+Buckets are folders, so a search reads only those that its positions lie in, and of these only the row groups with its
+ranges, if they are few.
 
 An update writes a new batch and rewrites nothing. A batch claims its number first and counts once its meta row is
-there, which is written last.
+there, which is written last. Adjacent batches are merged into one in the same way: its meta row names those that it
+replaces, and makes it count in their place at one stroke; searches that began before still find the old ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.functions.columns import bucket_width
-from strandmill.functions.kmers import positions
+from strandmill.functions.kmers import batch_positions, joined
+from strandmill.operators.slices import Slices, encode, narrow, widened
 from strandmill.plans.config import Config
-from strandmill.storage import claim, exists, located, shared_path
+from strandmill.storage import claim, exists, located, remove, shared_path
 
-#: Samples of one row, a bound for arrays of positions that every sample has.
-PART_BITS = 22
 SLAB_PAIRS, FINE, MOST_BUCKETS = 1 << 21, 512, 4096
 FLUSH_PAIRS = 1 << 22
-#: Bytes of a record that are hashed at once; pieces overlap by k - 1.
-PIECE = 1 << 20
+#: Bytes that are hashed at once; what is worked on then stays in a processor's cache.
+PIECE = 1 << 16
 
 PACKED = "slab bigint, part int, offsets binary, samples binary"
-STORED = "bucket int, fine bigint, part int, offsets binary, ends binary, samples binary"
-META = "batch_id int, k int, h int, m bigint, sequence_type string, slabs bigint, n_samples bigint, created_on string, last_updated_on string, bucket_width bigint, token string"
+STORED = "bucket int, fine bigint, part int, domain bigint, gaps binary, counts binary, forms binary, slices binary"
+META = "batch_id int, k int, h int, m bigint, sequence_type string, slabs bigint, n_samples bigint, n_bytes bigint, created_on string, last_updated_on string, level int, replaces array<int>, token string"
 
 
 class Grid:
     """How m positions are cut: ``slabs`` even ranges of FINE fine ones each, and ``buckets`` runs of slabs."""
 
+    #: Samples of one row, a bound for arrays of positions that every sample has, as a power of two.
+    part_bits = 22
+
     def __init__(self, m: int, slabs: int):
         self.m, self.slabs, self.buckets = m, slabs, min(slabs, MOST_BUCKETS)
         self.width = -(-m // slabs)
@@ -63,14 +67,8 @@ class Grid:
         return slab * self.width
 
 
-def pieces(sequence: bytes, k: int) -> Iterator[bytes]:
-    """The sequence in pieces with the same k-mers."""
-    for i in range(0, max(len(sequence) - k + 1, 0), PIECE):
-        yield sequence[i : i + PIECE + k - 1]
-
-
 def sample_bits(records: DataFrame, k: int, h: int, m: int, canonical: bool, wanted: np.ndarray | None = None, key: str = "sample_idx") -> DataFrame:
-    """(key, bit): the Bloom-filter positions of each record of (key, seq), distinct in each piece of a record.
+    """(key, bit): the Bloom-filter positions of each record of (key, seq), distinct in each piece of a batch.
 
     ``wanted``: sorted positions; others are left out where they arise. Records shorter than k bytes give nothing.
     """
@@ -79,43 +77,26 @@ def sample_bits(records: DataFrame, k: int, h: int, m: int, canonical: bool, wan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared is not None:
-            hashed = np.zeros(int(places) + 1, bool)
-            hashed[shared.value & places] = True
+            own, hashed = shared.value, np.zeros(int(places) + 1, bool)
+            hashed[own & places] = True
         for batch in batches:
-            names, found, held = [], [], 0
-            for name, seq in zip(batch.column(0), batch.column(1)):
-                for piece in pieces(seq.as_py().encode(), k):
-                    bits = positions(piece, k, h, m, canonical).ravel()
-                    if shared is not None:
-                        own = shared.value
-                        bits = bits[hashed[bits & places]]  # most go here, before they are sorted or looked up
-                        at = np.searchsorted(own, bits)
-                        bits = bits[own[np.minimum(at, len(own) - 1)] == bits] if len(own) else bits[:0]
-                    bits = np.unique(bits)
-                    names.append((name.as_py(), len(bits)))
-                    found.append(bits)
-                    held += len(bits)
-                    if held > 1 << 20:
-                        yield _rows(names, found, batch.schema.field(0).type)
-                        names, found, held = [], [], 0
-            if names:
-                yield _rows(names, found, batch.schema.field(0).type)
+            names, data, begins = batch.column(0), *joined(batch.column(1))
+            for at, record in batch_positions(data, begins, k, h, m, canonical, PIECE):
+                bits, record = at.ravel(), np.tile(record, h)
+                if shared is not None:
+                    some = np.flatnonzero(hashed[bits & places])  # most go here, before they are sorted or looked up
+                    some = some[own[np.minimum(np.searchsorted(own, bits[some]), len(own) - 1)] == bits[some]] if len(own) else some[:0]
+                    bits, record = bits[some], record[some]
+                sort = np.lexsort((bits, record))
+                bits, record = bits[sort], record[sort]
+                new = np.flatnonzero(np.append(True, (bits[1:] != bits[:-1]) | (record[1:] != record[:-1]))[: len(bits)])
+                if len(new):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(record[new])), pa.array(bits[new])], names=["key", "bit"])
 
     given = records.select(key, "seq").where(F.col("seq").isNotNull() & (F.octet_length("seq") >= k))
     return given.mapInArrow(run, f"{key} {given.schema[key].dataType.simpleString()}, bit bigint")
 
 
-def _rows(names: list[tuple], found: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
-    keys = pa.array([n for n, _ in names], kind).take(pa.array(np.repeat(np.arange(len(names)), [k for _, k in names])))
-    return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(found))], names=["key", "bit"])
-
-
-def bit_slices(bits: DataFrame) -> DataFrame:
-    """(bit, part, sample_idxs): the samples of each bit, sorted, 65,536 sample numbers to a part."""
-    part = F.floor(F.col("sample_idx") / 65536).cast("bigint").alias("part")
-    return bits.groupBy("bit", part).agg(F.array_sort(F.collect_set("sample_idx")).alias("sample_idxs"))
-
-
 def _keys(records: DataFrame) -> list[str]:
     """What makes a sample: its id, or its number and id where records have a ``sample_no``."""
     return ["sample_id", "sample_no"] if "sample_no" in records.columns else ["sample_id"]
@@ -137,45 +118,59 @@ def number_samples(records: DataFrame, k: int, path: str | None = None) -> DataF
     return placed.join(F.broadcast(ranges), "range").select((F.col("before") + F.col("place")).alias("sample_idx"), *keys, "n_bytes")
 
 
+class Packer:
+    """Positions of samples, gathered until there are FLUSH_PAIRS of them and then packed by slab and part."""
+
+    def __init__(self, grid: Grid):
+        self.grid, self.held, self.total = grid, [], 0
+
+    def add(self, bits: np.ndarray, samples: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if self.total and self.total + len(bits) > FLUSH_PAIRS:
+            yield self.flush()
+        self.held.append((bits, samples))
+        self.total += len(bits)
+
+    def flush(self) -> pa.RecordBatch:
+        """What is held, each pair once."""
+        grid = self.grid
+        bits, sample = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.total = [], 0
+        names, local = np.unique(sample, return_inverse=True)
+        if (shift := len(names).bit_length()) + grid.m.bit_length() < 64:
+            pairs = bits << shift | local
+            pairs.sort()
+            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+            bits, sample = pairs >> shift, names[pairs & ((1 << shift) - 1)]
+        else:
+            sort = np.lexsort((sample, bits))
+            bits, sample = bits[sort], sample[sort]
+            new = np.append(True, (bits[1:] != bits[:-1]) | (sample[1:] != sample[:-1]))
+            bits, sample = bits[new], sample[new]
+        slab, part = bits // grid.width, sample >> grid.part_bits
+        if part.any():
+            sort = np.lexsort((part, slab))
+            bits, sample, slab, part = bits[sort], sample[sort], slab[sort], part[sort]
+        begin = np.flatnonzero(np.append(True, (slab[1:] != slab[:-1]) | (part[1:] != part[:-1])))
+        cuts = np.append(begin, len(bits))
+        columns = [pa.array(slab[begin]), pa.array(part[begin].astype(np.int32)), binaries((bits - slab * grid.width).astype(grid.offset), cuts), binaries((sample & ((1 << grid.part_bits) - 1)).astype("<u4"), cuts)]
+        return pa.RecordBatch.from_arrays(columns, names=["slab", "part", "offsets", "samples"])
+
+
 def packed_bits(records: DataFrame, config: Config, grid: Grid) -> DataFrame:
-    """(slab, part, offsets, samples): the positions of (sample_idx, seq), packed by slab and part.
+    """(slab, part, offsets, samples): the positions of (sample_idx, seq), packed by slab and part of the samples.
 
     Positions that a sample gives again are left out within a flush of FLUSH_PAIRS; the merge drops the others.
     """
     k, h, m, canonical = config.k, config.h, config.m, config.canonical
-    shift = 63 - m.bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[int, int] = {}
-        held, total = [], 0
-
-        def flush() -> pa.RecordBatch:
-            pairs = np.concatenate(held)
-            pairs.sort()
-            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
-            bits, sample = pairs >> shift, np.fromiter(names, np.int64, len(names))[pairs & ((1 << shift) - 1)]
-            if sample.max() >> 32:
-                raise OverflowError("a batch holds 2 ** 32 samples at most")
-            slab, part = bits // grid.width, sample >> PART_BITS
-            if part.any():
-                sort = np.lexsort((part, slab))
-                bits, sample, slab, part = bits[sort], sample[sort], slab[sort], part[sort]
-            begin = np.flatnonzero(np.append(True, (slab[1:] != slab[:-1]) | (part[1:] != part[:-1])))
-            cuts = np.append(begin, len(bits))
-            columns = [pa.array(slab[begin]), pa.array(part[begin].astype(np.int32)), binaries((bits - slab * grid.width).astype(grid.offset), cuts), binaries(sample.astype("<u4"), cuts)]
-            return pa.RecordBatch.from_arrays(columns, names=["slab", "part", "offsets", "samples"])
-
+        packer = Packer(grid)
         for batch in batches:
-            for sample, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for piece in pieces(seq.as_py().encode(), k):
-                    if total and (total + h * len(piece) > FLUSH_PAIRS or (sample not in names and len(names) >> shift)):
-                        yield flush()
-                        names, held, total = {}, [], 0
-                    bits = positions(piece, k, h, m, canonical).ravel()
-                    held.append(bits << shift | names.setdefault(sample, len(names)))
-                    total += len(bits)
-        if total:
-            yield flush()
+            names, data, begins = batch.column(0).to_numpy(), *joined(batch.column(1))
+            for bits, record in batch_positions(data, begins, k, h, m, canonical, PIECE):
+                yield from packer.add(bits.ravel(), np.tile(names[record], h))
+        if packer.total:
+            yield packer.flush()
 
     given = records.select("sample_idx", "seq").where(F.octet_length("seq") >= k)
     return given.mapInArrow(run, PACKED)
@@ -189,7 +184,7 @@ def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def merged(packed: DataFrame, grid: Grid) -> DataFrame:
+def merged(packed: DataFrame, grid: Grid, n_samples: int) -> DataFrame:
     """The rows that are stored, of packed arrays: one shuffle of these, no sampling, each slab merged by itself."""
 
     def finish(slab: int, part: int, offsets: list[bytes], samples: list[bytes]) -> pa.RecordBatch:
@@ -198,21 +193,23 @@ def merged(packed: DataFrame, grid: Grid) -> DataFrame:
             pairs = bit.astype(np.uint64) << np.uint64(32) | sample
             pairs.sort()
             pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
-            bit, sample = (pairs >> np.uint64(32)).astype(grid.offset), pairs.astype("<u4")
+            bit, sample = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         else:
             sort = np.lexsort((sample, bit))
-            bit, sample = bit[sort], sample[sort]
+            bit, sample = bit[sort].astype(np.int64), sample[sort].astype(np.int64)
             new = np.append(True, (bit[1:] != bit[:-1]) | (sample[1:] != sample[:-1]))
             bit, sample = bit[new], sample[new]
-        begin = np.flatnonzero(np.append(True, bit[1:] != bit[:-1]))  # of each position's samples
-        own = bit[begin]
-        fine = own.astype(np.int64) // grid.fine
-        row = np.flatnonzero(np.append(True, fine[1:] != fine[:-1]))  # of each row's positions
-        cuts, pair_cuts = np.append(row, len(own)), np.append(begin[row], len(bit))
-        ends = np.append(begin[1:], len(bit)) - np.repeat(pair_cuts[:-1], np.diff(cuts))
-        n = len(row)
-        columns = [pa.array(np.full(n, grid.bucket(slab), np.int32)), pa.array(slab * FINE + fine[row]), pa.array(np.full(n, part, np.int32)), binaries(own, cuts), binaries(ends.astype("<u4"), cuts), binaries(sample, pair_cuts)]
-        return pa.RecordBatch.from_arrays(columns, names=["bucket", "fine", "part", "offsets", "ends", "samples"])
+        domain = min(n_samples - (part << grid.part_bits), 1 << grid.part_bits)
+        cuts = np.append(np.flatnonzero(np.append(True, bit[1:] != bit[:-1])), len(bit))  # of each position's samples
+        forms, lengths, data = encode(sample, cuts, domain)
+        own, counts = bit[cuts[:-1]], np.diff(cuts)
+        fine = own // grid.fine
+        rows = np.append(np.flatnonzero(np.append(True, fine[1:] != fine[:-1])), len(own))  # of each row's positions
+        places = np.append(0, np.cumsum(lengths))[rows]
+        n, begins = len(rows) - 1, fine[rows[:-1]]
+        gaps = [narrow(np.diff(own[a:b], prepend=f * grid.fine - 1) - 1) for a, b, f in zip(rows, rows[1:], begins)]
+        columns = [pa.array(np.full(n, grid.bucket(slab), np.int32)), pa.array(slab * FINE + begins), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, domain)), pa.array(gaps, pa.binary()), pa.array([narrow(counts[a:b] - 1) for a, b in zip(rows, rows[1:])], pa.binary()), binaries(forms.astype(np.uint8), rows), binaries(data, places)]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "fine", "part", "domain", "gaps", "counts", "forms", "slices"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, offsets, samples = None, [], []
@@ -232,6 +229,38 @@ def merged(packed: DataFrame, grid: Grid) -> DataFrame:
     return dealt.mapInArrow(run, STORED).sortWithinPartitions("bucket", "fine", "part")
 
 
+def row_positions(grid: Grid, fine: int, gaps: bytes | memoryview) -> np.ndarray:
+    """The positions of a stored row."""
+    slab = fine // FINE
+    return np.cumsum(widened(gaps) + 1) + (grid.begin(slab) + (fine - slab * FINE) * grid.fine - 1)
+
+
+def row_counts(counts: bytes | memoryview) -> np.ndarray:
+    """How many samples each position of a stored row has."""
+    return widened(counts) + 1
+
+
+def _meta(spark: SparkSession, path: str) -> list:
+    return sorted(spark.read.schema(META).parquet(f"{path}/meta").collect(), key=lambda r: r["batch_id"])  # one row per batch
+
+
+def live(meta: list) -> list:
+    """The batches that count, in the order of their samples: those that no other one replaces.
+
+    Of several that would replace the same batches, the first counts; what it took away is not there for the others.
+    """
+    out: dict[int, tuple] = {}
+    for r in meta:
+        of = list(r["replaces"] or ())
+        if of and not all(b in out for b in of):
+            continue
+        at = min((out[b][0] for b in of), default=(r["batch_id"],))
+        for b in of:
+            del out[b]
+        out[r["batch_id"]] = at, r
+    return [r for _, r in sorted(out.values(), key=lambda x: x[0])]
+
+
 def _meta(spark: SparkSession, path: str) -> list:
     return sorted(spark.read.schema(META).parquet(f"{path}/meta").collect(), key=lambda r: r["batch_id"])  # one row per batch
 
@@ -243,20 +272,20 @@ def _claimed(spark: SparkSession, path: str, first: int) -> int:
     return first
 
 
-def _pairs(samples: DataFrame, h: int) -> int:
-    return int(samples.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)) * h).first()[0])
-
-
-def _store(spark: SparkSession, config: Config, batch: int, samples: DataFrame, packed: DataFrame, grid: Grid, old: list, token: str | None) -> None:
-    path = config.index_path
+def _store(spark: SparkSession, config: Config, batch: int, samples: DataFrame, packed: DataFrame, grid: Grid, old: list, token: str | None = None, level: int = 0, replaces: list[int] | None = None) -> None:
+    path, size = config.index_path, samples.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
     # Row groups of 8 MB and small pages: a search reads the rows of a few ranges.
-    stored = merged(packed, grid).write.mode("overwrite").partitionBy("bucket").options(**{"compression": "zstd", "parquet.block.size": 1 << 23, "parquet.page.size": 1 << 17})
+    stored = merged(packed, grid, size["n"]).write.mode("overwrite").partitionBy("bucket").options(**{"compression": "zstd", "parquet.block.size": 1 << 23, "parquet.page.size": 1 << 17})
     stored.parquet(f"{path}/postings/batch={batch}")
     today = datetime.now(UTC).strftime("%d-%m-%Y")
-    meta = [(batch, config.k, config.h, config.m, config.sequence_type, grid.slabs, samples.count(), old[0]["created_on"] if old else today, today, bucket_width(config.m), token)]
+    meta = [(batch, config.k, config.h, config.m, config.sequence_type, grid.slabs, size["n"], size["bytes"], old[0]["created_on"] if old else today, today, level, replaces or [], token)]
     spark.createDataFrame(meta, META).coalesce(1).write.mode("append").parquet(f"{path}/meta")
 
 
+def _pairs(samples: DataFrame, h: int) -> int:
+    return int(samples.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)) * h).first()[0])
+
+
 def _write(records: DataFrame, config: Config, old: list, token: str | None) -> None:
     spark, path = records.sparkSession, config.index_path
     batch = _claimed(spark, path, old[-1]["batch_id"] + 1 if old else 0)
@@ -347,7 +376,8 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.batches = _meta(spark, path)
+        self.every = _meta(spark, path)
+        self.batches = live(self.every)
         self.settings = self.batches[0].asDict()
         sizes = np.array([r["n_samples"] for r in self.batches])
         self.first = dict(zip((r["batch_id"] for r in self.batches), (np.cumsum(sizes) - sizes).tolist()))
@@ -366,15 +396,16 @@ class Index:
 
     @property
     def grids(self) -> dict[int, list[int]]:
-        """The batches by the slabs of their grid, a power of two."""
+        """The batches with samples, by the slabs of their grid, a power of two."""
         out: dict[int, list[int]] = {}
         for r in self.batches:
-            out.setdefault(r["slabs"], []).append(r["batch_id"])
+            if r["n_samples"]:
+                out.setdefault(r["slabs"], []).append(r["batch_id"])
         return out
 
-    def postings(self, slabs: int) -> DataFrame:
+    def postings(self, slabs: int, batches: list[int] | None = None) -> DataFrame:
         """The stored rows of the batches with a grid of so many slabs, and ``first``, what their samples begin at."""
-        paths = [f"{self.path}/postings/batch={b}" for b in self.grids[slabs] if exists(self.spark, f"{self.path}/postings/batch={b}/_SUCCESS")]
+        paths = [f"{self.path}/postings/batch={b}" for b in self.grids[slabs] if batches is None or b in batches]
         schema = f"batch int, {STORED}"
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/postings").parquet(*paths).withColumn("first", self._of_batch())
 
@@ -383,6 +414,87 @@ class Index:
         return self.settings["sequence_type"] == "nucleotide"
 
 
+def _unpacked(rows: DataFrame, m: int, slabs: int, grid: Grid) -> DataFrame:
+    """Stored rows with ``first``, packed again for another grid."""
+    of = Grid(m, slabs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(grid)
+        for batch in batches:
+            for fine, first, part, domain, gaps, counts, forms, data in zip(*(batch.column(c) for c in ("fine", "first", "part", "domain", "gaps", "counts", "forms", "slices"))):
+                bits, n = row_positions(of, fine.as_py(), gaps.as_py()), row_counts(counts.as_py())
+                held = Slices(np.frombuffer(forms.as_py(), np.uint8).astype(np.int64), n, np.full(len(n), domain.as_py()), np.frombuffer(data.as_py(), np.uint8))
+                ends = np.cumsum(n)
+                for a, b in _runs(ends, FLUSH_PAIRS):
+                    samples, sizes = held.samples(np.arange(a, b))
+                    yield from packer.add(np.repeat(bits[a:b], sizes), samples + ((part.as_py() << of.part_bits) + first.as_py()))
+        if packer.total:
+            yield packer.flush()
+
+    return rows.select("fine", "first", "part", "domain", "gaps", "counts", "forms", "slices").mapInArrow(run, PACKED)
+
+
+def _runs(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``limit`` in all, of what has these running totals."""
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], limit), "right"), len(ends)))
+    yield from ((a, b) for a, b in zip(np.append(0, cuts), cuts) if b > a)
+
+
+def merge_batches(spark: SparkSession, config: Config, batches: list[int], level: int = 0) -> int:
+    """Adjacent batches as one new one, which counts in their place once its meta row is there; its number.
+
+    Their slices are packed anew by slab and merged as a build's are, in one shuffle; nothing is hashed again. The old
+    batches stay until ``vacuum``. A merge that fails before the end changes nothing.
+    """
+    path, index = config.index_path, Index(spark, config.index_path)
+    order = [r["batch_id"] for r in index.batches]
+    at = order.index(batches[0])
+    if batches != order[at : at + len(batches)]:
+        raise ValueError("only batches side by side can be merged")
+    begin, own = index.first[batches[0]], [r for r in index.batches if r["batch_id"] in batches]
+    new = _claimed(spark, path, index.every[-1]["batch_id"] + 1)
+    samples = index.samples.where(F.col("batch").isin(batches)).select((F.col("sample_idx") - begin).alias("sample_idx"), "sample_id", "n_bytes")
+    samples.write.mode("overwrite").parquet(f"{path}/samples/batch={new}")
+    grid = Grid.of(config.m, sum(r["n_bytes"] for r in own) * config.h)
+    packed = [_unpacked(index.postings(slabs, batches).withColumn("first", F.col("first") - begin), config.m, slabs, grid) for slabs, some in index.grids.items() if set(some) & set(batches)]
+    packed = reduce(DataFrame.unionAll, packed) if packed else spark.createDataFrame([], PACKED)
+    _store(spark, config, new, spark.read.parquet(f"{path}/samples/batch={new}"), packed, grid, index.every, None, level, batches)
+    return new
+
+
+def compact(spark: SparkSession, config: Config, fan: int = 8, full: bool = False) -> int:
+    """Merges each run of ``fan`` adjacent batches of the same level into one of the next, until there is none; how many merges.
+
+    So each position is written again as often as the logarithm of the number of batches. ``full``: all batches
+    become one.
+    """
+    if fan < 2:
+        raise ValueError("two batches at least are merged")
+    merges = 0
+    while True:
+        batches = Index(spark, config.index_path).batches
+        levels = [r["level"] for r in batches]
+        if full:
+            run = (0, len(batches)) if len(batches) > 1 else None
+        else:
+            run = next(((i, i + fan) for i in range(len(levels) - fan + 1) if len(set(levels[i : i + fan])) == 1), None)
+        if run is None:
+            return merges
+        some = batches[run[0] : run[1]]
+        merge_batches(spark, config, [r["batch_id"] for r in some], max(r["level"] for r in some) + 1)
+        merges += 1
+
+
+def vacuum(spark: SparkSession, config: Config) -> list[int]:
+    """Removes the tables of replaced batches, which searches that began before their merge may still read; their numbers."""
+    index = Index(spark, config.index_path)
+    gone = [r["batch_id"] for r in index.every if r["batch_id"] not in index.first]
+    for b in gone:
+        for table in ("samples", "postings"):
+            remove(spark, f"{config.index_path}/{table}/batch={b}")
+    return gone
+
+
 def summary(spark: SparkSession, path: str) -> dict:
     """The index's settings and sizes, in two groups."""
     index = Index(spark, path)
@@ -391,7 +503,7 @@ def summary(spark: SparkSession, path: str) -> dict:
     n, s = sum(r["n_samples"] for r in index.batches), index.settings
     return {
         "filter": {"k": s["k"], "m": s["m"], "h": s["h"], "sequence_type": s["sequence_type"]},
-        "store": {"created_on": s["created_on"], "update_count": len(index.batches) - 1, "last_updated_on": index.batches[-1]["last_updated_on"], "tables": "meta, postings, samples", "number_of_samples": n, "compression": "zstd", "raw_bytes": -(-s["m"] // 8) * n, "stored_bytes": stored},
+        "store": {"created_on": s["created_on"], "update_count": sum(not r["replaces"] for r in index.every) - 1, "last_updated_on": index.every[-1]["last_updated_on"], "tables": "meta, postings, samples", "number_of_samples": n, "compression": "zstd", "raw_bytes": -(-s["m"] // 8) * n, "stored_bytes": stored},
     }
 
 

@@ -30,6 +30,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = located(spark, path)
+    system.delete(target, True)
+
+
 def claim(spark: SparkSession, path: str) -> bool:
     """Creates an empty file; False if it is there already. Of several claimants one succeeds."""
     system, target = located(spark, path)

@@ -145,7 +145,7 @@ def test_repeated_ids_and_plan(spark, toy, tmp_path):
     lines = list(report(search(queries, held, 100), 100))
     assert lines.count("Query sequence id: q") == 3
     plan = search(queries, held, 100)._jdf.queryExecution().executedPlan().toString()
-    scan = next(x for x in plan.splitlines() if "FileScan" in x and "offsets" in x)
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and "slices" in x)
     assert "PartitionFilters: [bucket" in scan or "bucket#" in scan.split("PartitionFilters")[1]
     assert "EqualTo(fine" in scan
 
@@ -246,10 +246,3 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.schema("sample_id string, seq string").parquet(str(tmp_path / "in"))
         append_stream(stream, config, str(tmp_path / "ck")).awaitTermination()
         assert len(hits(spark, config, "ABC", 100)) == i + 1
-
-
-def test_pieces_hold_all_kmers(monkeypatch):
-    monkeypatch.setattr(index, "PIECE", 5)
-    data = bytes(range(65, 90))
-    for k in (1, 3, 7, 25, 26):
-        assert [p[i : i + k] for p in index.pieces(data, k) for i in range(len(p) - k + 1)] == [data[i : i + k] for i in range(len(data) - k + 1)]
