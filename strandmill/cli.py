@@ -6,7 +6,7 @@ import argparse
 import sys
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.operators import index
@@ -14,7 +14,7 @@ from strandmill.operators.search import detected_type, search
 from strandmill.plans.config import Config, read_config
 from strandmill.ship import ship
 from strandmill.sources.reports import write_report
-from strandmill.sources.sequences import read_samples, read_sequences
+from strandmill.sources.sequences import read_record_samples, read_samples, read_sequences
 
 VERSION = "0.1.0"
 
@@ -39,11 +39,6 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def _records(spark: SparkSession, path: str, config: Config) -> DataFrame:
-    """Each record of a file as a sample, those that share an id too."""
-    return index.by_record(read_sequences(spark, path, config.k).select(F.col("seq_id").alias("sample_id"), "seq"))
-
-
 def _search(spark: SparkSession, args: argparse.Namespace, config: Config) -> None:
     if args.sequence:
         queries = spark.createDataFrame([("user_input_seq", args.sequence)], "query_id string, seq string")
@@ -76,7 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         records = read_samples(spark, args.input_file, config.k, f"{config.output_directory.rstrip('/')}/nonexistent_file_paths.txt")
         {"build": index.build, "update": index.update, "build_matrix": index.build_matrix}[args.command](records, config)
     elif args.command in ("build-seq", "update-seq"):
-        (index.build if args.command == "build-seq" else index.update)(_records(spark, args.input_file, config), config)
+        (index.build if args.command == "build-seq" else index.update)(read_record_samples(spark, args.input_file, config.k), config)
     elif args.command in ("build_index", "update_index"):
         if index.index_exists(spark, config.index_path) == (args.command == "build_index"):
             raise SystemExit(f"{config.index_path} is {'already' if args.command == 'build_index' else 'not'} there")

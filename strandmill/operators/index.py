@@ -105,11 +105,13 @@ def _keys(records: DataFrame) -> list[str]:
 def number_samples(records: DataFrame, k: int, path: str | None = None) -> DataFrame:
     """(sample_idx, sample_id, n_bytes, and sample_no if given) of the samples with a record of k bytes at least.
 
+    ``n_bytes`` of the records, if they have it, counts for those that come in pieces; else their length does.
     Numbers follow the samples' bytes in all, ties the sample_id. The samples are sorted into ranges and written at
     ``path``; a number is the place in its range and the sizes of the ranges before, so no task sees all samples.
     """
     keys = _keys(records)
-    sizes = records.where(F.col("sample_id").isNotNull()).groupBy(*keys).agg(F.coalesce(F.sum(F.octet_length("seq")), F.lit(0)).alias("n_bytes"), F.max(F.octet_length("seq")).alias("longest"))
+    each = F.col("n_bytes") if "n_bytes" in records.columns else F.octet_length("seq")
+    sizes = records.where(F.col("sample_id").isNotNull()).groupBy(*keys).agg(F.coalesce(F.sum(each), F.lit(0)).alias("n_bytes"), F.max(F.octet_length("seq")).alias("longest"))
     spark, path = records.sparkSession, path or shared_path(records.sparkSession, "samples")
     sizes.where(F.col("longest") >= k).drop("longest").orderBy("n_bytes", *keys).withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
     placed = spark.read.parquet(path).withColumns({"range": F.shiftright("place", 33), "place": F.col("place").bitwiseAND(F.lit((1 << 33) - 1))})

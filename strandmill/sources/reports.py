@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.columns import percent_label
-from strandmill.storage import write_text
+from strandmill.storage import join_files, shared_path
 
 #: The wording of a report. Fixed values.
 TITLE = "The query sequence(s) were found in the following sample(s):"
@@ -28,29 +27,38 @@ def report_lines(hits: DataFrame, threshold: float, single: bool = False) -> Dat
     return hits.select("query_no", "query_id", "sample_idx", line.alias("line"))
 
 
-def report(hits: DataFrame, threshold: float, single: bool = False) -> Iterator[str]:
-    """The lines of a report, in the order of queries and samples; none without hits. Queries that share an id stand apart."""
-    last = None
-    for row in report_lines(hits, threshold, single).orderBy("query_no", "sample_idx").toLocalIterator():
-        if last is None:
-            yield TITLE
-            if single and threshold != 100:
-                yield SAMPLES.strip()
-        if not single and row["query_no"] != last:
-            yield f"{QUERY}{row['query_id']}"
-            yield SAMPLES
-        last = row["query_no"]
-        yield row["line"]
+def report(hits: DataFrame, threshold: float, single: bool = False) -> DataFrame:
+    """(query_no, sample_idx, value): a report's lines, those around a hit before it in its row; none without hits.
+
+    The heading of a query stands before its first sample, and the title before the first query of all, both found by
+    aggregates, so that each row is made by itself. Queries that share an id stand apart.
+    """
+    lines = report_lines(hits, threshold, single)
+    first = lines.agg(F.min(F.struct("query_no", "sample_idx")).alias("first"))
+    title = F.concat(F.lit(f"{TITLE}\n"), F.lit(f"{SAMPLES.strip()}\n" if single and threshold != 100 else ""))
+    out = lines.crossJoin(F.broadcast(first))  # one row
+    above = F.when((F.col("query_no") == F.col("first.query_no")) & (F.col("sample_idx") == F.col("first.sample_idx")), title).otherwise("")
+    heading = F.lit("")
+    if not single:
+        heads = lines.groupBy("query_no").agg(F.min("sample_idx").alias("head"))
+        out = out.join(heads, "query_no")
+        heading = F.when(F.col("sample_idx") == F.col("head"), F.concat(F.lit(QUERY), F.coalesce(F.col("query_id").cast("string"), F.lit("None")), F.lit(f"\n{SAMPLES}\n"))).otherwise("")
+    return out.select("query_no", "sample_idx", F.concat(above, heading, "line").alias("value"))
 
 
 def write_report(hits: DataFrame, path: str, threshold: float, single: bool = False) -> bool:
-    """Writes a report file, on any file system that Spark knows; False, and no file, if there are no hits."""
-    lines = report(hits, threshold, single)
-    first = next(lines, None)
-    if first is None:
-        return False
-    write_text(hits.sparkSession, path, chain([first], lines))
-    return True
+    """Writes a report file, on any file system that Spark knows; False, and no file, if there are no hits.
+
+    The hits are sorted into ranges of queries and samples; each task writes the lines of its own, and the parts are
+    put together in their order, as bytes. No hit comes to the driver.
+    """
+    spark = hits.sparkSession
+    held = shared_path(spark, "hits")
+    hits.write.parquet(held)  # they are sorted, and counted for the headings
+    hits = spark.read.schema(hits.schema).parquet(held)
+    parts = shared_path(spark, "report")
+    report(hits, threshold, single).orderBy("query_no", "sample_idx").select("value").write.text(parts)
+    return join_files(spark, parts, path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandmill.sources.splits import read_records
 from strandmill.storage import exists, located, write_text
 
 #: Characters that a sample identifier may not hold. Fixed values.
@@ -140,14 +142,29 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def missing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Those of the paths that are not there."""
-    return [p for p in sorted(set(paths)) if not exists(spark, p)]
+    """Those of the paths that are not there. A folder that many of them lie in is listed once, and many are asked at a time."""
+    folders: dict[str, list[str]] = {}
+    for path in sorted(set(paths)):
+        folders.setdefault(path.rpartition("/")[0], []).append(path)
 
+    def gone(item: tuple[str, list[str]]) -> list[str]:
+        folder, own = item
+        if len(own) > 8 and folder and exists(spark, folder):
+            system, target = located(spark, folder)
+            there = {f.getPath().getName() for f in system.listStatus(target)}
+            return [p for p in own if p.rpartition("/")[2] not in there]
+        return [p for p in own if not exists(spark, p)]
 
-def read_samples(spark: SparkSession, manifest_path: str, min_length: int = 0, report: str | None = None) -> DataFrame:
-    """(sample_id, sample_no, seq) of every record of every file of a manifest; each line is a sample, whatever its id.
+    with ThreadPoolExecutor(32) as pool:
+        return sorted(chain.from_iterable(pool.map(gone, folders.items())))
 
-    Missing files are an error, and are listed in the file ``report``, if that is given. The driver holds the manifest.
+
+def read_samples(spark: SparkSession, manifest_path: str, min_length: int = 1, report: str | None = None) -> DataFrame:
+    """(sample_id, sample_no, seq, n_bytes) of every record of every file of a manifest; each line is a sample, whatever its id.
+
+    Files are told apart by their first character where they are read, all in the same jobs; ``min_length`` is the k of
+    the windows that are meant, and long records come in pieces (``read_records``). Missing files are an error, and are
+    listed in the file ``report``, if that is given. The driver holds the manifest.
     """
     rows = [tuple(r) for r in read_manifest(spark, manifest_path).collect()]
     if gone := missing_paths(spark, [p for _, _, p in rows]):
@@ -156,16 +173,20 @@ def read_samples(spark: SparkSession, manifest_path: str, min_length: int = 0, r
         raise FileNotFoundError("; ".join(gone))
     if not rows:
         raise ValueError("the manifest names no file")
-    kinds = {path: file_kind(spark, path) for path in {p for _, _, p in rows}}
 
     def qualified(path: str) -> str:
         system, target = located(spark, path)
         return re.sub("^file:/+", "file:/", system.makeQualified(target).toString())
 
     named = spark.createDataFrame([(line, s, qualified(p)) for line, s, p in rows], "sample_no bigint, sample_id string, path string")
-    parts = [reader(spark, sorted(p for p, k in kinds.items() if k == kind), min_length) for kind, reader in (("fasta", read_fasta), ("fastq", read_fastq)) if kind in kinds.values()]
-    out = reduce(DataFrame.unionByName, parts).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
-    return out.join(F.broadcast(named), "path").select("sample_id", "sample_no", "seq")  # the manifest
+    out = read_records(spark, sorted({p for _, _, p in rows}), max(min_length, 1)).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    return out.join(F.broadcast(named), "path").select("sample_id", "sample_no", "seq", "n_bytes")  # the manifest
+
+
+def read_record_samples(spark: SparkSession, paths: str | list[str], k: int) -> DataFrame:
+    """(sample_id, sample_no, seq, n_bytes): each record of the files a sample, those that share ids too; long ones come in pieces."""
+    rows = read_records(spark, paths, k)
+    return rows.select(F.col("seq_id").alias("sample_id"), F.concat_ws("#", "path", "record").alias("sample_no"), "seq", "n_bytes")
 
 
 def write_fasta(records: DataFrame, path: str, id_column: str = "seq_id", seq_column: str = "seq") -> None:

@@ -51,3 +51,26 @@ def write_text(spark: SparkSession, path: str, lines) -> None:
             out.write(bytearray(f"{line}\n".encode()))
     finally:
         out.close()
+
+
+def join_files(spark: SparkSession, folder: str, path: str) -> bool:
+    """The part files of a folder as one file, in the order of their names; False, and no file, if they are empty.
+
+    Their bytes pass from stream to stream on the driver, and are not read there.
+    """
+    system, source = located(spark, folder)
+    parts = sorted((f.getPath().getName(), f) for f in system.listStatus(source) if f.getPath().getName().startswith("part-") and f.getLen())
+    if not parts:
+        return False
+    to, target = located(spark, path)
+    out = to.create(target, True)
+    try:
+        for _, part in parts:
+            stream = system.open(part.getPath())
+            try:
+                spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
+    return True

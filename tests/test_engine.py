@@ -27,6 +27,10 @@ def toy(spark, tmp_path_factory):
     return config
 
 
+def report_text(found, t, single=False):
+    return "\n".join(r["value"] for r in report(found, t, single).orderBy("query_no", "sample_idx").collect()).splitlines()
+
+
 def hits(spark, config, query, t, **more):
     found = search(frame(spark, [("q", query)], "query_id string, seq string"), index.Index(spark, config.index_path), t, **more)
     return {r["sample_id"]: (r["n_found"], r["n_kmers"]) for r in found.collect()}
@@ -142,7 +146,7 @@ def test_repeated_ids_and_plan(spark, toy, tmp_path):
     for t, n in ((100, 5), (50, 7), (0, 8)):
         found = search(queries, held, t)
         assert len({(r["query_no"], r["sample_id"]) for r in found.collect()}) == n
-    lines = list(report(search(queries, held, 100), 100))
+    lines = report_text(search(queries, held, 100), 100)
     assert lines.count("Query sequence id: q") == 3
     plan = search(queries, held, 100)._jdf.queryExecution().executedPlan().toString()
     scan = next(x for x in plan.splitlines() if "FileScan" in x and "slices" in x)
@@ -216,7 +220,7 @@ def test_reports(spark, toy, tmp_path):
         assert write_report(found, str(path), t)
         back = {(r["query_id"], r["sample_id"], r["n_found"]) for r in read_report(spark, str(path)).collect()}
         assert back == {(r["query_id"], r["sample_id"], None if t == 100 else r["n_found"]) for r in found.collect()}
-    assert list(report(search(queries.where("query_id = 'q2'"), held, 100), 100, single=True)) == ["The query sequence(s) were found in the following sample(s):", "S2"]
+    assert report_text(search(queries.where("query_id = 'q2'"), held, 100), 100, single=True) == ["The query sequence(s) were found in the following sample(s):", "S2"]
     assert report_stats(search(queries, held, 50)).first().asDict() == {"n_queries": 2, "n_hits": 3, "n_samples": 2}
     assert not write_report(search(queries, held, 100).where("false"), str(tmp_path / "none"), 100)
 
