@@ -97,11 +97,10 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[begins[0] : begins[-1]], begins - begins[0]
 
 
-def batch_positions(data: np.ndarray, begins: np.ndarray, k: int, h: int, m: int, canonical: bool, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, record) of the k-mers of many records that stand one after another, ``piece`` bytes at a time.
+def batch_windows(data: np.ndarray, begins: np.ndarray, k: int, canonical: bool, piece: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(k-mers as of ``windows``, record) of many records that stand one after another, ``piece`` bytes at a time.
 
-    All windows of a piece are hashed at once, whatever records they lie in; those across two records are left out.
-    ``positions`` is (h, k-mers) as of ``positions``, ``record`` the number of each k-mer's record.
+    All windows of a piece are made at once, whatever records they lie in; those across two records are left out.
     """
     lengths = np.diff(begins)
     for at in range(0, max(len(data) - k + 1, 0), piece):
@@ -111,12 +110,24 @@ def batch_positions(data: np.ndarray, begins: np.ndarray, k: int, h: int, m: int
         n = np.maximum(high - low, 0)
         if not n.any():
             continue
-        hashes = murmur64a(windows(data[at : stop + k - 1], k, canonical), k, h)
+        words = windows(data[at : stop + k - 1], k, canonical)
         record = np.repeat(np.arange(first, last), n)
-        if len(record) < hashes.shape[1]:
+        if len(record) < stop - at:
             inside = np.repeat(low - at - (np.cumsum(n) - n), n) + np.arange(len(record))
-            hashes = hashes[:, inside]
-        yield _below(hashes, m), record
+            words = [w[inside] for w in words]
+        yield words, record
+
+
+def batch_positions(data: np.ndarray, begins: np.ndarray, k: int, h: int, m: int, canonical: bool, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, record) of the k-mers of ``batch_windows``: (h, k-mers) as of ``positions``, and the number of each one's record."""
+    for words, record in batch_windows(data, begins, k, canonical, piece):
+        yield _below(murmur64a(words, k, h), m), record
+
+
+def kmer_bytes(words: list[np.ndarray], k: int) -> pa.Array:
+    """The k-mers of ``windows`` as they are, as binary values."""
+    rows = np.ascontiguousarray(np.stack(words, axis=1).astype("<u8")).view(np.uint8).reshape(len(words[0]), -1)[:, :k]
+    return pa.Array.from_buffers(pa.binary(k), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
 def canonical_kmer(kmer: bytes) -> bytes:
