@@ -16,7 +16,7 @@ replaces, and makes it count in their place at one stroke; searches that began b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from functools import reduce
 
@@ -436,6 +436,47 @@ def _unpacked(rows: DataFrame, m: int, slabs: int, grid: Grid) -> DataFrame:
     return rows.select("fine", "first", "part", "domain", "gaps", "counts", "forms", "slices").mapInArrow(run, PACKED)
 
 
+def slice_profile(index: Index) -> DataFrame:
+    """(bit, n_samples, first_sample, last_sample) of each position that some sample has, read from the stored slices."""
+
+    def rows(bits: np.ndarray, held: Slices, base: int) -> Iterator[pa.RecordBatch]:
+        for a, b in _runs(np.cumsum(held.counts), FLUSH_PAIRS):
+            samples, n = held.samples(np.arange(a, b))
+            ends = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([pa.array(bits[a:b]), pa.array(n), pa.array(samples[ends - n] + base), pa.array(samples[ends - 1] + base)], names=["bit", "n", "low", "high"])
+
+    found = _of_slices(index, rows, "bit bigint, n bigint, low bigint, high bigint")
+    return found.groupBy("bit").agg(F.sum("n").alias("n_samples"), F.min("low").alias("first_sample"), F.max("high").alias("last_sample"))
+
+
+def filter_sizes(index: Index) -> DataFrame:
+    """(sample_idx, n_bits): how many positions each sample has, read from the stored slices."""
+
+    def rows(bits: np.ndarray, held: Slices, base: int) -> Iterator[pa.RecordBatch]:
+        for a, b in _runs(np.cumsum(held.counts), FLUSH_PAIRS):
+            own, n = np.unique(held.samples(np.arange(a, b))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own + base), pa.array(n)], names=["sample_idx", "n"])
+
+    return _of_slices(index, rows, "sample_idx bigint, n bigint").groupBy("sample_idx").agg(F.sum("n").alias("n_bits"))
+
+
+def _of_slices(index: Index, rows: Callable[[np.ndarray, Slices, int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``rows`` makes of the positions, slices and first sample of each stored row."""
+
+    def reader(of: Grid):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    n = row_counts(r["counts"])
+                    held = Slices(np.frombuffer(r["forms"], np.uint8).astype(np.int64), n, np.full(len(n), r["domain"]), np.frombuffer(r["slices"], np.uint8))
+                    yield from rows(row_positions(of, r["fine"], r["gaps"]), held, r["first"] + (r["part"] << of.part_bits))
+
+        return run
+
+    parts = [index.postings(slabs).drop("bucket", "batch").mapInArrow(reader(Grid(index.settings["m"], slabs)), schema) for slabs in index.grids]
+    return reduce(DataFrame.unionAll, parts) if parts else index.spark.createDataFrame([], schema)
+
+
 def _runs(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Stretches of about ``limit`` in all, of what has these running totals."""
     cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], limit), "right"), len(ends)))

@@ -22,12 +22,13 @@ from strandmill.operators.search import search, search_records
 from strandmill.plans.config import Config
 
 from strandmill.sources.reports import read_report, report_lines, report_stats, write_report
-from strandmill.sources.sequences import parse_manifest, read_fasta, read_fastq
-from strandmill.storage import shared_path
+from strandmill.sources.sequences import manifest_lines, parse_manifest, read_fasta, read_fastq, write_fasta
+from strandmill.sources.splits import read_records
+from strandmill.storage import located, shared_path
 
 K, H, M = 11, 2, 1 << 31
 SMALL_K, SMALL_M = 8, 1_000_003
-K_NT, M_NT, K_PROTEIN = 21, 1 << 36, 7
+K_NT, M_NT, K_PROTEIN, READ = 21, 1 << 36, 7, 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,29 +128,25 @@ def kmer_hash_bits(spark, sf_dir):
 
 
 def bloom_fill(spark, sf_dir):
-    found = _small_bits(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("bit").alias("n_bits"))
-    return found.select("item_id", "n_bits", (F.col("n_bits") / F.lit(float(SMALL_M))).alias("fill"))
+    """How full each document's filter is, as the index of small filters holds it."""
+    held = stored(spark, sf_dir, "small")
+    found = index.filter_sizes(held).join(held.samples, "sample_idx")
+    return found.select(F.col("sample_id").cast("long").alias("doc_id"), "n_bits", (F.col("n_bits") / F.lit(float(SMALL_M))).alias("fill"))
 
 
 def bitslice_postings(spark, sf_dir):
-    bits = _small_bits(spark, sf_dir).select(F.col("item_id").alias("sample_idx"), "bit")
-    s = F.col("sample_idxs")
-    parts = index.bit_slices(bits).select("bit", F.size(s).alias("n"), s[0].alias("low"), F.element_at(s, -1).alias("high"))
-    return parts.groupBy("bit").agg(F.sum("n").alias("n_samples"), F.min("low").alias("first_sample"), F.max("high").alias("last_sample"))
+    return index.slice_profile(stored(spark, sf_dir, "small"))
 
 
 def bitslice_and(spark, sf_dir):
-    """The AND of the slices of all of a passage's positions: the passages whose filters hold all of them."""
-    bits = _small_bits(spark, sf_dir).select("item_id", "bit").distinct()
-    slices = index.bit_slices(bits.withColumnRenamed("item_id", "sample_idx"))
-    sizes = bits.groupBy("item_id").agg(F.count("*").alias("n"))
-    met = bits.join(slices, "bit").select("item_id", F.explode("sample_idxs").alias("sample_idx"))
-    return met.groupBy("item_id", "sample_idx").agg(F.count("*").alias("held")).join(sizes, "item_id").where("held = n").select("item_id", F.col("sample_idx").alias("sample_id"))
+    """The AND of the slices of all of a passage's positions: the documents whose filters hold all of them, right or not."""
+    found = search(passages(spark, sf_dir), stored(spark, sf_dir, "small"), 100, fold=False)
+    return found.select(F.col("query_id").alias("item_id"), F.col("sample_id").cast("long").alias("doc_id"))
 
 
 def binning(spark, sf_dir):
     edge = C.bucket_edge(F.col("bit"), C.bucket_width(SMALL_M)).alias("edge")
-    return _small_bits(spark, sf_dir).select("bit").distinct().groupBy(edge).agg(F.count("*").alias("n_bits"))
+    return index.slice_profile(stored(spark, sf_dir, "small")).groupBy(edge).agg(F.count("*").alias("n_bits"))
 
 
 def index_hits_profile(spark, sf_dir):
@@ -157,6 +154,13 @@ def index_hits_profile(spark, sf_dir):
     return _small_bits(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("bit").alias("n_bits"), F.countDistinct(edge).alias("n_parts"))
 
 
+def reads(docs: DataFrame) -> DataFrame:
+    """The documents' derived nucleotides, cut into reads of READ letters."""
+    nt = docs.select(F.col("doc_id").cast("string").alias("sample_id"), C.as_nucleotides(F.col("text")).alias("nt")).where(F.length("nt") > 0)
+    at = F.explode(F.sequence(F.lit(1), F.length("nt"), F.lit(READ)))
+    return nt.select("sample_id", "nt", at.alias("at")).select("sample_id", F.substr("nt", F.col("at"), F.lit(READ)).alias("seq"))
+
+
 _stored: dict[tuple, str] = {}
 
 
@@ -164,7 +168,8 @@ def stored(spark: SparkSession, sf_dir: str, kind: str) -> index.Index:
     """An index over a table, built at its first use and kept in the shared folder for the application's other queries.
 
     ``documents``: a sample each. ``sources``: the documents of a source are one sample. ``nucleotides``: of derived
-    nucleotides. ``proteins``: of the first frames of these.
+    nucleotides. ``proteins``: of the first frames of these. ``reads``: of the nucleotides cut into reads of 100, a
+    record each. ``small``: documents, with few positions and short k-mers.
     """
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _stored:
@@ -176,8 +181,12 @@ def stored(spark: SparkSession, sf_dir: str, kind: str) -> index.Index:
             text, settings = C.as_nucleotides(text), (K_NT, H, M_NT, "nucleotide")
         elif kind == "proteins":
             text, settings = C.translated(C.as_nucleotides(text), F.lit(0)), (K_PROTEIN, H, M, "aminoacid")
+        elif kind == "reads":
+            settings = (K_NT, 1, M_NT, "nucleotide")
+        elif kind == "small":
+            settings = (SMALL_K, H, SMALL_M, "aminoacid")
         config = Config(*settings, shared_path(spark, f"stored-{kind}"))
-        index.build(docs.select(name.alias("sample_id"), text.alias("seq")), config)
+        index.build(reads(docs) if kind == "reads" else docs.select(name.alias("sample_id"), text.alias("seq")), config)
         _stored[key] = config.index_path
     return index.Index(spark, _stored[key])
 
@@ -201,6 +210,27 @@ def search_nt_at(threshold: float, spark, sf_dir):
     return _hits(search(queries, stored(spark, sf_dir, "nucleotides"), threshold, "nucleotide"))
 
 
+def search_reads(spark, sf_dir):
+    """Nucleotide passages against samples of short reads; one position to a k-mer, as nucleotides are mostly indexed."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), C.as_nucleotides(F.col("text")).alias("seq"))
+    return _hits(search(queries, stored(spark, sf_dir, "reads"), 50, "nucleotide"))
+
+
+def search_many(spark, sf_dir):
+    """Every document searched in all of them: millions of positions, sent to the index in passes."""
+    queries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("seq"))
+    found = search(queries, stored(spark, sf_dir, "documents"), 100, fold=False)
+    return found.select(F.col("query_id").alias("doc_id"), F.col("sample_id").cast("long").alias("held_by"), "n_kmers")
+
+
+def search_verified(spark, sf_dir):
+    """Filters that are far too small, and hits checked on their k-mers."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("text").alias("seq"))
+    config = Config(K, H, 1 << 16, "aminoacid", shared_path(spark, "verified"))
+    index.build(docs, config)
+    return _hits(search(passages(spark, sf_dir), index.Index(spark, config.index_path), 50, fold=False, verify=docs))
+
+
 def search_duplicates(spark, sf_dir):
     twice = passages(spark, sf_dir).withColumn("seq", F.concat("seq", "seq"))
     return _hits(search(twice, stored(spark, sf_dir, "documents"), 50, fold=False))
@@ -240,6 +270,29 @@ def update_equals_rebuild(spark, sf_dir):
     return _hits(search(passages(spark, sf_dir), index.Index(spark, config.index_path), 20, fold=False))
 
 
+def merged_equals_rebuild(spark, sf_dir):
+    """An index of eight batches, merged by levels and then into one, searched: the hits of an index of all."""
+    config = Config(K, H, M, "aminoacid", shared_path(spark, "index"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("text").alias("seq"))
+    for i in range(8):
+        (index.update if i else index.build)(docs.where(F.crc32("sample_id") % 8 == i), config)
+    index.compact(spark, config, fan=4)
+    index.compact(spark, config, full=True)
+    index.vacuum(spark, config)
+    return _hits(search(passages(spark, sf_dir), index.Index(spark, config.index_path), 20, fold=False))
+
+
+def update_sequences(spark, sf_dir):
+    """Samples of one record each that share ids: half of them indexed, the other half appended."""
+    config = Config(K, H, M, "aminoacid", shared_path(spark, "sequences"))
+    docs = table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
+    for i, add in enumerate((index.build, index.update)):
+        half = docs.where(F.crc32(F.col("doc_id").cast("string")) % 2 == i)
+        add(index.by_record(half.select(F.col("source").alias("sample_id"), F.col("text").alias("seq"))), config)
+    out = search(passages(spark, sf_dir), index.Index(spark, config.index_path), 2, fold=False)
+    return out.select(F.col("query_id").alias("item_id"), F.col("sample_id").alias("source"), "n_found", "n_kmers")
+
+
 def matrices_equal_rebuild(spark, sf_dir):
     """An index of the matrix of half the documents, updated with that of the other half, searched."""
     top = shared_path(spark, "matrices")
@@ -285,6 +338,15 @@ def fastq_read(spark, sf_dir):
     return _read_back(read_fastq(spark, path, K))
 
 
+def fasta_pieces(spark, sf_dir):
+    """FASTA files that the writer wrote, gzipped, read in pieces: each record's length and how many k-mers it has."""
+    path = shared_path(spark, "pieces")
+    write_fasta(_proteins(spark, sf_dir), path, "id", "seq", compression="gzip")
+    parts = [f.getPath().toString() for f in located(spark, path)[0].listStatus(located(spark, path)[1]) if f.getPath().getName().startswith("part-")]
+    found = read_records(spark, parts, K)
+    return found.groupBy("seq_id").agg(F.sum("n_bytes").alias("n"), F.sum(F.length("seq") - (K - 1)).alias("n_kmers"))
+
+
 def sample_order(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("sample_id"), F.col("text").alias("seq"))
     return index.number_samples(turns, K).select(F.col("sample_idx").cast("long").alias("sample_idx"), "sample_id", "n_bytes")
@@ -299,6 +361,24 @@ def manifest_parse(spark, sf_dir):
     return parse_manifest(_manifest_lines(spark, sf_dir)).select("sample_id", "path")
 
 
+def manifest_errors(spark, sf_dir):
+    """Lines that are wrong, counted by what is wrong with them."""
+    end = F.col("s_suppkey") % 5
+    line = F.when(end == 0, F.concat("s_name", F.lit(": /a"))).when(end == 1, F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit(": /a:b"))).when(end == 2, F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit(":"))).otherwise(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit(": /a; /b")))
+    found = manifest_lines(table(spark, sf_dir, "supplier").select(line.alias("value")))
+    kind = F.coalesce(F.regexp_extract("error", "^([^:]*):", 1), F.lit("none"))
+    return found.groupBy(kind.alias("error")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("error").isNull(), F.size("paths")).otherwise(0)).alias("n_paths"))
+
+
+def report_text(spark, sf_dir):
+    """The lines of a report in their order: by query, then by the samples' order in the index."""
+    path = f"{shared_path(spark, 'reports')}/report.txt"
+    found = search(passages(spark, sf_dir).orderBy("query_id").coalesce(1), stored(spark, sf_dir, "documents"), 2, fold=False)
+    write_report(found, path, 2)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("no", "line"))
+    return lines.select(F.col("no").cast("long").alias("no"), "line")
+
+
 def report_line(spark, sf_dir):
     found = search(passages(spark, sf_dir), stored(spark, sf_dir, "documents"), 2, fold=False)
     # The sample_idx of an index is its own; lines are told apart by the sample they name.
@@ -354,14 +434,14 @@ def _contain(threshold: str, query: str = "text", rows: str = "documents", key:
     SELECT item_id, {key}, n_found, n_kmers FROM hit JOIN n USING (item_id) WHERE {threshold}"""
 
 
-def _contain_nt(threshold: str) -> str:
+def _contain_nt(threshold: str, documents: str = f"SELECT doc_id, {NT} AS nt FROM documents") -> str:
     """As ``_contain``, over the derived nucleotides, whose k-mers are the smaller of their two strands."""
-    def grams(table: str, key: str) -> str:
-        both = f"SELECT {key}, encode(nt) AS f, encode(translate(reverse(nt), 'ACGTUN', 'TGCAAN')) AS b FROM (SELECT {key}, {NT} AS nt FROM {table})"
+    def grams(rows: str, key: str) -> str:
+        both = f"SELECT {key}, encode(nt) AS f, encode(translate(reverse(nt), 'ACGTUN', 'TGCAAN')) AS b FROM ({rows})"
         return f"SELECT {key}, unnest([least(f[i:i+{K_NT - 1}], b[octet_length(f)-i-{K_NT - 2}:octet_length(f)-i+1]) for i in generate_series(1, octet_length(f)-{K_NT - 1})]) AS g FROM ({both})"
 
-    return f"""WITH q AS ({grams('benchmark', 'item_id')}), qn AS (SELECT item_id, g, count(*) AS times FROM q GROUP BY ALL),
-    n AS (SELECT item_id, CAST(sum(times) AS BIGINT) AS n_kmers FROM qn GROUP BY 1), d AS (SELECT DISTINCT doc_id, g FROM ({grams('documents', 'doc_id')}) WHERE g IN (SELECT g FROM qn)),
+    return f"""WITH q AS ({grams(f'SELECT item_id, {NT} AS nt FROM benchmark', 'item_id')}), qn AS (SELECT item_id, g, count(*) AS times FROM q GROUP BY ALL),
+    n AS (SELECT item_id, CAST(sum(times) AS BIGINT) AS n_kmers FROM qn GROUP BY 1), d AS (SELECT DISTINCT doc_id, g FROM ({grams(documents, 'doc_id')}) WHERE g IN (SELECT g FROM qn)),
     hit AS (SELECT item_id, doc_id, CAST(sum(times) AS BIGINT) AS n_found FROM qn JOIN d USING (g) GROUP BY ALL)
     SELECT item_id, doc_id, n_found, n_kmers FROM hit JOIN n USING (item_id) WHERE {threshold}"""
 
@@ -387,17 +467,42 @@ def _frames(rows: str, k: int) -> str:
     return f"nt AS (SELECT item_id, {NT} AS nt, translate(reverse({NT}), 'ACGTUN', 'TGCAAN') AS rc FROM {rows}), frames AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE length(protein) >= {k})"
 
 
-def _hashes() -> str:
-    """MurmurHash64A of 8-byte k-mers, seeds 0 and 1, in unsigned 128-bit arithmetic."""
+def _hashes(rows: str = "benchmark", key: str = "item_id") -> str:
+    """MurmurHash64A of 8-byte k-mers, seeds 0 and 1, in unsigned 128-bit arithmetic, of each different k-mer once."""
     two64, mul = "18446744073709551616::UHUGEINT", f"{0xC6A4A7935BD1E995}::UHUGEINT"
     byte = " + ".join(f"CAST((strpos('{HEX}', substr(x, {2 * j + 1}, 1)) - 1) * 16 + strpos('{HEX}', substr(x, {2 * j + 2}, 1)) - 1 AS UHUGEINT) * {256**j}::UHUGEINT" for j in range(8))
     start = [f"{s ^ (8 * 0xC6A4A7935BD1E995) % (1 << 64)}::UHUGEINT" for s in range(H)]
-    return f"""g AS (SELECT item_id, i - 1 AS pos, substr(hx, 2 * i - 1, 16) AS x FROM (SELECT item_id, hex(encode(text)) AS hx, unnest(generate_series(1, octet_length(encode(text)) - 7)) AS i FROM benchmark)),
-    w AS (SELECT item_id, pos, (({byte}) * {mul}) % {two64} AS a FROM g),
-    mixed AS (SELECT item_id, pos, (xor(a, a >> 47) * {mul}) % {two64} AS a FROM w),
-    seeded AS (SELECT item_id, pos, s AS seed, (xor(CASE s WHEN 0 THEN {start[0]} ELSE {start[1]} END, a) * {mul}) % {two64} AS b FROM mixed, (SELECT unnest([0, 1]) AS s)),
-    last AS (SELECT item_id, pos, seed, (xor(b, b >> 47) * {mul}) % {two64} AS c FROM seeded),
-    bits AS (SELECT item_id, CAST(pos AS BIGINT) AS pos, CAST(seed AS BIGINT) AS seed, CAST(xor(c, c >> 47) % {SMALL_M} AS BIGINT) AS bit FROM last)"""
+    return f"""g AS MATERIALIZED (SELECT {key}, i - 1 AS pos, substr(hx, 2 * i - 1, 16) AS x FROM (SELECT {key}, hex(encode(text)) AS hx, unnest(generate_series(1, octet_length(encode(text)) - 7)) AS i FROM {rows})),
+    w AS (SELECT x, (({byte}) * {mul}) % {two64} AS a FROM (SELECT DISTINCT x FROM g)),
+    mixed AS (SELECT x, (xor(a, a >> 47) * {mul}) % {two64} AS a FROM w),
+    seeded AS (SELECT x, s AS seed, (xor(CASE s WHEN 0 THEN {start[0]} ELSE {start[1]} END, a) * {mul}) % {two64} AS b FROM mixed, (SELECT unnest([0, 1]) AS s)),
+    last AS (SELECT x, seed, (xor(b, b >> 47) * {mul}) % {two64} AS c FROM seeded),
+    places AS MATERIALIZED (SELECT x, CAST(seed AS BIGINT) AS seed, CAST(xor(c, c >> 47) % {SMALL_M} AS BIGINT) AS bit FROM last),
+    bits AS (SELECT {key}, CAST(pos AS BIGINT) AS pos, seed, bit FROM g JOIN places USING (x))"""
+
+
+def _hashed_documents() -> str:
+    """``held``: the distinct positions of each document, by its number in the order of the samples."""
+    order = f"SELECT doc_id, row_number() OVER (ORDER BY octet_length(encode(text)), CAST(doc_id AS VARCHAR)) - 1 AS sample_idx FROM documents WHERE octet_length(encode(text)) >= {SMALL_K}"
+    return f"{_hashes('documents', 'doc_id')}, held AS (SELECT DISTINCT doc_id, bit FROM g JOIN places USING (x)), numbered AS ({order})"
+
+
+def _contained() -> str:
+    """Documents that hold all k-mers of another, by way of each one's rarest."""
+    return f"""WITH g AS MATERIALIZED (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, {_slices('text', K)} AS x FROM documents)), df AS (SELECT x, count(*) AS df FROM g GROUP BY 1),
+    n AS (SELECT doc_id, count(*) AS n, arg_min(x, df) AS rare FROM g JOIN df USING (x) GROUP BY 1), cand AS (SELECT n.doc_id, g.doc_id AS held_by, n FROM n JOIN g ON g.x = n.rare),
+    met AS (SELECT c.doc_id, c.held_by, n, count(*) AS k FROM cand c JOIN g a ON a.doc_id = c.doc_id JOIN g b ON b.doc_id = c.held_by AND b.x = a.x GROUP BY ALL)
+    SELECT doc_id, held_by, CAST(octet_length(encode(text)) - {K - 1} AS BIGINT) AS n_kmers FROM met JOIN documents USING (doc_id) WHERE k = n"""
+
+
+def _report_text() -> str:
+    """A report's lines and their numbers, of the hits at 2."""
+    order = f"SELECT doc_id, row_number() OVER (ORDER BY octet_length(encode(text)), CAST(doc_id AS VARCHAR)) AS place FROM documents WHERE octet_length(encode(text)) >= {K}"
+    return f"""WITH hits AS ({_contain(_least(2))}), numbered AS ({order}), lines AS (
+    SELECT -1 AS item_id, 0 AS place, 0 AS part, 'The query sequence(s) were found in the following sample(s):' AS line
+    UNION ALL SELECT DISTINCT item_id, 0, 1, 'Query sequence id: ' || item_id FROM hits UNION ALL SELECT DISTINCT item_id, 0, 2, chr(9) || 'Sample identifier(s):' FROM hits
+    UNION ALL SELECT item_id, place, 3, chr(9) || chr(9) || doc_id || ', Number of kmers found: ' || n_found || ' (' || {LABEL} || '%)' FROM hits JOIN numbered USING (doc_id))
+    SELECT row_number() OVER (ORDER BY item_id, place, part) - 1 AS no, line FROM lines"""
 
 
 WIDTH = C.bucket_width(SMALL_M)
@@ -415,10 +520,10 @@ def _sql() -> dict[str, str]:
         "q_translate_frames": f"WITH nt AS (SELECT item_id, {NT} AS nt, unnest([0, 1, 2]) AS f FROM benchmark) SELECT item_id, CAST(f AS INTEGER) AS frame, {_protein('nt', 'f')} AS protein FROM nt",
         "q_six_frame": f"WITH {_frames('benchmark', K)} SELECT frame_id, protein FROM frames",
         "q_kmer_hash_bits": f"WITH {_hashes()} SELECT item_id, pos, seed, bit FROM bits",
-        "q_bloom_fill": f"WITH {_hashes()} SELECT item_id, count(DISTINCT bit) AS n_bits, count(DISTINCT bit) / {float(SMALL_M)}::DOUBLE AS fill FROM bits GROUP BY 1",
-        "q_bitslice_postings": f"WITH {_hashes()} SELECT bit, count(DISTINCT item_id) AS n_samples, min(item_id) AS first_sample, max(item_id) AS last_sample FROM bits GROUP BY 1",
-        "q_bitslice_and": f"WITH {_hashes()}, b AS (SELECT DISTINCT item_id, bit FROM bits), n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1) SELECT q.item_id, s.item_id AS sample_id FROM b q JOIN b s USING (bit) JOIN n ON n.item_id = q.item_id GROUP BY q.item_id, s.item_id, n HAVING count(*) = n",
-        "q_binning": f"WITH {_hashes()} SELECT (bit // {WIDTH} + 1) * {WIDTH} AS edge, count(DISTINCT bit) AS n_bits FROM bits GROUP BY 1",
+        "q_bloom_fill": f"WITH {_hashed_documents()} SELECT doc_id, count(*) AS n_bits, count(*) / {float(SMALL_M)}::DOUBLE AS fill FROM held GROUP BY 1",
+        "q_bitslice_postings": f"WITH {_hashed_documents()} SELECT bit, count(*) AS n_samples, min(sample_idx) AS first_sample, max(sample_idx) AS last_sample FROM held JOIN numbered USING (doc_id) GROUP BY 1",
+        "q_bitslice_and": f"WITH {_hashes('(SELECT item_id AS id, text FROM benchmark UNION ALL SELECT -1 - doc_id, text FROM documents)', 'id')}, b AS MATERIALIZED (SELECT DISTINCT id, bit FROM bits), n AS (SELECT id, count(*) AS n FROM b WHERE id >= 0 GROUP BY 1) SELECT q.id AS item_id, -1 - s.id AS doc_id FROM b q JOIN b s USING (bit) JOIN n ON n.id = q.id WHERE s.id < 0 GROUP BY q.id, s.id, n HAVING count(*) = n",
+        "q_binning": f"WITH {_hashes('documents', 'doc_id')} SELECT (bit // {WIDTH} + 1) * {WIDTH} AS edge, count(DISTINCT bit) AS n_bits FROM places GROUP BY 1",
         "q_index_hits_profile": f"WITH {_hashes()} SELECT item_id, count(DISTINCT bit) AS n_bits, count(DISTINCT bit // {WIDTH}) AS n_parts FROM bits GROUP BY 1",
         "q_search_exact": _contain("n_found = n_kmers"),
         "q_search_approx_t1": _contain(_least(1)),
@@ -431,6 +536,14 @@ def _sql() -> dict[str, str]:
         "q_search_six_frame": f"WITH {_frames('benchmark', 7)}, q AS (SELECT frame_id, {_slices('protein', 7)} AS g FROM frames), n AS (SELECT frame_id, count(*) AS n_kmers, count(DISTINCT g) AS kinds FROM q GROUP BY 1), dn AS (SELECT doc_id, {NT} AS dnt FROM documents), dp AS (SELECT doc_id, {_protein('dnt', '0')} AS protein FROM dn), d AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, {_slices('protein', 7)} AS g FROM dp) WHERE g IN (SELECT g FROM q)), h AS (SELECT frame_id, doc_id, count(*) AS held FROM (SELECT DISTINCT frame_id, g FROM q) JOIN d USING (g) GROUP BY ALL) SELECT frame_id, doc_id, n_kmers FROM h JOIN n USING (frame_id) WHERE held = kinds",
         "q_update_equals_rebuild": _contain(_least(20)),
         "q_matrices_equal_rebuild": _contain(_least(20)),
+        "q_merged_equals_rebuild": _contain(_least(20)),
+        "q_search_verified": _contain(_least(50)),
+        "q_search_many": _contained(),
+        "q_search_reads": _contain_nt(_least(50), f"SELECT doc_id, substr(nt, i, {READ}) AS nt FROM (SELECT doc_id, nt, unnest(generate_series(1, length(nt), {READ})) AS i FROM (SELECT doc_id, {NT} AS nt FROM documents))"),
+        "q_update_sequences": f"SELECT item_id, source, n_found, n_kmers FROM ({search_2}) JOIN documents USING (doc_id) WHERE source IS NOT NULL",
+        "q_fasta_pieces": f"SELECT seq_id, n, n - {K - 1} AS n_kmers FROM ({_files()})",
+        "q_manifest_errors": "SELECT CASE s_suppkey % 5 WHEN 0 THEN 'characters that are not allowed in a sample identifier' WHEN 1 THEN 'one sample identifier is required per line' WHEN 2 THEN 'a space must follow the colon, and a path that' ELSE 'none' END AS error, count(*) AS n, CAST(sum(CASE WHEN s_suppkey % 5 > 2 THEN 2 ELSE 0 END) AS BIGINT) AS n_paths FROM supplier GROUP BY 1",
+        "q_report_text": _report_text(),
         "q_scan_exact": _contain("n_found = n_kmers"),
         "q_scan_approx_t1": _contain(_least(1)),
         "q_search_nt_exact": _contain_nt("n_found = n_kmers"),
@@ -458,6 +571,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_search_approx_t5": partial(search_at, 5), "q_search_approx_t50": partial(search_at, 50), "q_search_t0": partial(scan_at, 0), "q_index_t0": partial(search_at, 0),
         "q_search_duplicates": search_duplicates, "q_search_repeated_ids": search_repeated_ids, "q_search_sources": search_sources, "q_search_six_frame": search_six_frame,
         "q_search_nt_exact": partial(search_nt_at, 100), "q_search_nt_t50": partial(search_nt_at, 50), "q_search_sequences": search_sequences,
+        "q_search_reads": search_reads, "q_search_many": search_many, "q_search_verified": search_verified, "q_merged_equals_rebuild": merged_equals_rebuild,
+        "q_update_sequences": update_sequences, "q_fasta_pieces": fasta_pieces, "q_manifest_errors": manifest_errors, "q_report_text": report_text,
         "q_scan_exact": partial(scan_at, 100), "q_scan_approx_t1": partial(scan_at, 1),
         "q_update_equals_rebuild": update_equals_rebuild, "q_matrices_equal_rebuild": matrices_equal_rebuild, "q_sample_order": sample_order, "q_manifest_parse": manifest_parse,
         "q_fasta_read": fasta_read, "q_fastq_read": fastq_read, "q_report_lines": report_line, "q_report_rows": report_rows, "q_report_stats": report_stat, "q_summary": summary, "q_sizing": sizing,

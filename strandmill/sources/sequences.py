@@ -117,11 +117,11 @@ def read_sequences(spark: SparkSession, path: str, min_length: int = 0) -> DataF
     return (read_fasta if file_kind(spark, path) == "fasta" else read_fastq)(spark, path, min_length)
 
 
-def parse_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(line, sample_id, path) of ``id: path; path`` lines; blank lines and those that begin with ``#`` are left out.
+def manifest_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(line, sample_id, paths, error) of ``id: path; path`` lines; blank lines and those that begin with ``#`` are left out.
 
-    ``line`` tells apart lines that share an id. A line without exactly one colon, with a forbidden character in its
-    id, or without a path is an error when read.
+    ``line`` tells apart lines that share an id. ``error`` says what is wrong: not exactly one colon, a forbidden
+    character in the id, or no path; null where nothing is.
     """
     line = F.trim(F.regexp_replace(F.col(column), r"\r$", ""))
     used = lines.select(F.monotonically_increasing_id().alias("no"), line.alias("line"), F.col(column).startswith("#").alias("comment"))
@@ -133,8 +133,14 @@ def parse_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(F.length(F.translate(name, FORBIDDEN, "")) != F.length(name), F.concat(F.lit("characters that are not allowed in a sample identifier: "), F.col("line")))
         .when(F.size(parts) < 2, F.concat(F.lit("a space must follow the colon, and a path that: "), F.col("line")))
     )
-    paths = F.when(wrong.isNull(), F.slice(parts, 2, F.size(parts))).otherwise(F.raise_error(wrong).cast("array<string>"))
-    return used.select(F.col("no").alias("line"), name.alias("sample_id"), F.explode(paths).alias("path")).withColumn("path", F.trim("path"))
+    return used.select(F.col("no").alias("line"), name.alias("sample_id"), F.slice(parts, 2, F.size(parts)).alias("paths"), wrong.alias("error"))
+
+
+def parse_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(line, sample_id, path) of ``manifest_lines``; a line that is wrong is an error when read."""
+    found = manifest_lines(lines, column)
+    paths = F.when(F.col("error").isNull(), F.col("paths")).otherwise(F.raise_error("error").cast("array<string>"))
+    return found.select("line", "sample_id", F.explode(paths).alias("path")).withColumn("path", F.trim("path"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -189,5 +195,5 @@ def read_record_samples(spark: SparkSession, paths: str | list[str], k: int) ->
     return rows.select(F.col("seq_id").alias("sample_id"), F.concat_ws("#", "path", "record").alias("sample_no"), "seq", "n_bytes")
 
 
-def write_fasta(records: DataFrame, path: str, id_column: str = "seq_id", seq_column: str = "seq") -> None:
-    records.select(F.concat(F.lit(">"), F.col(id_column), F.lit("\n"), F.col(seq_column))).write.text(path)
+def write_fasta(records: DataFrame, path: str, id_column: str = "seq_id", seq_column: str = "seq", compression: str | None = None) -> None:
+    records.select(F.concat(F.lit(">"), F.col(id_column), F.lit("\n"), F.col(seq_column))).write.text(path, compression=compression)
