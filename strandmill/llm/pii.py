@@ -105,10 +105,14 @@ IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]*:)[0-9A-Fa-f]{0,4}(?::[0-9A
 MAC = re.compile(r"(?<![0-9A-Za-z:\-])[0-9A-Fa-f]{2}([:\-])[0-9A-Fa-f]{2}(?:\1[0-9A-Fa-f]{2}){4}(?![0-9A-Za-z:\-])")
 SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
-LOCAL, DOMAIN = re.compile(r"[\w.%+\-]+$"), re.compile(r"[^\W_](?:[^\W_]|-)*(?:\.[^\W_](?:[^\W_]|-)*)+")
+LOCAL, DOMAIN = re.compile(r"[\w.%+\-][\w.%+\-'’]*$"), re.compile(r"[^\W_](?:[^\W_]|-)*(?:\.[^\W_](?:[^\W_]|-)*)+")
 FAMILY = re.compile(r"[  ]([^\W\d_a-zà-ÿа-яα-ω][^\W\d_]+)")
 
 
+#: Letters of a text up to which it is one number that is permuted.
+WHOLE = 256
+
+
 class Surrogates:
     """Keyed permutations; one key gives the same surrogates everywhere."""
 
@@ -137,6 +141,17 @@ class Surrogates:
             if value < size:
                 return value
 
+    def _halved(self, kind: str, known: list[tuple]) -> list[int]:
+        """A permutation of the letters of a long text, in time that grows with its length: the places of each half are moved by what the other is, four times."""
+        own, half = [at for _, _, at in known], len(known) // 2
+        for i in range(4):
+            by, moved = (own[:half], range(half, len(own))) if i % 2 == 0 else (own[half:], range(half))
+            seed = self._round(f"{kind}|{len(own)}|{i}|{by}".encode()).to_bytes(32)
+            steps = hashlib.shake_256(self.key + seed).digest(4 * len(moved))
+            for k, j in enumerate(moved):
+                own[j] = (own[j] + int.from_bytes(steps[4 * k : 4 * k + 4])) % len(known[j][1])
+        return own
+
     def by_class(self, kind: str, text: str) -> str:
         """Each letter or digit replaced within its class or, outside the classes, its script's page; case and other characters stay."""
         lower = text.lower()
@@ -144,11 +159,15 @@ class Surrogates:
             return self.opaque(kind, lower)
         known = [(i, *found) for i, c in enumerate(lower) if (found := class_of(c))]
         size, value = 1, 0
-        for _, letters, at in known:
+        for _, letters, at in known if len(known) <= WHOLE else ():
             size, value = size * len(letters), value * len(letters) + at
         form, out = list(lower), list(text)
         for i, letters, _ in known:
             form[i] = form_of(letters)
+        if len(known) > WHOLE:
+            for (i, letters, _), at in zip(known, self._halved(f"{kind}|{''.join(form)}", known)):
+                out[i] = letters[at].upper() if text[i] != lower[i] and _sort(letters[at])[2] else letters[at]
+            return "".join(out)
         new = self.permuted(f"{kind}|{''.join(form)}", size, value)
         if new == value and any(c.isalpha() and c not in CLASS for c in lower):
             return self.opaque(kind, lower)
@@ -271,8 +290,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     at = text.find("@")
     while at >= 0:
-        local, domain = LOCAL.search(text[max(0, at - 64) : at]), DOMAIN.match(text, at + 1, at + 255)
-        if local and domain:
+        domain, back = DOMAIN.match(text, at + 1, at + 255), 64  # no domain name is longer
+        local = LOCAL.search(text[max(0, at - back) : at]) if domain else None
+        while local and len(local[0]) == back < at:  # a local part may be of any length
+            back *= 2
+            local = LOCAL.search(text[max(0, at - back) : at])
+        if local:
             out.append((at - len(local[0]), domain.end(), "email"))
         at = text.find("@", at + 1)
     for m in SECRET.finditer(text):

@@ -430,3 +430,21 @@ def test_held_out_quality(spark):
     assert np.mean([y == p for _, y, p in found]) > 0.98
     found = [(r["lang_pred"], langs[r["doc_id"]]) for r in queries()["op9_language"](spark, sf).collect() if r["held_out"] and langs[r["doc_id"]] and r["lang_pred"] != "und"]
     assert len(found) > 2000 and np.mean([a == b for a, b in found]) > 0.97
+
+
+def test_local_parts_of_any_length():
+    """An e-mail address is found whole, however long its local part is, and with apostrophes in it."""
+    for local in ("a" * 63, "a" * 64, "a" * 65, "b" * 80, "x.y+" * 5000 + "z", "o'brien", "d’arc.j"):
+        for before in ("", "write to ", "(", "'", "ß" * 70 + " "):
+            text = f"{before}{local}@example.com, or not"
+            assert [text[a:b] for a, b, kind in pii.find(text) if kind == "email"] == [f"{local}@example.com"]
+            changed, found = pii.replaced(text, pii.Surrogates(b"key"))
+            assert local not in changed and [k for k, *_ in found] == ["email"] and changed.endswith(", or not")
+
+
+def test_long_texts_have_surrogates_of_their_own():
+    s = pii.Surrogates(b"key")
+    texts = [("a" * 300)[:i] + c + ("a" * 300)[i + 1 :] for i in (0, 149, 150, 299) for c in "bcd7"] + ["Ab1" * 2000, "Ab1" * 1999 + "Ab2"]
+    new = [s.by_class("local", t) for t in texts]
+    assert len(set(new)) == len(texts) and new == [s.by_class("local", t) for t in texts]
+    assert all(a != b and len(a) == len(b) and all(x.isdigit() == y.isdigit() and x.isupper() == y.isupper() for x, y in zip(a, b)) for a, b in zip(texts, new))
