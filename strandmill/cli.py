@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name, help=what)
         p.add_argument("input_file")
         p.add_argument("config_file")
-    for name, what in (("build_index", "index an existing matrix"), ("update_index", "append an existing matrix"), ("summary", "print an index's settings and sizes")):
+    for name, what in (("build_index", "index an existing matrix"), ("update_index", "append an existing matrix"), ("compact", "merge the batches of many updates and remove those replaced"), ("summary", "print an index's settings and sizes")):
         sub.add_parser(name, help=what).add_argument("config_file")
     p = sub.add_parser("search_index", help="search sequences")
     p.add_argument("config_file")
@@ -64,9 +64,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not args.command:
         top.print_help()
         return 0
-    config = read_config(args.config_file)
     spark = spark or SparkSession.builder.appName("strandmill").getOrCreate()
     ship(spark)
+    config = read_config(args.config_file, spark)
     if args.command in ("build", "update", "build_matrix"):
         records = read_samples(spark, args.input_file, config.k, f"{config.output_directory.rstrip('/')}/nonexistent_file_paths.txt")
         {"build": index.build, "update": index.update, "build_matrix": index.build_matrix}[args.command](records, config)
@@ -76,6 +76,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if index.index_exists(spark, config.index_path) == (args.command == "build_index"):
             raise SystemExit(f"{config.index_path} is {'already' if args.command == 'build_index' else 'not'} there")
         index.build_from_matrix(spark, config)
+    elif args.command == "compact":
+        merges = index.compact(spark, config, full=True)
+        print(f"{merges} merges, {len(index.vacuum(spark, config))} batches removed")
     elif args.command == "summary":
         print(index.summary_yaml(index.summary(spark, config.index_path)), end="")
     else:

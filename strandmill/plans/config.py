@@ -6,6 +6,10 @@ import re
 from dataclasses import dataclass, fields
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
+from strandmill.storage import read_text
+
 KINDS = ("nucleotide", "aminoacid")
 
 
@@ -71,5 +75,6 @@ def parse_config(text: str) -> Config:
     return Config(**given)
 
 
-def read_config(path: str) -> Config:
-    return parse_config(Path(path).read_text())
+def read_config(path: str, spark: SparkSession | None = None) -> Config:
+    """The configuration of a file, on any file system that Spark knows; without a session, on the driver's."""
+    return parse_config(Path(path).read_text() if spark is None else read_text(spark, path))

@@ -42,6 +42,16 @@ def claim(spark: SparkSession, path: str) -> bool:
     return system.createNewFile(target)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, by way of the driver, from any file system."""
+    system, target = located(spark, path)
+    stream = system.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def write_text(spark: SparkSession, path: str, lines) -> None:
     """Lines to one file, by way of the driver, on any file system."""
     system, target = located(spark, path)

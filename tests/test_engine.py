@@ -243,6 +243,44 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["summary", str(tmp_path / "c.yml")], spark) == 0 and "  number_of_samples: 2\n" in capsys.readouterr().out
 
 
+def test_every_command(spark, tmp_path, capsys):
+    """Matrix, index of it, updates of both kinds, search of a file, merging, help and version."""
+    for name, rows in (("a", ">x\nABCDEF\n"), ("b", ">y\nABCXEF\n>z\nGGGGG\n"), ("q", "@q1 one\nABCX\n+\nIIII\n@q2\nABC\n+\nIII\n@short\nAB\n+\nII\n")):
+        (tmp_path / name).write_text(rows)
+    (tmp_path / "m1").write_text(f"S1: {tmp_path}/a\n")
+    (tmp_path / "m2").write_text(f"S2: {tmp_path}/b\n")
+    config = str(tmp_path / "c.yml")
+    (tmp_path / "c.yml").write_text(f"h: 1\nk: 3\nm: 1000003\nsequence_type: aminoacid\noutput_directory: file://{tmp_path}\n")
+    assert cli.main(["build_matrix", str(tmp_path / "m1"), f"file://{config}"], spark) == 0
+    assert cli.main(["build_index", config], spark) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["build_index", config], spark)
+    assert cli.main(["update", str(tmp_path / "m2"), config], spark) == 0
+    assert cli.main(["update-seq", str(tmp_path / "b"), config], spark) == 0
+    (tmp_path / "c2.yml").write_text((tmp_path / "c.yml").read_text() + "matrix_store_name: other\n")
+    assert cli.main(["build_matrix", str(tmp_path / "m2"), str(tmp_path / "c2.yml")], spark) == 0
+    assert cli.main(["update_index", str(tmp_path / "c2.yml")], spark) == 0
+    capsys.readouterr()
+    reports = []
+    for merged in (False, True):
+        if merged:
+            assert cli.main(["compact", config], spark) == 0 and "1 merges, 4 batches removed" in capsys.readouterr().out
+        assert cli.main(["search_index", config, "-f", str(tmp_path / "q"), "-i", "aminoacid"], spark) == 0
+        reports.append(open(capsys.readouterr().out.strip().splitlines()[-1].removeprefix("file:")).read())
+    found = {(r["query_id"], r["sample_id"]) for r in _rows(spark, tmp_path, reports[0])}
+    assert found == {("q1", "S2"), ("q1", "y"), ("q2", "S1"), ("q2", "S2"), ("q2", "y")} and reports[0] == reports[1]
+    assert reports[0].splitlines().count("\t\tS2") == 4  # twice each, of two batches
+    assert cli.main([], spark) == 0 and "search_index" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["--version"], spark)
+    assert capsys.readouterr().out.strip() == cli.VERSION
+
+
+def _rows(spark, tmp_path, text):
+    (tmp_path / "back.txt").write_text(text)
+    return read_report(spark, str(tmp_path / "back.txt")).collect()
+
+
 def test_stream(spark, tmp_path):
     for i, rows in enumerate((TOY[:1], TOY[1:2])):
         frame(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
