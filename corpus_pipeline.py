@@ -11,22 +11,22 @@ from strandmill.llm.shared import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents that it rejects go (no letters, or like no known language)."""
+    """Language ID: documents that it rejects go (no letters, null texts among them, or like no known language); repeated rows are judged each."""
     return langid.keep_identified(docs, langid.learn(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity: documents predicted toxic go."""
+    """Toxicity: documents predicted toxic go. Null and empty texts are scored like others."""
     return toxicity.keep_clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: the smallest doc_id of each group of near duplicates stays."""
+    """MinHash near-dedup: the smallest doc_id of each group of near duplicates stays, with all its rows; so do null doc_ids and texts without words."""
     return neardup.keep_first(docs, words=5, percent=80)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """PII: surrogates in the place of personal data; n_chars follows."""
+    """PII: surrogates in the place of personal data; n_chars follows. Null and empty texts stay."""
     return pii.redacted(docs, KEY)
 
 
