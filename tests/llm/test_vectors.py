@@ -50,15 +50,22 @@ def test_forest_is_the_definition():
     """Longest prefixes per tree, then upwards in step, tree by tree, until there are enough entries."""
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None] / rng.uniform(0.98, 1.02, (300, 1))
     x[7] = x[8]
-    forest = vectors.Forest.of(x, 6)
-    forest = vectors.Forest.from_bytes(*forest.to_bytes(), 300)
+    parts, grown = vectors.forests(x, 6)
+    assert len(grown) == 1
+    ((_, forest),) = vectors._grown(parts.tolist(), grown[0].sorted.tobytes(), grown[0].order.tobytes())
     tall = np.sqrt(np.maximum((x * x).sum(1).max() - (x * x).sum(1), 0))
     own = [[f"{c:032b}" for c in tree] for tree in vectors.hash_strings(np.column_stack((x, tall)), 6)]
     queries = np.concatenate((x[:20], rng.standard_normal((20, 16))))
-    asked = [[f"{c:032b}" for c in tree] for tree in vectors.hash_strings(np.column_stack((queries, np.zeros(40))), 6)]
+    codes = vectors.query_strings(queries, 6)
+    asked = [[f"{c:032b}" for c in tree] for tree in codes]
+    marked = {}
     for enough in (1, 30, 250, 10_000):
-        for i, found in enumerate(forest.candidates(queries, enough)):
+        marks = np.zeros((40, 300), bool)
+        forest.mark(codes, enough, marks)
+        marked[enough] = marks
+        for i, found in enumerate(marks):
             longest = [max(next((n for n in range(33) if a[: n + 1] != b[: n + 1] or n == 32), 32) for b in tree) for a, tree in ((asked[t][i], own[t]) for t in range(6))]
             held, level = [set() for _ in range(6)], max(longest)
             while level >= 0 and sum(map(len, held)) < enough:
@@ -66,7 +73,57 @@ def test_forest_is_the_definition():
                     if longest[t] >= level and sum(map(len, held)) < enough:
                         held[t] = {j for j in range(300) if own[t][j][:level] == asked[t][i][:level]}
                 level -= 1
-            assert set(found.tolist()) == set().union(*held)
+            assert set(np.flatnonzero(found).tolist()) == set().union(*held)
+    q, r = (a.ravel() for a in np.meshgrid(np.arange(40), np.arange(300), indexing="ij"))
+    needs = forest.needs(codes, q, r).reshape(40, 300)
+    for enough, marks in marked.items():
+        assert (marks == (needs <= enough)).all()
+
+
+def sets_of_vectors():
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((4000, 48))
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    wide = rng.standard_normal((2000, 256))
+    yield "not normalised", base
+    yield "uneven norms", unit * np.exp(0.7 * rng.standard_normal((4000, 1)))
+    yield "256 components", wide / np.linalg.norm(wide, axis=1)[:, None]
+    yield "all products negative", np.abs(base[:1000, :8]) * np.where(np.arange(1000) % 20 == 0, 1, -1)[:, None]
+
+
+@pytest.mark.parametrize("name,x", list(sets_of_vectors()), ids=lambda v: v if isinstance(v, str) else "")
+def test_forest_recall_of_any_vectors(spark, name, x):
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(2)
+    got, told = {}, set()
+    for r in vectors.forest_search(frame, F.col("id") % 20 == 0, k=20, sample=60, block=1500).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        told.add(r["recall"])
+    hit = 0
+    asked = range(0, len(x), 20)
+    for q in asked:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert len(got[q]) == 20
+        hit += len(got[q] & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    assert hit / (20 * len(asked)) >= 0.9
+    assert len(told) == 1 and 0.95 <= told.pop() <= 1
+
+
+def test_every_query_has_its_k(spark):
+    """As many rows as are asked for at least, however small and uneven the blocks are; all of a length without a sampled query."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.standard_normal(6) * 10.0 ** rng.integers(-3, 4)).tolist()) for i in range(130)] + [(1000 + i, [1.0 + i]) for i in range(9)]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>").repartition(7)
+    for block in (4, 4096):
+        got = vectors.forest_search(frame, F.col("id") % 20 == 0, k=20, trees=8, recall=0.1, sample=1, block=block).groupBy("query_id").count().collect()
+        assert dict(map(tuple, got)) == {**{i: 20 for i in range(0, 130, 20)}, 1000: 8}
+
+
+def test_fitted_shares():
+    """Cheap neighbours first: a class of few rows is searched before one of many."""
+    shares, recall = vectors.fitted({0: [0.1, 0.2, 9.0], 5: [0.5] * 7}, {0: 10_000, 5: 50}, 0.8)
+    assert shares == {0: 0.1, 5: 0.5} and recall == 0.8
+    assert vectors.fitted({}, {}, 0.9) == ({}, 1.0)
 
 
 def test_empty_tables(spark):
