@@ -20,7 +20,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,16 +67,28 @@ def packed(rows: DataFrame, block: int, transform: Callable[[np.ndarray], np.nda
     return rows.mapInArrow(run, "dim int, n int, ids binary, vectors binary")
 
 
+def even_salts(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` partitions a number that the hash of a repartition sends there."""
+    found = spark.range(32 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("id"))
+    return sorted(r["id"] for r in found.collect())
+
+
 def _met(queries: DataFrame, rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Every query block beside every row block of the same length of vectors; ``more``: further columns of the rows.
 
-    The number of partitions is fixed, as the work of a pair is far more than its bytes suggest.
+    The row blocks are dealt in turn to at most 4,096 partitions, whose number is fixed, as the work of a pair is far
+    more than its bytes suggest.
     """
-    salts = max(1, min(rows.count(), 4096))
-    parts = max(salts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    every = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.select("dim", F.col("ids").alias("row_ids"), F.col("vectors").alias("row_vectors"), *more, F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int").alias("salt"))
-    return every.repartition(parts, "dim", "salt").join(dealt.repartition(parts, "dim", "salt").hint("merge"), ["dim", "salt"])
+    held = rows.select(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.max("task").alias("last")).first()
+    salts = even_salts(rows.sparkSession, max(1, min(held["n"], 4096)))
+    every = F.split(F.lit(",".join(map(str, salts))), ",").cast("array<bigint>")
+    own = F.monotonically_increasing_id()  # the task, and a block's number in it
+    turn = F.shiftright(own, 33) + own.bitwiseAND((1 << 33) - 1) * F.lit((held["last"] or 0) + 1)
+    dealt = rows.select(F.col("dim").alias("row_dim"), F.col("ids").alias("row_ids"), F.col("vectors").alias("row_vectors"), *more, turn.alias("turn"))
+    dealt = dealt.withColumn("salt", F.get(every, F.pmod("turn", F.lit(len(salts))).cast("int"))).drop("turn")
+    asked = queries.withColumn("salt", F.explode(every))
+    met = asked.repartition(len(salts), "salt").join(dealt.repartition(len(salts), "salt").hint("merge"), "salt")
+    return met.where("dim - row_dim = 0").drop("row_dim")  # not as a key of the join, which would hash both anew
 
 
 def _arrays(ids: pa.Scalar, vectors: pa.Scalar, dim: int) -> tuple[np.ndarray, np.ndarray]:

@@ -126,6 +126,22 @@ def test_fitted_shares():
     assert vectors.fitted({}, {}, 0.9) == ({}, 1.0)
 
 
+def test_blocks_are_dealt_evenly(spark):
+    """Each query block meets each row block of its length once; no partition has more than two row blocks."""
+    salts = vectors.even_salts(spark, 37)
+    assert len(salts) == 37
+    parts = spark.createDataFrame([(s,) for s in salts], "salt long").repartition(37, "salt").select(F.spark_partition_id()).distinct()
+    assert parts.count() == 37
+    rows = [(d, 1, f"{d}/{i}".encode(), b"") for d, n in ((3, 23), (5, 2)) for i in range(n)]
+    blocks = spark.createDataFrame(rows, "dim int, n int, ids binary, vectors binary").repartition(4)
+    met = vectors._met(blocks.where("dim = 3").limit(2), blocks.where("dim < 9"))
+    found = met.select("dim", "ids", "row_ids", F.spark_partition_id().alias("part")).collect()
+    assert len(found) == len({(bytes(r["ids"]), bytes(r["row_ids"])) for r in found}) == 2 * 23
+    pairs = [r["part"] for r in found]
+    assert max(map(pairs.count, pairs)) <= 4
+    assert "Exchange hashpartitioning(dim" not in met._jdf.queryExecution().toString()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id long, vector array<double>")
     assert vectors.threshold_search(none, F.col("id") % 20 == 0).count() == 0 and vectors.forest_search(none, F.col("id") % 20 == 0).count() == 0
