@@ -341,7 +341,8 @@ def fit(labelled: list[tuple[str, int]]) -> ToxicityModel:
 def learn(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 1000, max_clean: int = 2500, only: Column | None = None) -> ToxicityModel:
     """A model of at most ``max_toxic`` and ``max_clean`` labelled documents, picked by a hash of doc_id.
 
-    ``labels`` has (doc_id, toxic); null labels teach nothing. ``only``: which doc_id may be learned from.
+    ``labels`` has (doc_id, toxic); null labels teach nothing. ``only``: which doc_id may be learned from. Of rows that
+    share a doc_id the least text is taken.
     """
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     if only is not None:
@@ -351,6 +352,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 1000, max_clea
     few = [rows.where(F.col("toxic") == y).orderBy(pick, "doc_id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
     few = few[0].unionByName(few[1])
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id")  # max_toxic + max_clean rows
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     return fit([(r["text"], int(r["toxic"])) for r in texts.select("text", "toxic").collect()])
 
 
