@@ -189,9 +189,11 @@ def sort_of(keys: np.ndarray) -> np.ndarray:
     return np.argsort(_hashed(keys))
 
 
-def learn(docs: DataFrame, *, max_docs: int = 1000, max_languages: int = 500, order: int = 4, only: Column | None = None) -> LanguageModel:
+def learn(docs: DataFrame, *, max_docs: int = 1000, max_languages: int = 500, max_chars: int = 64_000_000, order: int = 4, only: Column | None = None) -> LanguageModel:
     """A model of (text, lang) of at most ``max_docs`` documents per language, picked by a hash of doc_id.
 
+    All together have ``max_chars`` characters at most, each language the same part of them; a document that is longer
+    than its language's part is passed over, and the documents end where the part is full.
     ``only``: which rows may be learned from. The ``max_languages`` most frequent values of lang are learned, so that
     stray values do not become models. Rows without language or text teach nothing; without any, no language is known
     and every text is ``und``.
@@ -206,7 +208,10 @@ def learn(docs: DataFrame, *, max_docs: int = 1000, max_languages: int = 500, or
     pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30))
     below = F.create_map(*(F.lit(x) for r in held for x in (r["lang"], int(min(1.0, 2 * max_docs / r["n"]) * (1 << 30)))))
     few = rows.where(pick < below[F.col("lang")]).select("lang", "text", pick.alias("pick"))
-    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))).where(F.col("rank") <= max_docs)
+    room = max_chars // len(held)
+    order_by = Window.partitionBy("lang").orderBy("pick", "text")
+    few = few.where(F.length("text") <= room).withColumn("rank", F.row_number().over(order_by)).where(F.col("rank") <= max_docs)
+    few = few.withColumn("chars", F.sum(F.length("text").cast("long")).over(order_by.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("chars") <= room)
     return fit([(r["lang"], r["text"]) for r in few.select("lang", "text").collect()], order)
 
 
