@@ -33,9 +33,20 @@ GIVEN = {
     ("greek", "m"): "Αλέξανδρος Γιάννης Γιώργος Δημήτρης Κώστας Νίκος".split(),
 }
 OF_GIVEN = {name: (group, i) for group, names in GIVEN.items() for i, name in enumerate(names)}
-NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(OF_GIVEN))})(?=[  ])")
+NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(OF_GIVEN))})(?=\s)")
+#: What stands between the words of a name: white space of any length with one line break at most.
+APART = r"(?:[^\S\n]++\n?+|\n)[^\S\n]*+"
+#: Words in lower case before a family name. Fixed values.
+PARTICLES = rf"(?:(?:van|von|vom|zu|zum|zur|de|del|della|der|den|di|da|dos|das|du|la|le|las|los|ter|ten|af|av){APART})*"
+
+
+def family_name(small: str) -> str:
+    """A capital and letters, joined by hyphens or after O' and the like; ``small``: letters that do not begin a name."""
+    return rf"((?:[^\W\d_]['’])?[^\W\d_{small}][^\W\d_]+(?:-[^\W\d_{small}][^\W\d_]*)*)"
+
+
 #: Titles before a family name. Fixed values.
-TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sra?|Don|Doña)\b\.?[  ]+((?:[^\W\d_]\w*[  ])?)([^\W\d_a-zà-ÿ][^\W\d_]+)")
+TITLED = re.compile(rf"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sra?|Don|Doña)\b\.?{APART}(?:(?:Dr|Prof)\b\.?{APART})*+((?:[^\W\d_]\w*{APART})?){PARTICLES}{family_name('a-zà-ÿ')}")
 #: Letters that stand for each other: same script, same sound class.
 LETTERS = ("bcdfghjklmnpqrstvwxz", "aeiouy", "бвгджзклмнпрстфхцчшщ", "аеёиоуыэюя", "βγδζθκλμνξπρστφχψ", "αεηιουω", "äöü", "àâèéêëîïôùû", "áíóú", "0123456789", "άέήίόύώ", "ñçłśšžčćřňďťńźżşğđ", "ąęěůőűøåæœãõ", "іїєґўј")
 CLASS = {c: (k, i) for k, letters in enumerate(LETTERS) for i, c in enumerate(letters)}
@@ -106,7 +117,10 @@ MAC = re.compile(r"(?<![0-9A-Za-z:\-])[0-9A-Fa-f]{2}([:\-])[0-9A-Fa-f]{2}(?:\1[0
 SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 LOCAL, DOMAIN = re.compile(r"[\w.%+\-][\w.%+\-'’]*$"), re.compile(r"[^\W_](?:[^\W_]|-)*(?:\.[^\W_](?:[^\W_]|-)*)+")
-FAMILY = re.compile(r"[  ]([^\W\d_a-zà-ÿа-яα-ω][^\W\d_]+)")
+FAMILY = re.compile(rf"{APART}{PARTICLES}{family_name('a-zà-ÿа-яα-ω')}")
+#: Words for a passport; its number, of letters and digits, comes after one. Fixed values.
+PASSES = [w for word in ("passport", "passeport", "pasaporte", "reisepass") for w in (word, word.capitalize(), word.upper())]
+PASSPORT = re.compile(rf"\b(?:{'|'.join(PASSES)})\b\W{{0,3}}(?i:(?:no|nr|number|nummer|num[eé]ro)\b\W{{0,3}})?((?=[A-Z]*\d)(?=\d*[A-Z])[A-Z0-9]{{6,9}})(?![0-9A-Za-z])")
 
 
 #: Letters of a text up to which it is one number that is permuted.
@@ -303,6 +317,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
             out.append((m.start(), m.end(), "secret"))
     for m in TOKEN.finditer(text):
         out.append((m.start(1), m.end(), "token"))
+    for m in PASSPORT.finditer(text) if any(w in text for w in PASSES) else ():
+        out.append((m.start(1), m.end(1), "token"))
     named = "=" in text or ":" in text  # without either nothing is named, and no IPv6 address stands
     for m in ASSIGNED.finditer(text) if named else ():
         if not SECRET.fullmatch(m[1]) and not TOKEN.search(m[1]):

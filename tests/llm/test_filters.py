@@ -448,3 +448,48 @@ def test_long_texts_have_surrogates_of_their_own():
     new = [s.by_class("local", t) for t in texts]
     assert len(set(new)) == len(texts) and new == [s.by_class("local", t) for t in texts]
     assert all(a != b and len(a) == len(b) and all(x.isdigit() == y.isdigit() and x.isupper() == y.isupper() for x, y in zip(a, b)) for a, b in zip(texts, new))
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("Anna Müller-Lüdenscheidt kam", ["Anna", "Müller-Lüdenscheidt"]),
+    ("with Anna O'Brien.", ["Anna", "O'Brien"]),
+    ("Mr. van der Berg", ["Berg"]),
+    ("Maria de la Cruz", ["Maria", "Cruz"]),
+    ("Anna  Schmidt", ["Anna", "Schmidt"]),
+    ("Anna\tSchmidt", ["Anna", "Schmidt"]),
+    ("Anna \n Schmidt", ["Anna", "Schmidt"]),
+    ("Herr Prof. Dr. Weber", ["Weber"]),
+    ("Mr. John Smith-Jones's car", ["John", "Smith-Jones"]),
+    ("Passport C01X00T47, passport no. 123456 A1B2C3D", ["C01X00T47"]),
+    ("Reisepass Nr. C01X00T47", ["C01X00T47"]),
+    ("Anna\n\nSchmidt", []),
+    ("Anna I'm here. Passport CONTROL", []),
+])
+def test_names_of_every_form(text, expected):
+    assert [text[a:b] for a, b, _ in pii.find(text)] == expected
+    after, entities = pii.replaced(text, pii.Surrogates(b"k"))
+    assert all(e not in after for e in expected) and len(entities) == len(expected)
+
+
+def test_names_in_linear_time():
+    """No white space or row of particles is read more than a few times."""
+    for text in ("Anna" + " " * 300_000 + "x", "Mr. " + "van " * 100_000, "Anna \n" * 20_000, "passport " * 50_000):
+        assert isinstance(pii.find(text), list)
+
+
+def test_a_repeated_document_teaches_toxicity_once(spark):
+    docs = [(i, ("vile " if i % 2 else "kind ") + "words here") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    once, often = (toxicity.learn(spark.createDataFrame(d, "doc_id long, text string"), labels) for d in (docs, docs + [docs[1]] * 50 + [docs[2]] * 9))
+    texts = [t for _, t in docs] + ["", "vile vile words"]
+    assert [once.score(t) for t in texts] == pytest.approx([often.score(t) for t in texts], abs=1e-9)
+
+
+def test_language_samples_are_bounded_by_characters(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{i:03d} " + "ab" * 48, "xy"[i % 2]) for i in range(60)] + [(100, "c" * 5000, "x")], "doc_id long, text string, lang string")
+    held = []
+    monkeypatch.setattr(langid, "fit", lambda samples, order: held.append(samples))
+    langid.learn(docs, max_chars=2000)
+    assert sorted(lang for lang, _ in held[0]) == ["x"] * 10 + ["y"] * 10
+    langid.learn(docs)
+    assert len(held[1]) == 61
