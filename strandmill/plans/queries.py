@@ -243,8 +243,9 @@ def search_repeated_ids(spark, sf_dir):
 
 
 def search_sources(spark, sf_dir):
-    """Samples of many records: the documents of a source."""
-    out = search(passages(spark, sf_dir), stored(spark, sf_dir, "sources"), 5, fold=False)
+    """Samples of many records: the documents of a source. So large a sample fills its filter so far that hits are checked on their k-mers."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("sample_id"), F.col("text").alias("seq"))
+    out = search(passages(spark, sf_dir), stored(spark, sf_dir, "sources"), 5, fold=False, verify=docs)
     return out.select(F.col("query_id").alias("item_id"), F.col("sample_id").alias("source"), "n_found", "n_kmers")
 
 

@@ -56,3 +56,21 @@ def test_what_is_found_of_a_sample_is_one_row(spark, tmp_path, monkeypatch):
     asked = search.Asked(spark.createDataFrame([("c", common), ("d", common[20:])], QUERIES), 5, 2, 1 << 31, False)
     found = search.looked_up(of, asked, False)
     assert found.count() == found.select("query_no", "sample_idx").distinct().count() > 250
+
+
+def test_sources_have_no_false_positive(spark, tmp_path):
+    """A source whose filter is well filled is not found by positions that other k-mers have set."""
+    from strandmill.plans import queries
+
+    rng = random.Random(5)
+
+    def text(n):
+        return "".join(rng.choice("abcdefgh") for _ in range(n))
+
+    docs = [(i, text(1 << 20), "s") for i in range(20)]
+    asked = [(i, text(11 + 3)) for i in range(1500)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    grams = {t[i : i + 11] for _, t, _ in docs for i in range(len(t) - 10)}
+    true = {(q, n) for q, t in asked if (n := sum(t[i : i + 11] in grams for i in range(4)))}
+    assert {(r["item_id"], r["n_found"]) for r in queries.search_sources(spark, str(tmp_path)).collect()} == true
