@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions import columns as C
-from strandmill.functions.kmers import kmers, positions
+from strandmill.functions.kmers import kmers, positions, windows
 from strandmill.operators import index
 from strandmill.operators.search import search, search_records
 from strandmill.plans.config import Config
@@ -69,15 +69,11 @@ def kmer_distinct(spark, sf_dir):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for seq in batch.column(1).to_pylist():
-                data = np.frombuffer((seq or "").encode(), np.uint8)
-                if len(data) < K:
-                    found.append(0)
-                    continue
-                view = np.lib.stride_tricks.sliding_window_view(data, K).astype(np.uint64)
-                high, low = (view[:, :8] << np.arange(0, 64, 8, dtype=np.uint64)).sum(1, dtype=np.uint64), (view[:, 8:] << np.arange(0, 8 * (K - 8), 8, dtype=np.uint64)).sum(1, dtype=np.uint64)
-                sort = np.lexsort((low, high))
-                found.append(1 + int(((high[sort][1:] != high[sort][:-1]) | (low[sort][1:] != low[sort][:-1])).sum()))
+            for seq in batch.column(1):  # one at a time, as two words for each k-mer
+                words = windows((seq.as_py() or "").encode(), K, False)
+                sort = np.lexsort(words)
+                words = [w[sort] for w in words]
+                found.append(int(len(sort) > 0) + int(np.any([w[1:] != w[:-1] for w in words], axis=0).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "n_distinct"])
 
     return rows.mapInArrow(run, "doc_id bigint, n_distinct bigint")

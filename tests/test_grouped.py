@@ -74,3 +74,19 @@ def test_sources_have_no_false_positive(spark, tmp_path):
     grams = {t[i : i + 11] for _, t, _ in docs for i in range(len(t) - 10)}
     true = {(q, n) for q, t in asked if (n := sum(t[i : i + 11] in grams for i in range(4)))}
     assert {(r["item_id"], r["n_found"]) for r in queries.search_sources(spark, str(tmp_path)).collect()} == true
+
+
+def test_distinct_kmers_are_counted_in_little_memory(spark, tmp_path):
+    import tracemalloc
+
+    from strandmill.plans import queries
+
+    texts = ["abcdefghijklmnop", "aaaaaaaaaaaaaaaa", "short", None, "abcdefghijk", "\u00e9" * 12 + "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["n_distinct"] for r in queries.kmer_distinct(spark, str(tmp_path)).collect()}
+    assert found == {i: len({b[j : j + 11] for j in range(len(b) - 10)}) for i, t in enumerate(texts) for b in [(t or "").encode()]}
+    tracemalloc.start()
+    queries.windows(b"abcdefgh" * (1 << 17), 11, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # the matrix of all windows took 88 bytes a letter
