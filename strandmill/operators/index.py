@@ -16,7 +16,8 @@ search reads only those that its positions lie in, and of these only the row gro
 
 An update writes a new batch and rewrites nothing. A batch claims its number first and counts once its meta row is
 there, which is written last. Adjacent batches are merged into one in the same way: its meta row names those that it
-replaces, and makes it count in their place at one stroke; searches that began before still find the old ones.
+replaces, and makes it count in their place at one stroke; searches that began before still find the old ones. Rows by
+groups in large files are not written again by that: the meta row names the folders that a batch ``holds`` them in.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SLAB_PAIRS, FINE, MOST_BUCKETS = 1 << 21, 512, 4096
 FLUSH_PAIRS = 1 << 22
 #: Positions, with repeats, of one group of samples; a sample with more is not laid out by groups.
 GROUP_PAIRS, GROUP_SLABS = 1 << 23, 4
+#: Mean bytes of a folder's files from which on rows by groups are not written again, but held where they are.
+LARGE_FILES = 1 << 23
 #: Stored rows that a reader makes Python values of at once.
 ROWS = 64
 #: Bytes that are hashed at once; what is worked on then stays in a processor's cache.
@@ -48,7 +51,7 @@ PIECE = 1 << 16
 PACKED = "slab bigint, part int, offsets binary, samples binary"
 ROW = "fine bigint, part int, domain bigint, gaps binary, counts binary, forms binary, slices binary"
 STORED = f"bucket int, {ROW}"
-META = "batch_id int, k int, h int, m bigint, sequence_type string, slabs bigint, n_samples bigint, n_bytes bigint, created_on string, last_updated_on string, level int, replaces array<int>, token string, grouped boolean"
+META = "batch_id int, k int, h int, m bigint, sequence_type string, slabs bigint, n_samples bigint, n_bytes bigint, created_on string, last_updated_on string, level int, replaces array<int>, token string, grouped boolean, holds array<struct<store:string,batch:int,first:bigint>>"
 GRID = "k int, h int, m bigint, sequence_type string, slabs bigint, grouped boolean"
 
 
@@ -346,14 +349,17 @@ def _compressed(rows: DataFrame):
     return rows.write.mode("overwrite").options(**{"compression": "zstd", "parquet.block.size": 1 << 23, "parquet.page.size": 1 << 17})
 
 
-def _store(spark: SparkSession, config: Config, batch: int, samples: DataFrame, packed: DataFrame, grid: Grid, old: list, token: str | None = None, level: int = 0, replaces: list[int] | None = None) -> None:
+def _store(spark: SparkSession, config: Config, batch: int, samples: DataFrame, packed: DataFrame | None, grid: Grid, old: list, token: str | None = None, level: int = 0, replaces: list[int] | None = None, holds: list[tuple] | None = None) -> None:
+    """The batch's postings, if there are ``packed`` ones, and its meta row. ``holds``: where else postings of it lie, as (store or null, batch, first sample)."""
     path, size = config.index_path, samples.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
     if grid.grouped:
-        _compressed(packed).parquet(f"{path}/postings/batch={batch}/bucket=0")
+        if packed is not None:
+            _compressed(packed).parquet(f"{path}/postings/batch={batch}/bucket=0")
+            holds = holds and [*holds, (None, batch, 0)]
     else:
         _compressed(merged(packed, grid, size["n"])).partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     today = datetime.now(UTC).strftime("%d-%m-%Y")
-    meta = [(batch, config.k, config.h, config.m, config.sequence_type, grid.slabs, size["n"], size["bytes"], old[0]["created_on"] if old else today, today, level, replaces or [], token, grid.grouped)]
+    meta = [(batch, config.k, config.h, config.m, config.sequence_type, grid.slabs, size["n"], size["bytes"], old[0]["created_on"] if old else today, today, level, replaces or [], token, grid.grouped, holds or [])]
     spark.createDataFrame(meta, META).coalesce(1).write.mode("append").parquet(f"{path}/meta")
 
 
@@ -442,13 +448,17 @@ def build_matrix(records: DataFrame, config: Config) -> None:
     if exists(spark, f"{path}/grid"):
         raise FileExistsError(path)
     with _laid_out(records, config, f"{path}/samples") as (_, grid, rows):
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/bits")
+        (_compressed(rows) if grid.grouped else rows.write.mode("overwrite").option("compression", "zstd")).parquet(f"{path}/bits")
     row = [(config.k, config.h, config.m, config.sequence_type, grid.slabs, grid.grouped)]
     spark.createDataFrame(row, GRID).coalesce(1).write.mode("overwrite").parquet(f"{path}/grid")
 
 
 def build_from_matrix(spark: SparkSession, config: Config) -> None:
-    """The index of an existing Bloom matrix; a batch of its own if there is an index already."""
+    """The index of an existing Bloom matrix; a batch of its own if there is an index already.
+
+    A matrix by groups of samples holds the rows that an index stores; if its files are large, the index reads them
+    where they are, and the matrix must stay.
+    """
     of = spark.read.schema(GRID).parquet(f"{config.matrix_path}/grid").first().asDict()
     grid = Grid(config.m, of["slabs"], bool(of["grouped"]))
     config.agree(of)
@@ -458,7 +468,19 @@ def build_from_matrix(spark: SparkSession, config: Config) -> None:
         config.agree(old[0].asDict())
     batch = _claimed(spark, path, old[-1]["batch_id"] + 1 if old else 0)
     spark.read.parquet(f"{config.matrix_path}/samples").write.mode("overwrite").parquet(f"{path}/samples/batch={batch}")
-    _store(spark, config, batch, spark.read.parquet(f"{path}/samples/batch={batch}"), spark.read.schema(ROW if grid.grouped else PACKED).parquet(f"{config.matrix_path}/bits"), grid, old, None)
+    samples, bits = spark.read.parquet(f"{path}/samples/batch={batch}"), f"{config.matrix_path}/bits"
+    if grid.grouped and _large(spark, bits):
+        _store(spark, config, batch, samples, None, grid, old, holds=[(bits, batch, 0)])
+    else:
+        _store(spark, config, batch, samples, spark.read.schema(ROW if grid.grouped else PACKED).parquet(bits), grid, old)
+
+
+def _large(spark: SparkSession, folder: str) -> bool:
+    """Whether the files of a folder are large on average."""
+    system, target = located(spark, folder)
+    sizes = [f.getLen() for f in system.listStatus(target) if f.getPath().getName().startswith("part-")] if system.exists(target) else []
+    return bool(sizes) and sum(sizes) >= LARGE_FILES * len(sizes)
+
 
 
 class Index:
@@ -474,18 +496,20 @@ class Index:
         self.settings = self.batches[0].asDict()
         sizes = np.array([r["n_samples"] for r in self.batches])
         self.first = dict(zip((r["batch_id"] for r in self.batches), (np.cumsum(sizes) - sizes).tolist()))
+        #: Of each batch (store, batch, first) of the folders with its postings: of another store, or null and a batch of this index; and the first sample.
+        self.places = {b: [(p["store"], p["batch"], first + p["first"]) for p in r["holds"] or ()] or [(None, b, first)] for r, (b, first) in zip(self.batches, self.first.items())}
 
-    def _of_batch(self, column: str = "batch") -> F.Column:
+    @staticmethod
+    def _of_batch(first: dict[int, int]) -> F.Column:
         """What is added to a sample's number in its batch."""
-        pairs = [F.lit(x) for pair in self.first.items() for x in pair]
-        return F.create_map(*pairs)[F.col(column)]
+        return F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("batch")]
 
     @property
     def samples(self) -> DataFrame:
         """(sample_idx, sample_id, n_bytes, batch)."""
         paths = [f"{self.path}/samples/batch={b}" for b in self.first]
         rows = self.spark.read.option("basePath", f"{self.path}/samples").parquet(*paths)
-        return rows.select((F.col("sample_idx") + self._of_batch()).alias("sample_idx"), "sample_id", "n_bytes", "batch")
+        return rows.select((F.col("sample_idx") + self._of_batch(self.first)).alias("sample_idx"), "sample_id", "n_bytes", "batch")
 
     @property
     def grids(self) -> dict[tuple[int, bool], list[int]]:
@@ -498,9 +522,16 @@ class Index:
 
     def postings(self, grid: tuple[int, bool], batches: list[int] | None = None) -> DataFrame:
         """The stored rows of the batches with this grid, and ``first``, what their samples begin at."""
-        paths = [f"{self.path}/postings/batch={b}" for b in self.grids[grid] if batches is None or b in batches]
-        schema = f"batch int, {STORED}"
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/postings").parquet(*paths).withColumn("first", self._of_batch())
+        return self.rows_at([p for b in self.grids[grid] if batches is None or b in batches for p in self.places[b]])
+
+    def rows_at(self, places: list[tuple]) -> DataFrame:
+        """The stored rows at some ``places``."""
+        parts = [self.spark.read.schema(ROW).parquet(store).withColumns({"bucket": F.lit(0), "batch": F.lit(b), "first": F.lit(first).cast("bigint")}) for store, b, first in places if store]
+        if own := {b: first for store, b, first in places if not store}:
+            paths = [f"{self.path}/postings/batch={b}" for b in own]
+            rows = self.spark.read.schema(f"batch int, {STORED}").option("basePath", f"{self.path}/postings").parquet(*paths)
+            parts.insert(0, rows.withColumn("first", self._of_batch(own)))
+        return reduce(DataFrame.unionByName, parts)
 
     @property
     def canonical(self) -> bool:
@@ -576,7 +607,7 @@ def _runs(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def merge_batches(spark: SparkSession, config: Config, batches: list[int], level: int = 0) -> int:
     """Adjacent batches as one new one, which counts in their place once its meta row is there; its number.
 
-    Groups of samples are written again as they are. Where a batch is laid out by position, the slices are packed anew by
+    Groups of samples are written again as they are, and not even that where their files are large. Where a batch is laid out by position, the slices are packed anew by
     slab and merged as a build's are, in one shuffle; nothing is hashed again. The old batches stay until ``vacuum``. A merge that fails before the end changes nothing.
     """
     path, index = config.index_path, Index(spark, config.index_path)
@@ -589,14 +620,19 @@ def merge_batches(spark: SparkSession, config: Config, batches: list[int], level
     samples = index.samples.where(F.col("batch").isin(batches)).select((F.col("sample_idx") - begin).alias("sample_idx"), "sample_id", "n_bytes")
     samples.write.mode("overwrite").parquet(f"{path}/samples/batch={new}")
     first = F.col("first") - begin
+    holds: list[tuple] = []
     if all(r["grouped"] for r in own if r["n_samples"]):
-        grid = Grid(config.m, GROUP_SLABS, True)
-        packed = [index.postings(of, batches).withColumn("part", (F.col("part") + first).cast("int")).select(*(c.split()[0] for c in ROW.split(", "))) for of, some in index.grids.items() if set(some) & set(batches)]
+        grid, small, some = Grid(config.m, GROUP_SLABS, True), [], [p for r in own if r["n_samples"] for p in index.places[r["batch_id"]]]
+        for store, b, at in some:
+            if _large(spark, store or f"{path}/postings/batch={b}/bucket=0"):
+                holds.append((store, b, at - begin))
+            else:
+                small.append((store, b, at))
+        packed = index.rows_at(small).withColumn("part", (F.col("part") + first).cast("int")).select(*(c.split()[0] for c in ROW.split(", "))) if small else None if holds else spark.createDataFrame([], ROW)
     else:
         grid = Grid.of(config.m, sum(r["n_bytes"] for r in own) * config.h)
-        packed = [_unpacked(index.postings(of, batches).withColumn("first", first), Grid(config.m, *of), grid) for of, some in index.grids.items() if set(some) & set(batches)]
-    packed = reduce(DataFrame.unionAll, packed) if packed else spark.createDataFrame([], ROW)
-    _store(spark, config, new, spark.read.parquet(f"{path}/samples/batch={new}"), packed, grid, index.every, None, level, batches)
+        packed = reduce(DataFrame.unionAll, [_unpacked(index.postings(of, batches).withColumn("first", first), Grid(config.m, *of), grid) for of, some in index.grids.items() if set(some) & set(batches)])
+    _store(spark, config, new, spark.read.parquet(f"{path}/samples/batch={new}"), packed, grid, index.every, None, level, batches, holds)
     return new
 
 
@@ -627,9 +663,11 @@ def vacuum(spark: SparkSession, config: Config) -> list[int]:
     """Removes the tables of replaced batches, which searches that began before their merge may still read; their numbers."""
     index = Index(spark, config.index_path)
     gone = [r["batch_id"] for r in index.every if r["batch_id"] not in index.first]
+    held = {b for places in index.places.values() for store, b, _ in places if not store}
     for b in gone:
-        for table in ("samples", "postings"):
-            remove(spark, f"{config.index_path}/{table}/batch={b}")
+        remove(spark, f"{config.index_path}/samples/batch={b}")
+        if b not in held:
+            remove(spark, f"{config.index_path}/postings/batch={b}")
     return gone
 
 

@@ -103,3 +103,34 @@ def test_distinct_kmers_are_counted_in_little_memory(spark, tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20  # the matrix of all windows took 88 bytes a letter
+
+
+def test_large_files_are_held_where_they_are(spark, tmp_path, monkeypatch):
+    """Merges, and indexes of matrices, write no rows again that lie in large files; small ones beside them are."""
+    from strandmill.storage import exists
+
+    rows, common = samples(160)
+    batch = [spark.createDataFrame(rows[i * 40 : i * 40 + 40], "sample_id string, seq string") for i in range(4)]
+    config = Config(5, 2, 1 << 31, "aminoacid", str(tmp_path), matrix_store_name="a")
+    queries = [("c", common), ("d", common[30:50]), ("e", rows[7][1]), ("f", rows[150][1])]
+
+    def check():
+        for t in (100, 30):
+            got = search.search(spark.createDataFrame(queries, QUERIES), index.Index(spark, config.index_path), t).collect()
+            assert {(r["query_id"], r["sample_id"], r["n_found"], r["n_kmers"]) for r in got} == expected(rows, queries, t / 100)
+
+    monkeypatch.setattr(index, "LARGE_FILES", 1)
+    index.build_matrix(batch[0], config)
+    index.build_from_matrix(spark, config)
+    for i in (1, 2, 3):
+        index.update(batch[i], config)
+    check()
+    index.merge_batches(spark, config, [0, 1])
+    monkeypatch.setattr(index, "_large", lambda spark, folder: not folder.endswith("batch=3/bucket=0"))
+    index.merge_batches(spark, config, [2, 3])
+    check()
+    index.compact(spark, config, full=True)
+    assert index.vacuum(spark, config) == [0, 1, 2, 3, 4, 5]
+    check()
+    assert [exists(spark, f"{config.index_path}/postings/batch={b}") for b in range(7)] == [False, True, True, False, False, True, False]
+    assert len(index.Index(spark, config.index_path).places[6]) == 4
