@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -47,13 +48,14 @@ def translate_one(sequence: str | None, frame: int) -> str | None:
     return _AMINO[np.minimum(at @ np.array([16, 4, 1]), 64)].tobytes().decode() if len(at) else ""
 
 
-def _translations(sequence: pd.Series, frame: pd.Series) -> pd.Series:
-    return pd.Series([translate_one(s, f) for s, f in zip(sequence, frame)], dtype=object)
+def _translations(sequence: pa.Array, frame: pa.Array) -> pa.Array:
+    # One text at a time: a batch of them may be large.
+    return pa.array((translate_one(s.as_py(), f.as_py()) for s, f in zip(sequence, frame)), pa.string())
 
 
 def translated(sequence: Column, frame: Column) -> Column:
     """``translate_one`` as a column: substrings of long strings would take quadratic time."""
-    return F.pandas_udf(_translations, StringType())(sequence, frame)
+    return F.arrow_udf(_translations, StringType())(sequence, frame)
 
 
 def _six(sequence: pd.Series, back: pd.Series) -> pd.Series:
