@@ -236,12 +236,27 @@ def stored_rows(grid: Grid, bit: np.ndarray, sample: np.ndarray, domain: int, pa
 def grouped_rows(numbered: DataFrame, config: Config, grid: Grid) -> DataFrame:
     """ROW of (sample_idx, seq), in the order of the samples: groups of samples side by side, as they come, of GROUP_PAIRS about."""
     k, h, m, canonical, most = config.k, config.h, config.m, config.canonical, GROUP_PAIRS
-
-    def group(held: list[tuple[np.ndarray, np.ndarray]], first: int, n: int) -> Iterator[pa.RecordBatch]:
+    # A group has no more samples than positions; a pair is one number, if there is room for both.
+    shift = most.bit_length()
+    one_number = m.bit_length() + shift < 63
+
+    def pair(bits: np.ndarray, sample: np.ndarray) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+        return bits << shift | sample if one_number else (bits, sample)
+
+    def group(held: list, first: int, n: int) -> Iterator[pa.RecordBatch]:
+        begins = np.arange(grid.slabs + 1) * grid.width
+        if one_number:
+            pairs = np.concatenate(held)
+            held.clear()
+            pairs.sort()
+            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+            cuts = np.searchsorted(pairs, begins << shift)
+            yield from (stored_rows(grid, pairs[a:b] >> shift, pairs[a:b] & ((1 << shift) - 1), n, first) for a, b in zip(cuts, cuts[1:]) if b > a)
+            return
         bits, sample = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        bits, sample = distinct_pairs(bits, sample - first, m, n)
-        cuts = np.searchsorted(bits, np.arange(grid.slabs + 1) * grid.width)
+        bits, sample = distinct_pairs(bits, sample, m, n)
+        cuts = np.searchsorted(bits, begins)
         yield from (stored_rows(grid, bits[a:b], sample[a:b], n, first) for a, b in zip(cuts, cuts[1:]) if b > a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +276,7 @@ def grouped_rows(numbered: DataFrame, config: Config, grid: Grid) -> DataFrame:
                 b = int(np.searchsorted(np.cumsum(sizes[a : a + len(own)]), most - total, "right"))
                 b = a + max(one, b if b == len(own) else int(np.searchsorted(own, own[b])))
                 for bits, record in batch_positions(data[begins[a] : begins[b]], begins[a : b + 1] - begins[a], k, h, m, canonical, PIECE):
-                    held.append((bits.ravel(), np.tile(names[a + record], h)))
+                    held.append(pair(bits.ravel(), np.tile(names[a + record] - first, h)))
                 total, last, a = total + int(sizes[a:b].sum()), int(names[b - 1]), b
         if held:
             yield from group(held, first, last + 1 - first)

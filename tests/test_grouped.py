@@ -134,3 +134,42 @@ def test_large_files_are_held_where_they_are(spark, tmp_path, monkeypatch):
     check()
     assert [exists(spark, f"{config.index_path}/postings/batch={b}") for b in range(7)] == [False, True, True, False, False, True, False]
     assert len(index.Index(spark, config.index_path).places[6]) == 4
+
+
+@pytest.mark.parametrize("m", [1 << 31, 1 << 61])
+def test_a_group_takes_little_memory(m):
+    """A pair of a position and a sample is one number of 8 bytes while it is gathered, if there is room for both."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(1), 1 << 11
+    texts = [rng.integers(97, 123, 1 << 10, np.uint8).tobytes().decode() for _ in range(n)]
+    config, grid, peaks = Config(11, 2, m, "aminoacid", "unused"), index.Grid(m, index.GROUP_SLABS, True), []
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run(pa.RecordBatch.from_arrays([pa.array(range(i, i + 128)), pa.array(texts[i : i + 128])], names=["sample_idx", "seq"]) for i in range(0, n, 128))
+
+    tracemalloc.start()
+    rows = list(index.grouped_rows(Rows(), config, grid))
+    peaks.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert sum(int(index.row_counts(c).sum()) for r in rows for c in r.column("counts").to_pylist()) > 4_000_000
+    if m == 1 << 31:
+        assert peaks[0] < 48 * 4_200_000
+
+
+def test_translation_takes_batches_as_they_are(spark):
+    from pyspark.sql import functions as F
+
+    from strandmill.functions import columns as C
+
+    assert C._translations.__annotations__["sequence"] == "pa.Array"  # of strings that are not all Python's at once
+    rows = spark.createDataFrame([("ATGGCCN",), ("AT",), (None,), ("",), ("ATGéGG",)], "s string")
+    got = [r[0] for r in rows.select(C.translated(F.col("s"), F.lit(0))).collect()]
+    assert got == [C.translate_one(s[0], 0) for s in rows.collect()] and got[:4] == ["MA", "", None, ""]
