@@ -173,3 +173,94 @@ def test_translation_takes_batches_as_they_are(spark):
     rows = spark.createDataFrame([("ATGGCCN",), ("AT",), (None,), ("",), ("ATGéGG",)], "s string")
     got = [r[0] for r in rows.select(C.translated(F.col("s"), F.lit(0))).collect()]
     assert got == [C.translate_one(s[0], 0) for s in rows.collect()] and got[:4] == ["MA", "", None, ""]
+
+
+def test_records_of_a_sample_travel_together(spark, monkeypatch):
+    """Records of one sample side by side are one compressed row, so that shuffles carry a part of the letters."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("ACGT") for _ in range(12)) for _ in range(60)]
+    rows = [(s, n, text) for s, n, many in (("a", 0, 40), ("a", 1, 1), ("b", 0, 300), ("a", 0, 2)) for text in ("".join(rng.choice(words) for _ in range(9))[: rng.randrange(90, 108)] for _ in range(many))]
+    given = spark.createDataFrame(rows, "sample_id string, sample_no int, seq string").coalesce(1)
+
+    def back(found):
+        got = []
+        for i, r in enumerate(found):
+            batch = pa.RecordBatch.from_arrays([pa.array([i]), pa.array([bytes(r["seq"])], pa.binary())], names=["sample_idx", "seq"])
+            for names, data, begins in index.texts([batch]):
+                assert set(names.tolist()) == {i} and r["n_bytes"] == begins[-1]
+                got += [(r["sample_id"], r["sample_no"], data[a:b].tobytes().decode()) for a, b in zip(begins, begins[1:])]
+        return got
+
+    found = index.squeezed(given, ["sample_id", "sample_no"]).collect()
+    assert [(r["sample_id"], r["sample_no"]) for r in found] == [("a", 0), ("a", 1), ("b", 0), ("a", 0)]
+    assert back(found) == rows
+    assert sum(len(r["seq"]) for r in found) < sum(len(t) for *_, t in rows) / 2
+    monkeypatch.setattr(index, "SQUEEZED", 1000)
+    found = index.squeezed(given, ["sample_id", "sample_no"]).collect()
+    assert max(r["n_bytes"] for r in found) <= 1000 and len(found) > 30 and back(found) == rows
+
+
+@pytest.mark.parametrize("undone", [1, 3000, 1 << 22])
+def test_squeezed_batches_are_undone_in_parts(monkeypatch, undone):
+    import numpy as np
+    import pyarrow as pa
+
+    class Rows:
+        def __init__(self, *batches):
+            self.batches = batches
+
+        @property
+        def schema(self):
+            return {"sample_idx": type("Kind", (), {"dataType": type("Long", (), {"simpleString": lambda _: "bigint"})()})()}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return Rows(*run(iter(self.batches)))
+
+    monkeypatch.setattr(index, "UNDONE", undone)
+    rng = np.random.default_rng(2)
+    names = np.sort(rng.integers(0, 40, 200))
+    names = np.unique(names, return_inverse=True)[1]
+    plain = pa.RecordBatch.from_arrays([pa.array(names), pa.array(["".join(rng.choice(list("ACGT"), rng.integers(30, 200))) for _ in names])], names=["sample_idx", "seq"])
+    small = index.squeezed(Rows(plain), ["sample_idx"]).batches[0].drop_columns(["n_bytes"])
+    config, grid = Config(11, 2, 1 << 31, "aminoacid", "unused"), index.Grid(1 << 31, index.GROUP_SLABS, True)
+    monkeypatch.setattr(index, "GROUP_PAIRS", 9000)
+    want, got = ([r.to_pylist() for r in index.grouped_rows(Rows(b), config, grid).batches] for b in (plain, small))
+    pairs = [{(r["first_bit"], r["n"]) for x in rows for r in ({"first_bit": int(index.row_positions(grid, y)[0]), "n": len(index.row_positions(grid, y))} for y in x)} for rows in (want, got)]
+    held = [sum(int(index.row_counts(y["counts"]).sum()) for x in rows for y in x) for rows in (want, got)]
+    assert held[0] == held[1] and (pairs[0] == pairs[1] or undone < 1 << 22)
+
+
+def test_an_index_takes_little_room(spark, tmp_path):
+    """Positions of k-mers that are as good as random take little more than their entropy, which is about 25 bits each here; 32 before."""
+    import numpy as np
+
+    rng, n = np.random.default_rng(3), 400
+    rows = [(f"s{i:03}", "".join(rng.choice(list("ACGT"), 2000))) for i in range(n)]
+    config = Config(21, 2, 1 << 36, "nucleotide", str(tmp_path))
+    index.build(spark.createDataFrame(rows, "sample_id string, seq string").coalesce(1), config)
+    pairs = n * 1980 * 2
+    size = sum(f.stat().st_size for f in tmp_path.glob("**/postings/**/*.parquet"))
+    entropy = np.log2(np.e * config.m / pairs) + np.log2(n)
+    assert size * 8 / pairs < entropy + 3
+
+
+def test_rows_of_older_indexes_are_read():
+    """Their gaps have one width, and their slices no other bytes apart."""
+    import numpy as np
+
+    from strandmill.operators import slices
+
+    grid, bits = index.Grid(1 << 31, 4, True), np.array([5, 9, 70_000])
+    samples = np.array([3, 300, 7, 900])
+    forms, _, data = slices.encode(samples, np.array([0, 2, 3, 4]), 1000)
+    old = {"fine": 0, "domain": 1000, "gaps": slices.narrow(np.diff(bits, prepend=-1) - 1), "counts": slices.narrow(np.array([1, 0, 0])), "forms": forms.astype(np.uint8).tobytes(), "slices": data.tobytes(), "slices_high": None}
+    new = index.stored_rows(grid, np.repeat(bits, [2, 1, 1]), samples, 1000, 0).to_pylist()
+    assert len(new) == 1
+    for row in (old, new[0]):
+        assert index.row_positions(grid, row).tolist() == bits.tolist()
+        assert index.held_slices(row).samples(np.arange(3))[0].tolist() == samples.tolist()

@@ -52,3 +52,29 @@ def test_batch_equals_each_record(canonical, piece):
         expected = kmers.positions((text or "").encode(), 11, 2, 1_000_003, canonical)
         assert (np.concatenate(own, axis=1) == expected).all() if own else expected.shape[1] == 0
     assert list(kmers.batch_positions(*kmers.joined(pa.array([], pa.string())), 11, 2, 8, canonical, piece)) == []
+
+
+def test_rice_codes_take_little_room():
+    rng = np.random.default_rng(4)
+    for mean in (0.3, 5, 343, 10_900, 1 << 20, 1 << 45):
+        values = rng.exponential(mean, 2700).astype(np.int64)
+        code = slices.rice(values)
+        assert (slices.of_rice(code) == values).all()
+        # The gaps' entropy is log2(e * mean) about; their bytes take 16 bits for 343, 32 for 10,900.
+        assert (len(code) - 6) * 8 <= 2700 * (max(np.log2(np.e * mean), 1.2) + 0.15)
+    for values in ([], [0], [0, 0, 0], [(1 << 61) + 5], [0, 1 << 40, 1]):
+        assert slices.of_rice(slices.rice(np.array(values, np.int64))).tolist() == values
+    assert slices.of_rice(slices.rice(np.append(np.zeros(4000, np.int64), 1 << 30)))[-1] == 1 << 30
+
+
+def test_lowest_bytes_are_parted_and_woven():
+    rng, domain = np.random.default_rng(5), 70_000
+    own = [np.sort(rng.permutation(domain)[:n]) for n in (1, 1, 300, domain, 1, 40_000, domain - 3, 2, domain)] + [np.array([domain - 1])]
+    forms, lengths, data = slices.encode(np.concatenate(own), np.cumsum([0, *map(len, own)]), domain)
+    assert len(set(forms.tolist())) > 3 and not lengths.all()
+    rows = np.array([0, 3, 4, 8, 9, 10])  # the row of one slice that all samples have is empty
+    low, low_cuts, high, high_cuts = slices.parted(forms, lengths, data, rows)
+    places = np.append(0, np.cumsum(lengths))[rows]
+    for i, (a, b) in enumerate(zip(rows, rows[1:])):
+        back = slices.woven(forms[a:b], lengths[a:b], low[low_cuts[i] : low_cuts[i + 1]].tobytes(), high[high_cuts[i] : high_cuts[i + 1]].tobytes())
+        assert (back == data[places[i] : places[i + 1]]).all()
