@@ -164,6 +164,67 @@ def test_a_group_takes_little_memory(m):
         assert peaks[0] < 48 * 4_200_000
 
 
+class Given:
+    """Stands for a DataFrame of batches, so that what a task makes of them is seen without Spark."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run(iter(self.batches))
+
+
+def test_samples_that_share_positions_are_one_group():
+    """Positions that many samples share are stored once for up to 32 million pairs, which take little memory (8 million before)."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n, size = np.random.default_rng(4), 160, 1 << 15
+    common = rng.integers(97, 123, size, np.uint8).tobytes().decode()
+    for texts in ([common[i:] + common[:i] for i in range(n)], [rng.integers(97, 123, size, np.uint8).tobytes().decode() for _ in range(n)]):
+        grid, given = index.Grid(1 << 31, index.GROUP_SLABS, True), Given(*(pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], names=["sample_idx", "seq"]) for i, t in enumerate(texts)))
+        tracemalloc.start()
+        firsts, pairs, positions = set(), 0, 0
+        for rows in index.grouped_rows(given, Config(11, 2, 1 << 31, "aminoacid", "unused"), grid):
+            firsts |= set(rows.column("part").to_pylist())
+            for c in rows.column("counts").to_pylist():
+                pairs, positions = pairs + int(index.row_counts(c).sum()), positions + len(index.row_counts(c))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert firsts == {0} and pairs > 10_000_000 and peak < 32 * pairs
+        assert positions < 100_000 or texts[0] != common
+
+
+@pytest.mark.parametrize("m", [1000, 1 << 31, 1 << 36, 1 << 61])
+@pytest.mark.parametrize("most", [700, 1 << 25])
+def test_a_group_is_gathered_in_runs(monkeypatch, m, most):
+    """Runs that are sorted by themselves, and stored a few ranges at a time, hold each pair of a position and a sample once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strandmill.functions.kmers import positions
+
+    for name, value in (("GROUP_PAIRS", most), ("RUN_PAIRS", 100), ("STORED_PAIRS", 30)):
+        monkeypatch.setattr(index, name, value)
+    rows, _ = samples(40)
+    grid, given = index.Grid(m, index.GROUP_SLABS, True), Given(*(pa.RecordBatch.from_arrays([pa.array(range(i, i + 5)), pa.array([t for _, t in rows[i : i + 5]])], names=["sample_idx", "seq"]) for i in range(0, 40, 5)))
+    got, firsts = [], set()
+    for batch in index.grouped_rows(given, Config(5, 2, m, "aminoacid", "unused"), grid):
+        for r in batch.to_pylist():
+            firsts.add(r["part"])
+            bits, (found, n) = index.row_positions(grid, r), (held := index.held_slices(r)).samples(np.arange(len(held.counts)))
+            assert set(grid.fine_of(bits).tolist()) == {r["fine"]}
+            got += zip(np.repeat(bits, n).tolist(), (found + r["part"]).tolist())
+    want = {(b, i) for i, (_, t) in enumerate(rows) for b in positions(t.encode(), 5, 2, m, False).ravel().tolist()}
+    assert len(got) == len(want) and set(got) == want
+    assert (len(firsts) > 1) == (most == 700)
+
+
 def test_translation_takes_batches_as_they_are(spark):
     from pyspark.sql import functions as F
 
