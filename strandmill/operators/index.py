@@ -10,7 +10,7 @@ they are, so that no position is shuffled, and what a search finds of a sample i
 
 Any other batch is laid out by position, in one pass over its records: each task hashes whole Arrow batches of them,
 drops positions that a sample has already given, and packs what is left into arrays, one per slab, an even range of bit
-positions. Hashes are uniform, so slabs need no sampling to be even; they are sized by the bytes to be hashed. The
+positions, as codes of their gaps. Hashes are uniform, so slabs need no sampling to be even; they are sized by the bytes to be hashed. The
 arrays go to the task of their bucket, a run of slabs, and are merged there slab by slab. Buckets are folders, so a
 search reads only those that its positions lie in, and of these only the row groups with its ranges, if they are few.
 
@@ -55,7 +55,8 @@ ROWS = 64
 #: Bytes that are hashed at once; what is worked on then stays in a processor's cache.
 PIECE = 1 << 16
 
-PACKED = "slab bigint, part int, offsets binary, samples binary"
+#: ``n``: how many pairs a row has, in ``packed_pairs``; null in matrices from before these, which hold plain numbers.
+PACKED = "slab bigint, part int, offsets binary, samples binary, n int"
 ROW = "fine bigint, part int, domain bigint, gaps binary, counts binary, forms binary, slices binary, slices_high binary"
 STORED = f"bucket int, {ROW}"
 META = "batch_id int, k int, h int, m bigint, sequence_type string, slabs bigint, n_samples bigint, n_bytes bigint, created_on string, last_updated_on string, level int, replaces array<int>, token string, grouped boolean, holds array<struct<store:string,batch:int,first:bigint>>"
@@ -168,6 +169,16 @@ def distinct_pairs(bits: np.ndarray, local: np.ndarray, m: int, n: int) -> tuple
     return bits[new], local[new]
 
 
+def packed_pairs(offsets: np.ndarray, samples: np.ndarray) -> tuple[bytes, bytes]:
+    """Rising offsets as a Rice code of their gaps, and a sample beside each, of few different ones mostly, compressed."""
+    body = narrow(samples)
+    return rice(np.diff(offsets, prepend=0)), len(body).to_bytes(4, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpacked_pairs(offsets: bytes, samples: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(of_rice(offsets)), widened(pa.decompress(samples[4:], int.from_bytes(samples[:4], "little"), "zstd", asbytes=True))
+
+
 class Packer:
     """Positions of samples, gathered until there are FLUSH_PAIRS of them and then packed by slab and part."""
 
@@ -194,8 +205,10 @@ class Packer:
             bits, sample, slab, part = bits[sort], sample[sort], slab[sort], part[sort]
         begin = np.flatnonzero(np.append(True, (slab[1:] != slab[:-1]) | (part[1:] != part[:-1])))
         cuts = np.append(begin, len(bits))
-        columns = [pa.array(slab[begin]), pa.array(part[begin].astype(np.int32)), binaries((bits - slab * grid.width).astype(grid.offset), cuts), binaries((sample & ((1 << grid.part_bits) - 1)).astype("<u4"), cuts)]
-        return pa.RecordBatch.from_arrays(columns, names=["slab", "part", "offsets", "samples"])
+        offsets, sample = bits - slab * grid.width, sample & ((1 << grid.part_bits) - 1)
+        pairs = [packed_pairs(offsets[a:b], sample[a:b]) for a, b in zip(cuts, cuts[1:])]
+        columns = [pa.array(slab[begin]), pa.array(part[begin].astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*pairs)), pa.array(np.diff(cuts).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["slab", "part", "offsets", "samples", "n"])
 
 
 def packed_bits(records: DataFrame, config: Config, grid: Grid) -> DataFrame:
@@ -353,8 +366,12 @@ def grouped_rows(numbered: DataFrame, config: Config, grid: Grid) -> DataFrame:
 def merged(packed: DataFrame, grid: Grid, n_samples: int) -> DataFrame:
     """The rows that are stored, of packed arrays: one shuffle of these, no sampling, each slab merged by itself."""
 
-    def finish(slab: int, part: int, offsets: list[bytes], samples: list[bytes]) -> pa.RecordBatch:
-        bit, sample = np.frombuffer(b"".join(offsets), grid.offset), np.frombuffer(b"".join(samples), "<u4")
+    def plain(offsets: bytes, samples: bytes, n: int | None) -> tuple[np.ndarray, np.ndarray]:
+        own = (np.frombuffer(offsets, grid.offset), np.frombuffer(samples, "<u4")) if n is None else unpacked_pairs(offsets, samples)
+        return own[0].astype(grid.offset), own[1].astype("<u4")
+
+    def finish(slab: int, part: int, packed: list[tuple]) -> pa.RecordBatch:
+        bit, sample = (np.concatenate(x) for x in zip(*(plain(*p) for p in packed)))
         if grid.offset.itemsize == 4:
             pairs = bit.astype(np.uint64) << np.uint64(32) | sample
             pairs.sort()
@@ -370,17 +387,16 @@ def merged(packed: DataFrame, grid: Grid, n_samples: int) -> DataFrame:
         return rows.add_column(0, "bucket", pa.array(np.full(rows.num_rows, grid.bucket(slab), np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, offsets, samples = None, [], []
+        at, held = None, []
         for batch in batches:
-            for slab, part, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if at != (slab, part) and offsets:
-                    yield finish(*at, offsets, samples)
-                    offsets, samples = [], []
+            for slab, part, *packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if at != (slab, part) and held:
+                    yield finish(*at, held)
+                    held = []
                 at = slab, part
-                offsets.append(a)
-                samples.append(b)
-        if offsets:
-            yield finish(*at, offsets, samples)
+                held.append(packed)
+        if held:
+            yield finish(*at, held)
 
     bucket = F.floor(F.col("slab") * grid.buckets / F.lit(grid.slabs)).cast("int")
     dealt = packed.repartitionById(grid.buckets, bucket).sortWithinPartitions("slab", "part")
